@@ -5,6 +5,20 @@ from __future__ import annotations
 from riskweave.llm.decontaminate import OP3_SQL, op3_decontaminate
 from riskweave.llm.fair_mix import OP4_SQL, op4_fair_mix
 from riskweave.llm.license_scan import OP2_SQL, op2_license_scan
+from riskweave.llm.line_templates import OP7_SQL, op7_line_templates
+from riskweave.llm.url_filter import OP8_SQL, op8_url_filter
 
-QUERIES = {"op2_license_scan": op2_license_scan, "op3_decontaminate": op3_decontaminate, "op4_fair_mix": op4_fair_mix}
-ORACLES = {"op2_license_scan": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_fair_mix": OP4_SQL}
+QUERIES = {
+    "op2_license_scan": op2_license_scan,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_fair_mix": op4_fair_mix,
+    "op7_line_templates": op7_line_templates,
+    "op8_url_filter": op8_url_filter,
+}
+ORACLES = {
+    "op2_license_scan": OP2_SQL,
+    "op3_decontaminate": OP3_SQL,
+    "op4_fair_mix": OP4_SQL,
+    "op7_line_templates": OP7_SQL,
+    "op8_url_filter": OP8_SQL,
+}
