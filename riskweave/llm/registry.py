@@ -6,6 +6,7 @@ from riskweave.llm.decontaminate import OP3_SQL, op3_decontaminate
 from riskweave.llm.fair_mix import OP4_SQL, op4_fair_mix
 from riskweave.llm.license_scan import OP2_SQL, op2_license_scan
 from riskweave.llm.line_templates import OP7_SQL, op7_line_templates
+from riskweave.llm.minhash import OP10_SQL, op10_minhash
 from riskweave.llm.url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_fair_mix": op4_fair_mix,
     "op7_line_templates": op7_line_templates,
     "op8_url_filter": op8_url_filter,
+    "op10_minhash": op10_minhash,
 }
 ORACLES = {
     "op2_license_scan": OP2_SQL,
@@ -21,4 +23,5 @@ ORACLES = {
     "op4_fair_mix": OP4_SQL,
     "op7_line_templates": OP7_SQL,
     "op8_url_filter": OP8_SQL,
+    "op10_minhash": OP10_SQL,
 }
