@@ -29,9 +29,9 @@ GAMMA = math.log((1 + ERROR) / (1 - ERROR))
 SYMBOLS = b"#*$%&|<>"
 #: Measure: allowance below and above which no fence falls, and whether there is a lower fence.
 MEASURES = {
-    "symbol_share": (0.0, 0.1, False),
-    "dup_line_share": (0.0, 0.3, False),
-    "repeat_share": (0.0, 0.3, False),
+    "symbol_share": (0.0, 0.05, False),
+    "dup_line_share": (0.0, 0.5, False),
+    "repeat_share": (0.0, 0.45, False),
     "word_length": (3.0, 11.0, True),
     "upper_share": (0.0, 0.3, False),
 }
