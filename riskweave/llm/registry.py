@@ -7,11 +7,13 @@ from riskweave.llm.fair_mix import OP4_SQL, op4_fair_mix
 from riskweave.llm.license_scan import OP2_SQL, op2_license_scan
 from riskweave.llm.line_templates import OP7_SQL, op7_line_templates
 from riskweave.llm.minhash import OP10_SQL, op10_minhash
+from riskweave.llm.pu_quality import op1_pu_quality
 from riskweave.llm.quality_rules import op9_quality_rules
 from riskweave.llm.suffix_dedup import op5_suffix_dedup
 from riskweave.llm.url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
+    "op1_pu_quality": op1_pu_quality,
     "op2_license_scan": op2_license_scan,
     "op3_decontaminate": op3_decontaminate,
     "op4_fair_mix": op4_fair_mix,
