@@ -10,6 +10,7 @@ from riskweave.llm.minhash import OP10_SQL, op10_minhash
 from riskweave.llm.pu_quality import op1_pu_quality
 from riskweave.llm.quality_rules import op9_quality_rules
 from riskweave.llm.suffix_dedup import op5_suffix_dedup
+from riskweave.llm.toxicity import op6_toxicity
 from riskweave.llm.url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_fair_mix": op4_fair_mix,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_line_templates": op7_line_templates,
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
