@@ -35,6 +35,8 @@ FLUSH = 200_000
 CACHE = 300_000
 #: Entries that the lexicon may owe to chance.
 CHANCE = 0.5
+#: Least share of toxic among the texts that have an entry.
+PURITY = 0.9
 #: Lengths of word beginnings that may enter the lexicon.
 BEGINNINGS = (4, 5, 6, 7)
 # The letters that common look-alikes stand for.
@@ -206,7 +208,7 @@ def lexicon_of(docs: DataFrame, marked: DataFrame, model: CharModel, *, min_shar
     tested, rate = sums.count(), toxic / (toxic + clean)
     prior = (toxic + 1) / (toxic + clean + 2)
     # A text has few words that occur in min_share of all toxic ones, so the rows are few.
-    rows = sums.where(F.col("toxic") > F.col("clean")).collect()
+    rows = sums.where(F.col("toxic") >= (F.col("toxic") + F.col("clean")) * PURITY).collect()
     return {r["feature"]: (r["toxic"] + 2 * prior) / (r["toxic"] + r["clean"] + 2) for r in rows if _by_chance(r["toxic"], r["clean"], rate) * tested < CHANCE}, prior
 
 
