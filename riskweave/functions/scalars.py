@@ -60,7 +60,8 @@ def impossible_travel(km: Column, gap_seconds: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
+    """x within limits; null stays null, which greatest() and least() would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
 
 
 def log_amount(amount: Column) -> Column:

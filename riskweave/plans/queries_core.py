@@ -70,7 +70,7 @@ HAVERSINE = "2 * 6371.0088 * asin(sqrt(greatest(0.0::DOUBLE, least(1.0::DOUBLE,
 
 
 @query("win_travel", f"""WITH {TXN_SQL}, p AS (SELECT *, lag(us) OVER w AS pus, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM txn WINDOW w AS (PARTITION BY sender ORDER BY us, tx_id)),
-  g AS (SELECT *, coalesce(greatest(0.0::DOUBLE, (us - pus) / 1e6::DOUBLE), 0) AS gap, coalesce({HAVERSINE.format(a1='plat', a2='plon', b1='lat', b2='lon')}, 0) AS km FROM p)
+  g AS (SELECT *, coalesce(greatest(0.0::DOUBLE, (us - pus) / 1e6::DOUBLE), 0) AS gap, CASE WHEN plat IS NULL THEN 0 ELSE {HAVERSINE.format(a1='plat', a2='plon', b1='lat', b2='lon')} END AS km FROM p)
   SELECT tx_id, round(gap, 6) AS tx_gap_seconds, round(km, 2) AS geo_distance_km, coalesce(gap > 0 AND km / (gap / 3600) > 900, false) AS impossible_travel_flag,
   country IN ('AE', 'MU', 'CN', 'NG', 'PK') OR receiver_country IN ('AE', 'MU', 'CN', 'NG', 'PK') AS high_risk FROM g""")
 def win_travel(spark, d):

@@ -45,7 +45,7 @@ RULED_SQL = f"""{TXN_SQL}, i AS (SELECT receiver AS node, us, max(amount) AS amo
   w AS (SELECT *, count(*) {over(H)} AS v1, count(*) {over(D)} AS v24, count(DISTINCT receiver) {over(7 * D)} AS b7, count(DISTINCT sender) {over(D, 'receiver')} AS in24, CASE WHEN count(*) {over(D, 'receiver')} < 2 THEN 999 ELSE stddev_pop(amount) {over(D, 'receiver')} / (avg(amount) {over(D, 'receiver')} + 1e-9) END AS cv,
     lag(us) OVER o AS pus, lag(lat) OVER o AS plat, lag(lon) OVER o AS plon, row_number() OVER (PARTITION BY sender, device ORDER BY us, tx_id) = 1 AS newdev FROM txn WINDOW o AS (PARTITION BY sender ORDER BY us, tx_id)),
   g AS (SELECT *, sum(newdev::INT) OVER (PARTITION BY device ORDER BY us, tx_id ROWS UNBOUNDED PRECEDING) - 1 AS shared, coalesce((us - pus) / 1e6::DOUBLE, 0) AS gap,
-    coalesce(2 * 6371.0088 * asin(sqrt(greatest(0.0::DOUBLE, least(1.0::DOUBLE, power(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * power(sin(radians(lon - plon) / 2), 2))))), 0) AS km FROM w),
+    CASE WHEN plat IS NULL THEN 0 ELSE 2 * 6371.0088 * asin(sqrt(greatest(0.0::DOUBLE, least(1.0::DOUBLE, power(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * power(sin(radians(lon - plon) / 2), 2))))) END AS km FROM w),
   hit AS (SELECT g.*, cycle, list_filter([
     CASE WHEN amount > 1000000 THEN 'R01' END, CASE WHEN amount BETWEEN 850000 AND 999000 AND v1 >= 1 THEN 'R02' END, CASE WHEN v1 > 2 OR v24 > 8 THEN 'R03' END, CASE WHEN gap > 15552000 AND amount > 100000 THEN 'R04' END,
     CASE WHEN gap > 0 AND km / (gap / 3600) > 900 THEN 'R05' END, CASE WHEN (country IN ('AE', 'MU', 'CN', 'NG', 'PK') OR receiver_country IN ('AE', 'MU', 'CN', 'NG', 'PK')) AND international THEN 'R06' END, CASE WHEN newdev AND amount > 200000 THEN 'R07' END, CASE WHEN shared > 5 THEN 'R08' END,

@@ -134,6 +134,7 @@ class ArtifactStore:
         return fs.exists(path.suffix("/_SUCCESS"))
 
     def save(self, name: str, df: DataFrame) -> str:
+        self._path(name)
         df.write.mode("overwrite").parquet(f"{self.base}/{name}")
         return f"{self.base}/{name}"
 
