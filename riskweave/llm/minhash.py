@@ -9,10 +9,10 @@ Scale: texts are read once for sketches; documents with the same set are one
 representative from then on, so groups of exact copies cost one row. In a bucket
 each member is first compared with the bucket's least document, which settles
 groups of near copies with as many comparisons as members. Then components are
-built, and only buckets that still hold several components go on, where the pairs
-between different components are compared. So no candidate of the banding is
-dropped, and a group that has come together makes no pairs. Sets are fetched for
-candidates alone.
+built, and only documents in buckets that still hold several components go on,
+to an exact prefix filter between different components. So no candidate of the
+banding is dropped, and a group that has come together makes no pairs. Sets are
+fetched for candidates alone.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import broadcast_if, materialise, table
@@ -111,6 +111,49 @@ def confirm(docs: DataFrame, pairs: DataFrame, *, k: int, percent: int) -> DataF
     return materialise(sided.select("u", "v", "x", "y").mapInArrow(run, "u long, v long").distinct(), "links")
 
 
+def _shingle_rows(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """doc_id, shingle: the sets of the wanted ids, a row a shingle."""
+
+    def run(batches):
+        words = WordHashes()
+        for batch in batches:
+            sets = list(shingle_sets(texts(batch), k, words))
+            if sets:
+                ids = np.repeat(batch.column("doc_id").to_numpy(), list(map(len, sets)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], ["doc_id", "shingle"])
+
+    ids = broadcast_if(wanted, wanted.count(), BROADCAST_ROWS)
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    return materialise(held.mapInArrow(run, "doc_id long, shingle long").distinct(), "shingles")
+
+
+def prefix_pairs(docs: DataFrame, classed: DataFrame, *, k: int, percent: int) -> DataFrame:
+    """u, v of different classes that may reach percent: an exact filter on the sets of classed (rep, class).
+
+    Shingles are ordered by how many of these documents have them. Two sets that
+    reach percent share a shingle among the rarest n - ceil(percent * n) + 1 of
+    each, and from the first one they share on both have enough left. A document
+    whose rarest shingles are its own meets no one. For each shingle the largest
+    class is one side only, so that a class doesn't meet itself.
+    """
+    classed = materialise(classed.withColumnRenamed("rep", "doc_id"), "classed")
+    rows = _shingle_rows(docs, classed.select("doc_id"), k)
+    often = rows.groupBy(F.col("shingle").alias("s")).agg(F.count("*").alias("df"))
+    by = W.partitionBy("doc_id")
+    ranked = rows.join(often, F.col("shingle") == F.col("s")).select("doc_id", "shingle", "df", F.row_number().over(by.orderBy("df", "shingle")).alias("i"), F.count("*").over(by).alias("n"))
+    front = ranked.where((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).join(classed, "doc_id").select("doc_id", "shingle", "i", "n", "class")
+    front = materialise(front, "prefixes")
+    sizes = front.groupBy("shingle", "class").agg(F.count("*").alias("in_class"))
+    main = sizes.groupBy(F.col("shingle").alias("m_shingle")).agg(F.max(F.struct("in_class", "class")).alias("main"), F.count("*").alias("classes")).where(F.col("classes") > 1).select("m_shingle", F.col("main.class").alias("main"))
+    fewer = front.join(main, F.col("shingle") == F.col("m_shingle")).where(F.col("class") != F.col("main"))
+    x, y = (df.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "i", "n", "class")]) for df, side in ((fewer, "x"), (front, "y")))
+    alike = (F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent)
+    left = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y")) + 1
+    enough = left * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
+    met = x.join(y, "shingle").where((F.col("class_x") != F.col("class_y")) & alike & enough)
+    return met.select(F.least("doc_id_x", "doc_id_y").alias("u"), F.greatest("doc_id_x", "doc_id_y").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -144,8 +187,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
     placed = materialise(members.join(classes, F.col("rep") == F.col("c_node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("class")), "placed")
     mixed = placed.groupBy("key").agg(F.min("class").alias("one"), F.max("class").alias("other")).where(F.col("one") < F.col("other")).select(F.col("key").alias("m_key"))
     open_ = materialise(placed.join(mixed, F.col("key") == F.col("m_key")).select("key", "rep", "n", "class"), "open")
-    left, right = (open_.select("key", F.col("rep").alias(u), F.col("n").alias(f"n_{u}"), F.col("class").alias(f"c_{u}")) for u in "uv")
-    pairs = left.join(right, "key").where((F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & alike("n_u", "n_v")).select("u", "v").distinct()
+    pairs = prefix_pairs(docs, open_.select("rep", "class").distinct(), k=k, percent=percent)
     pairs = materialise(pairs.join(first, ["u", "v"], "left_anti"), "more-pairs")
     links = links.unionByName(confirm(docs, pairs, k=k, percent=percent)) if not pairs.isEmpty() else links
     classes = components(links.unionByName(copies)).withColumnRenamed("node", "c_node")
