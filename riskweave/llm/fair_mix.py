@@ -84,7 +84,7 @@ def mix_to_targets(docs: DataFrame, *, size: Column | None = None, weights: tupl
     placed = materialise(placed, "mix-queue")
 
     served = (F.col("size") > 0) & (F.col("target") > 0)
-    finish = (F.col("upto") + F.col("epoch") * F.col("source_size")) / F.col("target")
+    finish = F.try_divide(F.col("upto") + F.col("epoch") * F.col("source_size"), F.col("target"))
     queue = placed.where(served).withColumn("epoch", F.explode(F.array(*[F.lit(i) for i in range(epochs)]))).withColumn("finish", finish)
     # Finish times from 0 to infinity onto n ranges, in order.
     ranged = lambda t: F.floor(t / (t + 1) * n)
@@ -104,13 +104,13 @@ def mix_to_targets(docs: DataFrame, *, size: Column | None = None, weights: tupl
         cut = queue.where(F.col("range") == at).withColumn("running", running).where(F.col("running") <= left).agg(F.max(place).alias("cut")).collect()[0]["cut"]
         taken = F.lit(0)
         for epoch in range(epochs):
-            when = (F.col("upto") + epoch * F.col("source_size")) / F.col("target")
+            when = F.try_divide(F.col("upto") + epoch * F.col("source_size"), F.col("target"))
             mine = F.struct(when.alias("finish"), F.col("rank"), F.col("key"), first.alias("id"), F.lit(epoch).alias("epoch"), F.col("size"))
             within = ranged(when) < at
             if cut is not None:
                 end = F.struct(F.lit(cut["finish"]).alias("finish"), F.lit(cut["rank"]).alias("rank"), F.lit(cut["key"]).alias("key"), F.lit(cut["id"]).alias("id"), F.lit(cut["epoch"]).alias("epoch"), F.lit(cut["size"]).alias("size"))
                 within = within | ((ranged(when) == at) & (mine <= end))
-            taken = taken + F.when(served & within, F.lit(1)).otherwise(F.lit(0))
+            taken = taken + F.when(served & F.coalesce(within, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
     return placed.select("doc_id", "size", "source_size", "target", taken.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
