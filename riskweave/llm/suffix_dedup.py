@@ -6,7 +6,7 @@ passage of min_words words holds a minimiser in its first `window` words whereve
 it stands, so its copies keep the same suffix. Suffixes are sorted by the hash of
 their first depth = min_words - window + 1 words, then by document, and each is
 compared with its neighbour from another document. Matches are extended left and
-right, word by word, on both texts, and count from min_words words on.
+right, word by word (32-bit hashes), on both texts, and count from min_words words on.
 
 Scale: a twelfth of all positions become rows of 20 bytes; those whose key occurs
 once go before the sort, in a grouped count combined before the shuffle. The sort
@@ -14,7 +14,8 @@ is by range of (key, document, position), so a passage in a third of all
 documents is spread over many tasks; where a key crosses from one partition into
 the next, the edge rows are compared afterwards (two rows a partition). As each
 suffix meets one neighbour, a group of copies makes as many comparisons as it has
-members. Texts are fetched for documents with matches alone.
+members. Words are fetched for documents with matches alone, cut to the neighbourhood
+of the matches, and compared in small batches.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import broadcast_if, materialise, table
+from riskweave.llm.common import broadcast_if, materialise, small_batches, table
 from riskweave.llm.wordhash import WordHashes, blank_words, factors, grams, mix, texts
 
 BROADCAST_ROWS = 2_000_000
 MIN_WORDS, K, WINDOW = 51, 8, 24
+#: Words on either side of matched suffixes to which a match is extended; longer ones hold further suffixes.
+MARGIN = 128
 
 
 def minimisers(g: np.ndarray, window: int) -> np.ndarray:
@@ -110,14 +113,22 @@ def matched_suffixes(entries: DataFrame) -> DataFrame:
     return met.where(F.col("head").isNull()).select("a", "a_at", "b", "b_at").unionByName(edges)
 
 
-def equal_runs(x: np.ndarray, y: np.ndarray, shift: int, least: int) -> list[tuple[int, int]]:
-    """Maximal runs [start, end) of y, of at least `least` words, where y[i] == x[i - shift]."""
-    low, high = max(0, shift), min(len(y), len(x) + shift)
-    if high - low < least:
-        return []
-    same = np.concatenate(([False], y[low:high] == x[low - shift : high - shift], [False]))
+def _hashed_words(batches):
+    """doc_id and the hashes of its words, of 32 bits."""
+    words = WordHashes()
+    for batch in batches:
+        held = [words.of(blank_words(text)).astype(np.uint32).view(np.int32) for text in texts(batch)]
+        ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+        flat = np.concatenate(held) if held else np.empty(0, np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "words"])
+
+
+def equal_runs(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Maximal runs [start, end) of at least `least` places where x and y are equal."""
+    n = min(len(x), len(y))
+    same = np.concatenate(([False], x[:n] == y[:n], [False]))
     turns = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)
-    return [(int(s) + low, int(e) + low) for s, e in turns[turns[:, 1] - turns[:, 0] >= least]]
+    return [(int(s), int(e)) for s, e in turns[turns[:, 1] - turns[:, 0] >= least]]
 
 
 def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -134,23 +145,30 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, k: int = K
     empty results; other columns are ignored.
     """
     entries = materialise(suffixes(docs, min_words=min_words, k=k, window=window), "suffix-entries")
-    met = matched_suffixes(entries).groupBy("a", "b", (F.col("b_at") - F.col("a_at")).alias("shift")).agg(F.count("*").alias("hits"))
+    met = matched_suffixes(entries).groupBy("a", "b", (F.col("b_at") - F.col("a_at")).alias("shift")).agg(F.min("b_at").alias("low"), F.max("b_at").alias("high"))
     met = materialise(met, "diagonals")
     ids = materialise(met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct(), "matched-ids")
     ids = broadcast_if(ids, ids.count(), BROADCAST_ROWS)
-    held = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "matched-texts")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    held = materialise(held.mapInArrow(_hashed_words, "doc_id long, words array<int>"), "matched-words")
 
     def run(batches):
-        words = WordHashes()
         for batch in batches:
             rows = []
-            for a, b, shift, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shift")), texts(batch, "x"), texts(batch, "y"), strict=True):
-                for start, end in equal_runs(words.of(blank_words(x)), words.of(blank_words(y)), shift, min_words):
-                    rows += [(b, start, end, a), (a, start - shift, end - shift, b)]
+            (x, x_ends), (y, y_ends) = ((batch.column(c).flatten().to_numpy(), np.cumsum([0, *batch.column(c).value_lengths().to_pylist()])) for c in "xy")
+            for i, (a, b, shift, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shift", "at")), strict=True)):
+                for start, end in equal_runs(x[x_ends[i] : x_ends[i + 1]], y[y_ends[i] : y_ends[i + 1]], min_words):
+                    rows += [(b, at + start, at + end, a), (a, at + start - shift, at + end - shift, b)]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (zip(*rows, strict=True) if rows else ([], [], [], []))], ["doc_id", "start", "end", "partner"])
 
-    sided = met.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    spans = materialise(sided.select("a", "b", "shift", "x", "y").mapInArrow(run, "doc_id long, start long, end long, partner long").distinct(), "spans")
+    # Of both documents, the words from MARGIN before the first matched suffix to MARGIN after the last; `at` is the first of them in b.
+    depth = min_words - window + 1
+    first = F.greatest(F.col("low") - MARGIN, F.col("shift"), F.lit(0)).cast("int")
+    ends = met.select("a", "b", "shift", first.alias("at"), (F.col("high") + depth + MARGIN).cast("int").alias("end"))
+    sided = ends.join(held.select(F.col("doc_id").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "shift", "at", F.slice("y", F.col("at") + 1, F.col("end") - F.col("at")).alias("y"))
+    sided = sided.join(held.select(F.col("doc_id").alias("a"), F.col("words").alias("x")), "a").select("a", "b", "shift", "at", F.slice("x", (F.col("at") - F.col("shift") + 1).cast("int"), F.size("y")).alias("x"), "y")
+    with small_batches(docs.sparkSession):
+        spans = materialise(sided.select("a", "b", "shift", "at", "x", "y").mapInArrow(run, "doc_id long, start long, end long, partner long").distinct(), "spans")
     by = W.partitionBy("doc_id").orderBy("start", "end", "partner")
     apart = F.coalesce(F.col("start") > F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
     merged = spans.withColumn("span", F.sum(apart.cast("int")).over(by)).groupBy("doc_id", "span").agg(F.min("start").alias("first_word"), (F.max("end") - 1).alias("last_word"), F.min("partner").alias("partner_id"))
