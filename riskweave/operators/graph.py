@@ -185,14 +185,24 @@ def community_profiles(txn: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def paths(edges: DataFrame, *, length: int = 3, cap: int = 50) -> DataFrame:
-    """start, path (accounts) of simple paths with `length` edges, the first `cap` of each start by order."""
+    """start, path (accounts) of simple paths with `length` edges, the first `cap` of each start by order.
+
+    All prefixes are followed. Before the last step those go that stand behind
+    prefixes sure to give `cap` paths: one has at least as many as its last account
+    has edges out, less the other accounts on it.
+    """
     step = edges.toDF("a", "b")
     found = edges.select(F.col("u").alias("start"), F.array("u", "v").alias("path"))
-    for _ in range(length - 1):
+    for left in range(length - 1, 0, -1):
+        if left == 1:
+            fans = edges.groupBy(F.col("u").alias("_end")).agg(F.count("*").alias("_fan"))
+            found = found.join(fans, F.element_at("path", -1) == F.col("_end"))
+            sure = F.greatest(F.lit(0), F.col("_fan") - F.size("path") + 1)
+            ahead = F.sum(sure).over(W.partitionBy("start").orderBy("path").rowsBetween(W.unboundedPreceding, -1))
+            found = found.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).where(F.col("_ahead") < cap).select("start", "path")
         found = found.join(step, F.element_at("path", -1) == F.col("a")).where(~F.array_contains("path", F.col("b"))).select("start", F.concat("path", F.array("b")).alias("path"))
-        rank = F.row_number().over(W.partitionBy("start").orderBy("path"))
-        found = found.withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_rank")
-    return found
+    rank = F.row_number().over(W.partitionBy("start").orderBy("path"))
+    return found.withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_rank")
 
 
 def path_values(found: DataFrame, txn: DataFrame) -> DataFrame:

@@ -286,6 +286,11 @@ def agg_cube(spark, d):
     return orders_txn(spark, d).where("from_nation < 5 AND to_nation < 5").cube("from_nation", "to_nation").agg(F.count("*").alias("n"))
 
 
+@query("agg_cube_all", f"SELECT from_nation, to_nation, count(*) AS n FROM ({ORDERS_SQL}) GROUP BY CUBE (from_nation, to_nation)")
+def agg_cube_all(spark, d):
+    return orders_txn(spark, d).cube("from_nation", "to_nation").agg(F.count("*").alias("n"))
+
+
 @query("gr_condensed", f"WITH {TXN_SQL} SELECT sender AS u, receiver AS v, round(sum(amount), 2) AS weight, count(*) AS n FROM txn WHERE sender <> receiver GROUP BY ALL")
 def gr_condensed(spark, d):
     return G.condensed(txn(spark, d)).select("u", "v", r("weight", 2).alias("weight"), "n")
@@ -350,7 +355,7 @@ def _labels_sql(rounds: int = 2) -> str:
     return f"p AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM e), b AS (SELECT u, v FROM p UNION SELECT v, u FROM p UNION SELECT u, u FROM p UNION SELECT v, v FROM p), {', '.join(steps)}"
 
 
-#: A sparser graph than all transfers: those over four millions, so that communities differ.
+#: The SQL of these queries holds transfers over four millions only; each has a form over all transfers, NAME_all, without SQL.
 _LARGE = "large AS (SELECT * FROM txn WHERE amount > 4000000), e AS (SELECT DISTINCT sender AS u, receiver AS v FROM large WHERE sender <> receiver)"
 
 
@@ -363,6 +368,11 @@ def gr_communities(spark, d):
     return G.label_propagation(G.adjacency(large(spark, d)), rounds=2)
 
 
+@query("gr_communities_all")
+def gr_communities_all(spark, d):
+    return G.label_propagation(G.adjacency(txn(spark, d)))
+
+
 _COUNTS = [f"sum(({DIGIT} = {x})::INT)" for x in range(1, 10)]
 
 
@@ -377,7 +387,17 @@ _COUNTS = [f"sum(({DIGIT} = {x})::INT)" for x in range(1, 10)]
   round(greatest(0, least(100, 100 * (0.25 * least(1, density) + 0.30 * cyc::INT + 0.25 * ben::INT + 0.20 * ln(n + 1) / ln(max(n) OVER () + 1)))), 4) AS community_risk_score FROM m""")
 def gr_profiles(spark, d):
     t = large(spark, d)
-    out = G.community_profiles(t, G.label_propagation(G.adjacency(t), rounds=2))
+    return _profiles(t, G.label_propagation(G.adjacency(t), rounds=2))
+
+
+@query("gr_profiles_all")
+def gr_profiles_all(spark, d):
+    t = txn(spark, d)
+    return _profiles(t, G.label_propagation(G.adjacency(t)))
+
+
+def _profiles(t, members):
+    out = G.community_profiles(t, members)
     return out.select("community", "community_size", r("community_density", 6).alias("community_density"), r("total_flow_value", 2).alias("total_flow_value"), "has_cycle", "benford_anomaly", "dominant_pattern", r("community_risk_score").alias("community_risk_score"))
 
 
@@ -386,13 +406,26 @@ def gr_components(spark, d):
     return G.weak_components(G.adjacency(large(spark, d)))
 
 
+@query("gr_components_all")
+def gr_components_all(spark, d):
+    return G.weak_components(G.adjacency(txn(spark, d)))
+
+
 @query("gr_paths", f"""WITH {TXN_SQL}, {_LARGE}, p AS (SELECT u AS start, [u, v] AS path FROM e),
   q AS (SELECT start, list_append(path, v) AS path FROM p JOIN e ON path[-1] = e.u WHERE NOT list_contains(path, e.v) QUALIFY row_number() OVER (PARTITION BY start ORDER BY list_append(path, v)) <= 20),
   x AS (SELECT start, list_append(path, v) AS path FROM q JOIN e ON path[-1] = e.u WHERE NOT list_contains(path, e.v) QUALIFY row_number() OVER (PARTITION BY start ORDER BY list_append(path, v)) <= 20),
   s AS (SELECT sender AS u, receiver AS v, max(amount) AS amount FROM large GROUP BY ALL), k AS (SELECT path, unnest(range(1, len(path))) AS i FROM x)
   SELECT path, round(sum(amount), 2) AS total_value FROM k JOIN s ON s.u = path[i] AND s.v = path[i + 1] GROUP BY path""")
 def gr_paths(spark, d):
-    t = large(spark, d)
+    return _paths(large(spark, d))
+
+
+@query("gr_paths_all")
+def gr_paths_all(spark, d):
+    return _paths(txn(spark, d))
+
+
+def _paths(t):
     return G.path_values(G.paths(G.adjacency(t), length=3, cap=20), t).select("path", r("total_value", 2).alias("total_value"))
 
 
@@ -402,15 +435,20 @@ def gr_neighbourhood(spark, d):
     return G.neighbourhood(G.adjacency(large(spark, d)), 1, hops=2)
 
 
+@query("gr_neighbourhood_all")
+def gr_neighbourhood_all(spark, d):
+    return G.neighbourhood(G.adjacency(txn(spark, d)), 1, hops=2)
+
+
 @query("gr_betweenness")
 def gr_betweenness(spark, d):
-    return G.betweenness(G.adjacency(large(spark, d)))
+    return G.betweenness(G.adjacency(txn(spark, d)))
 
 
 @query("gr_densest")
 def gr_densest(spark, d):
-    t = large(spark, d)
-    inner = G.induced(t, G.label_propagation(G.adjacency(t), rounds=2)).select("community", F.col("sender").alias("u"), F.col("receiver").alias("v")).distinct()
+    t = txn(spark, d)
+    inner = G.induced(t, G.label_propagation(G.adjacency(t))).select("community", F.col("sender").alias("u"), F.col("receiver").alias("v")).distinct()
     return G.densest(inner)
 
 

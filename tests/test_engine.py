@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,6 +191,62 @@ def test_graph(spark):
     assert dense.members == [1, 2, 3] and dense.density == 1.0
 
 
+def test_paths_behind_dead_ends(spark):
+    # Account 1 has 30 two-step prefixes into dead ends ahead of the only ones that go on.
+    rows = [(1, 2)] + [(2, 100 + i) for i in range(30)] + [(2, 500)] + [(500, 600 + i) for i in range(25)] + [(500, 1), (600, 2)]
+    near: dict[int, list[int]] = {}
+    for u, v in rows:
+        near.setdefault(u, []).append(v)
+    every = [(a, b, c, e) for a in near for b in near[a] for c in near.get(b, []) for e in near.get(c, []) if len({a, b, c, e}) == 4]
+    for cap in (1, 3, 20, 1000):
+        expected = {p for a in near for p in sorted(p for p in every if p[0] == a)[:cap]}
+        assert {tuple(r.path) for r in G.paths(spark.createDataFrame(rows, "u long, v long"), cap=cap).collect()} == expected
+    assert len([p for p in every if p[0] == 1]) == 25
+
+
+def test_queries_over_all_transfers(spark):
+    from riskweave.plans.registry import QUERIES
+    from riskweave.sources.tables import txn
+
+    where = "/root/testdata/sf0.001"
+    rows = [(r.tx_id, r.sender, r.receiver, r.amount) for r in txn(spark, where).collect()]
+    near: dict[int, set[int]] = {}
+    out: dict[int, set[int]] = {}
+    for _, u, v, _ in rows:
+        if u != v:
+            out.setdefault(u, set()).add(v)
+            near.setdefault(u, {u}).add(v)
+            near.setdefault(v, {v}).add(u)
+    label = {a: a for a in near}
+    for _ in range(5):
+        votes = {a: Counter(label[b] for b in near[a]) for a in near}
+        label = {a: min(c, key=lambda x: (-c[x], x)) for a, c in votes.items()}
+    assert {r.account: r.community for r in QUERIES["gr_communities_all"](spark, where).collect()} == label
+    joined = {r.tx_id: (r.sender_community, r.receiver_community) for r in QUERIES["jn_communities_all"](spark, where).collect()}
+    assert joined == {i: (label.get(u, -1), label.get(v, -1)) for i, u, v, _ in rows}
+    inner = [(label[u], u, v, x) for _, u, v, x in rows if u != v and label[u] == label[v]]
+    flows = {r.community: r.transfers for r in QUERIES["gr_induced_all"](spark, where).collect()}
+    assert flows == Counter(c for c, *_ in inner)
+    sizes = Counter(label.values())
+    assert {r.community: r.community_size for r in QUERIES["gr_profiles_all"](spark, where).collect()} == {c: n for c, n in sizes.items() if n > 1}
+    assert {r.community for r in QUERIES["gr_densest"](spark, where).collect()} == {c for c, *_ in inner}
+    assert {r.account for r in QUERIES["gr_betweenness"](spark, where).collect()} == set(near)
+    component: dict[int, int] = {}
+    for a in sorted(near):
+        todo = [] if a in component else [a]
+        while todo:
+            x = todo.pop()
+            if x not in component:
+                component[x] = a
+                todo += near[x]
+    assert {r.account: r.component for r in QUERIES["gr_components_all"](spark, where).collect()} == component
+    first = {p for a in out for p in sorted((a, b, c, e) for b in out[a] for c in out.get(b, ()) for e in out.get(c, ()) if len({a, b, c, e}) == 4)[:20]}
+    assert {tuple(r.path) for r in QUERIES["gr_paths_all"](spark, where).collect()} == first
+    one = near.get(1, {1}) - {1}
+    two = {b for a in one for b in near[a]} - one - {1}
+    assert [(r.account, r.hop) for r in QUERIES["gr_neighbourhood_all"](spark, where).orderBy("hop", "account").collect()] == [(1, 0), *[(a, 1) for a in sorted(one)], *[(a, 2) for a in sorted(two)]][:80]
+
+
 def test_generator(spark):
     cfg = N.Config(accounts=200, transactions=300, rings=10, days=30)
     made = N.generate(spark, cfg).persist()
