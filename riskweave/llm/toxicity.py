@@ -45,12 +45,16 @@ LOOKALIKES = {
     "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "¥": "y", "¡": "i", "µ": "u", "×": "x", "&": "a", "%": "o", "#": "h",
 }
 GAPS = " .-_*~'·,/\\"
+#: Tokens longer than this aren't remembered, only read.
+LONG = 40
 #: Log probabilities of the channel: a letter as it is, a look-alike, a gap, one more of a letter.
 KEPT, SWAPPED, GAP, AGAIN = -0.05, -0.5, -0.2, -0.9
 EDGES = ".,;:!?\"'()[]{}<>*#%&|~«»„“”¿¡…-_"
-DISGUISED = re.compile(r"[^\W\d_].*[\d@$!|+(<{€£¥¡µ×&%#.\-_*~'·,/\\]|[\d@$!|+(<{€£¥¡µ×&%#.\-_*~'·,/\\].*[^\W\d_]|([^\W\d_])\1\1")
+LETTER = re.compile(r"[^\W\d_]")
+MARK = re.compile(r"[\d@$!|+(<{€£¥¡µ×&%#.\-_*~'·,/\\]")
+DRAWN = re.compile(r"([^\W\d_])\1\1")
 SPACED = re.compile(r"(?<!\S)(?:[^\s.,;:][ ]){2,}[^\s.,;:](?!\S)")
-STRETCHED = re.compile(r"[.,;:!?\"'*#%&|$@~-]{2,}$")
+STRETCHED = ".,;:!?\"'*#%&|$@~-"
 
 
 class CharModel:
@@ -92,33 +96,51 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore(token: str, model: CharModel, beam: int = 24) -> str:
-    """The most likely word behind a token: Viterbi over pairs of letters, at most `beam` of them at a time."""
+def restore(token: str, model: CharModel, beam: int = 24, words: bool = False) -> str:
+    """The most likely word behind a token: Viterbi over pairs of letters, at most `beam` of them at a time.
+
+    With words, each blank of the token may also end a word, and words come out
+    between blanks. Paths are chains of letters, so time grows with the length.
+    """
     ids, logp = model.ids, model.logp
-    states = {(0, 0): (0.0, "")}
-    for options in lattice(token):
-        ahead: dict[tuple[int, int], tuple[float, str]] = {}
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    for at, options in enumerate(lattice(token)):
+        ends = words and token[at] == " "
+        ahead: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (score, out) in states.items():
             for c, cost in options:
                 if not c:
-                    key, now = (a, b), (score + cost, out)
+                    key, now, chain = (a, b), score + cost, out
                 elif (i := ids.get(c)) is None:
-                    key, now = (b, 0), (score + cost - 12.0, out + c)
+                    key, now, chain = (b, 0), score + cost - 12.0, (out, c)
                 else:
-                    key, now = (b, i), (score + cost + float(logp[a, b, i]), out + c)
-                if key not in ahead or now > ahead[key]:
-                    ahead[key] = now
-        states = dict(sorted(ahead.items(), key=lambda x: x[1], reverse=True)[:beam])
-    return max((score + float(logp[a, b, 0]), out) for (a, b), (score, out) in states.items())[1] if states else ""
+                    key, now, chain = (b, i), score + cost + float(logp[a, b, i]), (out, c)
+                if key not in ahead or now > ahead[key][0]:
+                    ahead[key] = now, chain
+            if ends and (now := score + GAP + float(logp[a, b, 0])) > ahead.get((0, 0), (-math.inf,))[0]:
+                ahead[0, 0] = now, (out, " ")
+        states = dict(sorted(ahead.items(), key=lambda x: -x[1][0])[:beam])
+    _, chain = max(((score + float(logp[a, b, 0]), out) for (a, b), (score, out) in states.items()), key=lambda x: x[0])
+    letters = []
+    while chain:
+        chain, c = chain
+        letters.append(c)
+    return "".join(reversed(letters))
 
 
 def bare(token: str) -> str:
     """A lower-cased token without what punctuation puts around it."""
-    return STRETCHED.sub("", token).strip(EDGES)
+    return unstretched(token).strip(EDGES)
+
+
+def unstretched(token: str) -> str:
+    """The token without the marks at its end, where there are two or more."""
+    short = token.rstrip(STRETCHED)
+    return short if len(token) - len(short) > 1 else token
 
 
 def disguised(token: str) -> bool:
-    return 2 < len(token) <= 40 and DISGUISED.search(token) is not None
+    return len(token) > 2 and LETTER.search(token) is not None and (MARK.search(token) is not None or DRAWN.search(token) is not None)
 
 
 def squeezed(token: str) -> str:
@@ -126,22 +148,31 @@ def squeezed(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", token)
 
 
+def read_token(token: str, model: CharModel) -> str:
+    """A token's words between blanks: as it stands, and restored with and without the marks at its end; of letters spaced out, as one word and as several."""
+    if " " in token:
+        joined = token.replace(" ", "_")
+        return f"{bare(joined)} {restore(joined, model)} {restore(token, model, words=True)}" if disguised(joined) else bare(joined)
+    word, plain = bare(token), token.strip(".,;:?\"'()[]")
+    forms = {plain, unstretched(plain)}
+    return " ".join([word, *(restore(x, model) for x in sorted(forms) if disguised(x))])
+
+
 def readings(text: str, model: CharModel, cache: dict[str, str]) -> set[str]:
     """Distinct words of a text, with the restored words of disguised tokens and of spaced-out letters."""
     text = text.lower()
     out = set()
     tokens = set(text.split())
     if SPACED.search(text):
-        tokens.update(m.replace(" ", "_") for m in SPACED.findall(text))
+        tokens.update(SPACED.findall(text))
     for token in tokens:
         word = cache.get(token)
         if word is None:
-            word = bare(token)
-            if disguised(plain := token.strip(".,;:?\"'()[]")) and not STRETCHED.search(plain):
-                word = f"{word} {restore(plain, model)}"
-            if len(cache) >= CACHE:
-                cache.clear()
-            cache[token] = word
+            word = read_token(token, model)
+            if len(token) <= LONG:
+                if len(cache) >= CACHE:
+                    cache.clear()
+                cache[token] = word
         if " " in word:
             out.update(word.split(" "))
         else:

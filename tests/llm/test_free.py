@@ -11,7 +11,7 @@ from riskweave.llm.minhash import near_duplicates
 from riskweave.llm.pu_quality import fit_nnpu, score_quality
 from riskweave.llm.quality_rules import judge_quality
 from riskweave.llm.suffix_dedup import repeated_passages
-from riskweave.llm.toxicity import CharModel, disguised, restore, score_toxicity
+from riskweave.llm.toxicity import CharModel, disguised, read_token, readings, restore, score_toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, words string, n int, key string"
 
@@ -157,6 +157,21 @@ def test_restoring():
     assert not disguised("plain") and not disguised("2024")
 
 
+def test_reading_long_marked_and_spaced_tokens():
+    counts: Counter = Counter()
+    for w, n in (("idiot", 50), ("stupid", 50), ("you", 400), ("are", 400), ("a", 300), ("lamp", 200), ("the", 900), ("such", 100)):
+        for i in range(len(w) + 1):
+            counts[f"^^{w}^"[i : i + 3]] += n
+    model = CharModel(sorted(counts.items()))
+    for text, word in (
+        ("st" + "u" * 60 + "pid", "stupid"), ("1d10t!!", "idiot"), ("y o u i d i o t", "idiot"), ("well, y o u a r e s u c h a s t u p i d l a m p now", "stupid"), ("-".join("you" * 20) + "-1-d-1-0-t", "you" * 20 + "idiot"),
+    ):
+        assert word in readings(text, model, {}), text
+    assert {"y_o_u_i_d_i_o_t", "you", "idiot"} <= set(read_token("y o u i d i o t", model).split(" "))
+    assert len(restore("x1" * 20_000, model)) >= 20_000
+    assert readings("plain words, 2024 !!", model, {}) == {"plain", "words", "2024", ""}
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(2)
     rows, labels = [], []
