@@ -11,9 +11,9 @@ Scale: the character model comes from the counts of all words of all documents
 (a grouped count combined in the batch and before the shuffle; it grows with the
 corpus), reduced to the trigrams of the MAX_LETTERS commonest letters, which
 bounds what the driver and the tasks hold. The lexicon is learned from at most
-max_rows labelled texts of either label, in order of a hash of doc_id, and holds
-words of at least min_share of the toxic texts, which bounds it. Scoring is one
-pass in Arrow batches without a shuffle.
+max_rows labelled texts of either label, in order of a hash of doc_id, weighted
+to the totals of their labels; it holds what can't be chance in them, of which
+max_rows bounds the number. Scoring is one pass in Arrow batches without a shuffle.
 """
 
 from __future__ import annotations
@@ -212,10 +212,12 @@ def fit_char_model(docs: DataFrame) -> CharModel:
     return CharModel(sorted((r["gram"], r["n"]) for r in grams.where(inside).collect()))
 
 
-def lexicon_of(docs: DataFrame, marked: DataFrame, model: CharModel, *, min_share: float, min_toxic: int) -> tuple[dict[str, float], float]:
+def lexicon_of(docs: DataFrame, marked: DataFrame, model: CharModel, all_toxic: int, all_clean: int) -> tuple[dict[str, float], float]:
     """Words and beginnings (ending in ~) with the share of toxic among the texts that have them, and the share among texts without any.
 
-    marked: l_id, toxic of the texts to learn from.
+    marked: l_id, toxic of the texts to learn from, drawn by label from all_toxic
+    and all_clean. Shares are of all texts; chance is judged among those drawn, as
+    weighted counts would count a text for several.
     """
 
     def run(batches):
@@ -231,16 +233,28 @@ def lexicon_of(docs: DataFrame, marked: DataFrame, model: CharModel, *, min_shar
     totals = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic:
-        return {}, 1 / (clean + 2)
+        return {}, 1 / (all_clean + 2)
     learned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if(marked, toxic + clean, 1_000_000), F.col("doc_id") == F.col("l_id")).select("text", "toxic").dropDuplicates(["text"])
     sums = learned.mapInArrow(run, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    least = max(min_toxic, math.ceil(min_share * toxic))
-    sums = materialise(sums.where(F.col("toxic") >= least), "toxic-words")
-    tested, rate = sums.count(), toxic / (toxic + clean)
-    prior = (toxic + 1) / (toxic + clean + 2)
-    # A text has few words that occur in min_share of all toxic ones, so the rows are few.
-    rows = sums.where(F.col("toxic") >= (F.col("toxic") + F.col("clean")) * PURITY).collect()
-    return {r["feature"]: (r["toxic"] + 2 * prior) / (r["toxic"] + r["clean"] + 2) for r in rows if _by_chance(r["toxic"], r["clean"], rate) * tested < CHANCE}, prior
+    sums = materialise(sums.where(F.col("toxic") > 0), "toxic-words")
+    rate, prior = toxic / (toxic + clean), (all_toxic + 1) / (all_toxic + all_clean + 2)
+    least, tested = _testable({r["toxic"]: r["n"] for r in sums.groupBy("toxic").agg(F.count("*").alias("n")).collect()}, rate)
+    t, c = F.col("toxic") * (all_toxic / toxic), F.col("clean") * (all_clean / max(1, clean))
+    rows = sums.where((F.col("toxic") >= least) & (t >= (t + c) * PURITY)).select("feature", "toxic", "clean", t.alias("t"), c.alias("c")).collect()
+    return {r["feature"]: (r["t"] + 2 * prior) / (r["t"] + r["c"] + 2) for r in rows if _by_chance(r["toxic"], r["clean"], rate) * tested < CHANCE}, prior
+
+
+def _testable(met: dict[int, int], rate: float) -> tuple[int, int]:
+    """The least count of toxic texts that could not be chance if no clean text had the word, and how many words reach it.
+
+    met: number of words by count of toxic texts.
+    """
+    least, tested = max(met, default=0) + 1, 0
+    for n in sorted(met, reverse=True):
+        if rate**n * (tested + met[n]) >= CHANCE:
+            break
+        least, tested = n, tested + met[n]
+    return least, tested
 
 
 def _by_chance(toxic: int, clean: int, rate: float) -> float:
@@ -250,7 +264,7 @@ def _by_chance(toxic: int, clean: int, rate: float) -> float:
     return math.exp(min(0.0, choose + toxic * math.log(rate) + clean * math.log1p(-min(rate, 1 - 1e-9))))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = 15_000, min_share: float = 0.01, min_toxic: int = 3, threshold: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = 15_000, threshold: float = 0.3) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted.
 
     labels has doc_id, toxic; held out doc_ids aren't learned from. The score is
@@ -266,7 +280,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = 15_000
     marked = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("l_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("l_id")))
     marked = marked.groupBy("l_id").agg(F.max("toxic").alias("toxic"))
     drawn = [marked.where(F.col("toxic") == t).orderBy(F.xxhash64(F.lit(2), "l_id"), "l_id").limit(max_rows) for t in (0, 1)]
-    lexicon, prior = lexicon_of(docs, materialise(drawn[0].unionByName(drawn[1]), "toxic-sample"), model, min_share=min_share, min_toxic=min_toxic)
+    totals = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    lexicon, prior = lexicon_of(docs, materialise(drawn[0].unionByName(drawn[1]), "toxic-sample"), model, totals.get(1, 0), totals.get(0, 0))
 
     def run(batches):
         cache: dict[str, str] = {}

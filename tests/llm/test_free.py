@@ -195,3 +195,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert clean.where("predicted = 1").count() == 0
     assert score_toxicity(documents(spark, rows).where("false"), labelled(spark, labels)).count() == 0
     assert clean.where(F.col("score").isNull()).count() == 0
+
+
+def test_lexicon_does_not_hang_on_the_number_of_labels(spark):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(7200):
+        # A toxic word in 8 of 1200 toxic texts and in no clean one.
+        text, bad = prose(rng, 6, 200), i < 1200
+        rows.append((i, text + (" slur" if bad and i % 150 == 0 else "")))
+        labels.append((i, 1, int(bad)))
+    rows.append((9000, "such a slur here"))
+    assert score_toxicity(documents(spark, rows), labelled(spark, labels)).where("doc_id = 9000").first().predicted == 1
+    # Toxic texts are few: the clean labels drawn stand for ten times as many.
+    few = [(i, "x common" if i % 2 else "x", 1) for i in range(120)] + [(1000 + i, "x common" if i % 40 == 0 else "x", 0) for i in range(3000)]
+    texts = [(i, f"{t} t{i}") for i, t, _ in few] + [(9001, "a common thing")]
+    marks = labelled(spark, [(i, 1, b) for i, _, b in few])
+    scores = [score_toxicity(documents(spark, texts), marks, max_rows=n).where("doc_id = 9001").first().predicted for n in (120, 100_000)]
+    assert scores == [0, 0]
