@@ -26,8 +26,10 @@ BROADCAST_ROWS = 200_000
 # The rules of the query contract.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 TRACKING = "^(utm_|ref=|fbclid=|gclid=)"
-CANONICAL = r"""(?i)<link\s[^>]*rel=["']?canonical["']?[^>]*href=["']([^"']+)"""
-REFRESH = r"""(?i)<meta\s[^>]*http-equiv=["']?refresh["']?[^>]*url=([^"'>\s]+)"""
+# Quotes count after an equals sign only; possessive, so that long tags need no stack.
+TAG = r"""(?i)<(?:link|meta)[\s/](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+ATTRIBUTE = r"""([^\s=>"'/]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)"""
+REFRESH = r"""(?is)^[\s0-9.]*+[;,]?\s*+url\s*+=\s*+(?:"([^"]*+)|'([^']*+)|([^"'].*+))"""
 
 
 def _after(url: Column) -> Column:
@@ -52,6 +54,39 @@ def normal_form(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit(""))))
 
 
+def links_of(html: Column) -> Column:
+    """Targets of all canonical links and refreshes, as they are written."""
+
+    def target(tag: Column) -> Column:
+        names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 1), lambda x: ascii_lower(x))
+        values = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 2)
+
+        def value(name: str) -> Column:
+            raw = F.get(values, (F.array_position(names, name) - 1).cast("int"))
+            return F.replace(F.regexp_replace(raw, r"""^(["'])(.*)\1$""", "$2"), F.lit("&amp;"), F.lit("&"))
+
+        canonical = F.array_contains(F.split(ascii_lower(value("rel")), r"\s+"), "canonical") & ascii_lower(tag).startswith("<link")
+        refresh = (F.trim(ascii_lower(value("http-equiv"))) == "refresh") & ascii_lower(tag).startswith("<meta")
+        content = F.concat(*[F.regexp_extract(value("content"), REFRESH, i) for i in (1, 2, 3)])
+        return F.trim(F.when(canonical, value("href")).when(refresh, content))
+
+    found = F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(TAG), 0), target)
+    return F.array_distinct(F.filter(found, lambda x: x.isNotNull() & (x != "")))
+
+
+def resolved(target: Column, page: Column) -> Column:
+    """target as seen from a page; targets with a scheme stay."""
+    scheme, place = F.regexp_extract(page, "^[^:/?#]+:", 0), F.regexp_extract(page, "^[^:/?#]+://[^/?#]*", 0)
+    folder = F.regexp_extract(path_of(page), "^(.*/)?", 0)
+    path = F.regexp_extract(target, "^[^?#]*", 0)
+    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    up = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.lit(1), F.size(done) - 1))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    steps = F.array_join(F.aggregate(F.split(full, "/"), F.array().cast("array<string>"), up), "/")
+    rest = F.regexp_extract(target, "[?#].*$", 0)
+    inside = F.when(path == "", F.concat(place, path_of(page), rest)).otherwise(F.concat(place, steps, rest))
+    return F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), target).when(target.startswith("//"), F.concat(scheme, target)).when(place != "", inside)
+
+
 def fit_rules(urls: DataFrame, rules=RULES) -> DataFrame:
     """urls (key, host, path; key unique) with the rule and action that fit, if one does: key, rule, action."""
     rows = [(host, path, action, host + path) for host, path, action in rules]
@@ -72,11 +107,10 @@ def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULE
     allowed. Null html has no links. Repeated pages and null page_ids are judged
     row by row. Empty tables give empty results; other columns are ignored.
     """
-    link = lambda pattern: F.regexp_extract(F.coalesce("html", F.lit("")), pattern, 1)
     read = materialise(
         pages.select(
             F.monotonically_increasing_id().alias("key"), F.col("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), normal_form(F.col("url")).alias("node"),
-            F.array_remove(F.array(link(CANONICAL), link(REFRESH)), "").alias("targets"),
+            F.transform(links_of(F.col("html")), lambda x: resolved(x, F.col("url"))).alias("targets"),
         ),
         "urls",
     )

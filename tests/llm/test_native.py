@@ -148,6 +148,45 @@ def test_url_filter(spark):
     assert filter_urls(table.where("false")).count() == 0
 
 
+def test_url_filter_follows_links_however_written(spark):
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    class Links(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            a = {k: v or "" for k, v in reversed(attrs)}
+            if tag == "link" and "canonical" in a.get("rel", "").lower().split():
+                self.found.append(a["href"])
+            if tag == "meta" and a.get("http-equiv", "").lower() == "refresh":
+                self.found.append(re.sub("^[^=]*=", "", a["content"]).strip(" '\""))
+
+    long = "x" * 50_000
+    tags = [
+        "<link href='http://sub.net/fr/a' rel='canonical'>", '<LINK HREF=http://sub.net/fr/a REL=canonical>', '<link rel="alternate canonical" title="a > b" href="http://sub.net/fr/a"/>', "<meta content=\"0;url='http://sub.net/fr/a'\" http-equiv=\"refresh\">",
+        '<meta http-equiv=refresh content="5; URL = http://sub.net/fr/a">', '<link rel=canonical href="//sub.net/fr/a">', '<link rel="canonical" href="http://d.org/1"><link rel="canonical" href="http://sub.net/fr/a">', f'<link title="{long}" rel="canonical" href="http://sub.net/fr/a">',
+        '<link rel="stylesheet" href="http://sub.net/fr/a">', '<link rel="next" title="rel=canonical" href="http://sub.net/fr/a">', '<meta name="x" content="0;url=http://sub.net/fr/a">', '<link rel="canonical" href="mailto:a">', '<link rel="canonical" href="">',
+    ]
+    pages = [(i, f"http://p{i}.org/x", t) for i, t in enumerate(tags)]
+    relative = ["/fr/x", "x", "../fr/x", "./../../../fr/x", "?q=1&amp;r=2", "y/../x#top"]
+    pages += [(100 + i, f"http://r{i}.info/a/b/c.html", f'<link href="{t}" rel="canonical">') for i, t in enumerate(relative)]
+    rules = [("net", "/fr/", "block")]
+    for i, url, html in pages[len(tags) :]:
+        parser = Links()
+        parser.found = []
+        parser.feed(html)
+        rest = urljoin(url, parser.found[0]).partition("://")[2].partition("#")[0]
+        pages.append((200 + i, f"https://{rest}", None))
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules=rules).collect()}
+    for i, _, html in pages[: len(tags)]:
+        parser = Links()
+        parser.found = []
+        parser.feed(html)
+        blocked = any(urljoin(f"http://p{i}.org/x", x) == "http://sub.net/fr/a" for x in parser.found)
+        assert blocked == (i < 8) and got[i].verdict == ("block" if blocked else "allow"), html
+    for i in range(len(relative)):
+        assert got[100 + i].component == got[300 + i].component, relative[i]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3)] + [(200, 300 + i) for i in range(50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
