@@ -1,6 +1,9 @@
 """Queries against their SQL in DuckDB at the smallest scale."""
 
 import math
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -45,8 +48,21 @@ def test_query_equals_its_sql(spark, db, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in got), key=key) == sorted((tuple(map(plain, r)) for r in cursor.fetchall()), key=key)
 
 
-def test_entry_without_the_llm_part(spark):
+def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).limit(1).count() == 1
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_llm_part(tmp_path, pipeline):
+    """In a copy of the repository without the training-data operators, with and without the pipeline's file."""
+    here = Path(__file__).resolve().parent.parent
+    copy = tmp_path / "copy"
+    shutil.copytree(here, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", *([] if pipeline else ["corpus_pipeline.py"])))
+    assert not (copy / "riskweave" / "llm").exists() and (copy / "corpus_pipeline.py").exists() == pipeline
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert q and set(o) <= set(q); assert not [x for x in q if x == 'pipeline' or x.startswith('op1')]; print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(copy)})
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) == len(QUERIES)
