@@ -1,15 +1,18 @@
 """Quality rules with thresholds that adapt to language and source.
 
-Each text is measured. The measures of each language and source go into
-mergeable quantile sketches: counts of logarithmic bins (relative error ERROR),
-which add up over partitions, and over groups where one is too small. Fences are
-set from the quartiles of a group, q75 + reach * (q75 - q25) and likewise below,
-never tighter than a fixed allowance, and joined back to filter the documents.
+Each text is measured. The measures of the texts that pass the base rules go into
+mergeable quantile sketches, by language and source: counts of logarithmic bins
+(relative error ERROR), which add up over partitions, and over groups where one
+is too small. No cutoff is fixed: a text is out where a measure lies beyond the
+upper quartile of its group by more than `reach` spreads (or, for word length,
+below the lower quartile by as much). The spread is the group's interquartile
+range, but not less than what chance does to a text of its size: a rate q over n
+units (words; lines for repetition) scatters by sqrt((q + 1/n) / n).
 
 Scale: texts are read once, in Arrow batches; the sketch is a grouped count
 combined before the shuffle, with at most some hundred bins a group and measure,
 so a source with a third of all rows is as many rows as a small one. The join of
-fences is small against large and left to Spark.
+quartiles is small against large and left to Spark.
 """
 
 from __future__ import annotations
@@ -27,14 +30,8 @@ from riskweave.llm.wordhash import texts
 ERROR = 0.01
 GAMMA = math.log((1 + ERROR) / (1 - ERROR))
 SYMBOLS = b"#*$%&|<>"
-#: Measure: allowance below and above which no fence falls, and whether there is a lower fence.
-MEASURES = {
-    "symbol_share": (0.0, 0.05, False),
-    "dup_line_share": (0.0, 0.5, False),
-    "repeat_share": (0.0, 0.45, False),
-    "word_length": (3.0, 11.0, True),
-    "upper_share": (0.0, 0.3, False),
-}
+#: Measure: what it is a rate over, and whether there is a lower fence.
+MEASURES = {"symbol_share": ("n_words", False), "dup_line_share": ("n_lines", False), "repeat_share": ("n_lines", False), "word_length": ("n_words", True), "upper_share": ("n_words", False)}
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -100,11 +97,16 @@ def _measures() -> dict[str, Column]:
     }
 
 
+def base_failure(min_words: int = 50) -> Column:
+    """Fewer than min_words words, or over half of them in repeated windows."""
+    return (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+
+
 def sketch_measures(measured: DataFrame) -> DataFrame:
     """Quantile sketches: counts by lang, source, measure and bin; bin null holds zeros."""
     pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), value.alias("value")) for name, value in _measures().items()]))
     bins = F.when(F.col("m.value") > 0, F.ceil(F.log("m.value") / F.lit(GAMMA)))
-    return measured.where(F.col("n_words") > 0).select("lang", "source", pairs.alias("m")).groupBy("lang", "source", F.col("m.measure").alias("measure"), bins.alias("bin")).agg(F.count("*").alias("n"))
+    return measured.select("lang", "source", pairs.alias("m")).groupBy("lang", "source", F.col("m.measure").alias("measure"), bins.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
@@ -118,10 +120,10 @@ def quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by, "measure").agg(F.max("rows").alias("rows"), at(0.25).alias("q25"), at(0.75).alias("q75"))
 
 
-def fences(sketches: DataFrame, *, reach: float = 4.0, min_rows: int = 100) -> DataFrame:
-    """f_lang, f_source and, for each measure, its lower and upper fence.
+def fences(sketches: DataFrame, *, min_rows: int = 100) -> DataFrame:
+    """f_lang, f_source and, for each measure, the quartiles that its fences are set from.
 
-    A group of fewer than min_rows rows takes the fences of its language, and a
+    A group of fewer than min_rows rows takes those of its language, and a
     language of fewer those of the whole corpus.
     """
     own = quartiles(sketches, ["lang", "source"])
@@ -130,13 +132,19 @@ def fences(sketches: DataFrame, *, reach: float = 4.0, min_rows: int = 100) -> D
     both = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))).join(whole, F.col("measure") == F.col("w_measure"))
     pick = lambda a, b, c: F.when(F.col("rows") >= min_rows, F.col(a)).when(F.col("l_rows") >= min_rows, F.col(b)).otherwise(F.col(c))
     both = both.select("lang", "source", "measure", pick("q25", "l25", "w25").alias("q25"), pick("q75", "l75", "w75").alias("q75"))
-    spread = (F.col("q75") - F.col("q25")) * reach
-    out = []
-    for name, (low, high, lower) in MEASURES.items():
-        mine = F.col("measure") == name
-        out.append(F.max(F.when(mine, F.greatest(F.lit(high), F.col("q75") + spread))).alias(f"high_{name}"))
-        out.append((F.max(F.when(mine, F.least(F.lit(low), F.col("q25") - spread))) if lower else F.lit(0.0)).alias(f"low_{name}"))
-    return both.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(*out)
+    of = lambda name, q: F.max(F.when(F.col("measure") == name, F.col(q))).alias(f"{q}_{name}")
+    return both.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(*[of(name, q) for name in MEASURES for q in ("q25", "q75")])
+
+
+def within_fences(reach: float) -> Column:
+    """Whether all measures of a text lie within the fences that its group's quartiles and its own size give."""
+    inside = F.lit(True)
+    for name, value in _measures().items():
+        units, lower = MEASURES[name]
+        n, low, high = F.greatest(F.col(units), F.lit(1)), F.col(f"q25_{name}"), F.col(f"q75_{name}")
+        spread = F.greatest(high - low, F.sqrt((high + F.lit(1.0) / n) / n)) * F.lit(float(reach))
+        inside = inside & (value <= high + spread) & ((value >= low - spread) if lower else F.lit(True))
+    return inside
 
 
 def judge_quality(docs: DataFrame, *, min_words: int = 50, reach: float = 4.0, min_rows: int = 100) -> DataFrame:
@@ -144,21 +152,66 @@ def judge_quality(docs: DataFrame, *, min_words: int = 50, reach: float = 4.0, m
 
     base_failed: fewer than min_words words, or over half of them in repeated
     windows. kept: not base_failed and all measures within the fences of the
-    document's language and source.
+    document's language and source, which those that pass the base rules set.
 
     Null and empty texts have no words and fail. Null languages and sources are
-    groups of their own. Repeated rows count as often as they stand. An empty
-    table gives an empty result; other columns are ignored.
+    groups of their own. Repeated rows count as often as they stand, and ties
+    with a fence are kept. Texts of any length are measured whole. An empty table
+    gives an empty result; other columns are ignored, whatever their names.
     """
     measured = materialise(measure(docs), "measures")
-    limits = fences(materialise(sketch_measures(measured), "quantile-sketches"), reach=reach, min_rows=min_rows)
+    limits = fences(materialise(sketch_measures(measured.where(~base_failure(min_words))), "quantile-sketches"), min_rows=min_rows)
     judged = measured.join(limits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    within = F.lit(True)
-    for name, value in _measures().items():
-        within = within & F.coalesce(value.between(F.col(f"low_{name}"), F.col(f"high_{name}")), F.lit(True))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & within).alias("kept"), *[v.alias(n) for n, v in _measures().items()])
+    failed = base_failure(min_words)
+    kept = ~failed & F.coalesce(within_fences(reach), F.lit(True))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), *[v.alias(n) for n, v in _measures().items()])
 
 
 def op9_quality_rules(spark, sf_dir):
     return judge_quality(table(spark, sf_dir, "documents")).drop(*MEASURES)
+
+
+def _sql() -> str:
+    """The same result in DuckDB: the same bins, counted from measures taken word by word and line by line."""
+    value = {"symbol_share": "n_symbols / nullif(word_chars, 0)", "dup_line_share": "n_dup_lines / nullif(n_lines, 0)", "repeat_share": "n_repeat_words / nullif(n_words, 0)", "word_length": "word_chars / nullif(n_words, 0)", "upper_share": "n_upper / nullif(word_chars, 0)"}
+    pairs = " UNION ALL ".join(f"SELECT r, lang, source, '{name}' AS measure, coalesce({v}, 0)::DOUBLE AS value, greatest({MEASURES[name][0]}, 1)::DOUBLE AS n, {str(MEASURES[name][1]).lower()} AS lower FROM counted WHERE NOT base_failed" for name, v in value.items())
+    level = lambda name, by: f"""{name} AS (
+  SELECT {by}measure, max(total) AS rows, min(CASE WHEN upto >= total * 0.25::DOUBLE THEN v END) AS q25, min(CASE WHEN upto >= total * 0.75::DOUBLE THEN v END) AS q75 FROM (
+    SELECT *, sum(c) OVER (PARTITION BY {by}measure ORDER BY bin NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(c) OVER (PARTITION BY {by}measure) AS total,
+      coalesce(2.0::DOUBLE * exp(bin * {GAMMA!r}::DOUBLE) / {math.exp(GAMMA) + 1!r}::DOUBLE, 0) AS v
+    FROM (SELECT {by}measure, bin, count(*) AS c FROM binned GROUP BY ALL)) GROUP BY ALL
+)"""
+    return rf"""
+WITH read AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT r, p, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] AS g FROM (SELECT r, w, unnest(range(len(w) - 2)) AS p FROM read WHERE len(w) > 2)
+), twice AS (
+  SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, g) AS c FROM windows) WHERE c > 1
+), repeated AS (
+  SELECT r, count(DISTINCT p + j) AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY r
+), lines AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM read) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), counted AS (
+  SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed FROM (
+    SELECT r, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+      len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(text, '[A-Z]'))::BIGINT AS n_upper,
+      coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+    FROM read LEFT JOIN lines USING (r) LEFT JOIN repeated USING (r))
+), pairs AS ({pairs}),
+binned AS (SELECT lang, source, measure, CASE WHEN value > 0 THEN ceil(ln(value) / {GAMMA!r}::DOUBLE) END AS bin FROM pairs),
+{level("own", "lang, source, ")}, {level("by_lang", "lang, ")}, {level("whole", "")},
+limits AS (
+  SELECT o.lang, o.source, o.measure, CASE WHEN o.rows >= 100 THEN o.q25 WHEN l.rows >= 100 THEN l.q25 ELSE w.q25 END AS q25, CASE WHEN o.rows >= 100 THEN o.q75 WHEN l.rows >= 100 THEN l.q75 ELSE w.q75 END AS q75
+  FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN whole w ON o.measure = w.measure
+), outside AS (
+  SELECT DISTINCT r FROM (
+    SELECT r, value, lower, q25, q75, 4 * greatest(q75 - q25, sqrt((q75 + 1 / n) / n)) AS spread
+    FROM pairs p JOIN limits f ON p.lang IS NOT DISTINCT FROM f.lang AND p.source IS NOT DISTINCT FROM f.source AND p.measure = f.measure)
+  WHERE value > q75 + spread OR (lower AND value < q25 - spread)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND o.r IS NULL AS kept FROM counted c LEFT JOIN outside o ON c.r = o.r
+"""
+
+
+OP9_SQL = _sql()

@@ -8,7 +8,7 @@ from riskweave.llm.license_scan import OP2_SQL, op2_license_scan
 from riskweave.llm.line_templates import OP7_SQL, op7_line_templates
 from riskweave.llm.minhash import OP10_SQL, op10_minhash
 from riskweave.llm.pu_quality import op1_pu_quality
-from riskweave.llm.quality_rules import op9_quality_rules
+from riskweave.llm.quality_rules import OP9_SQL, op9_quality_rules
 from riskweave.llm.suffix_dedup import op5_suffix_dedup
 from riskweave.llm.toxicity import op6_toxicity
 from riskweave.llm.url_filter import OP8_SQL, op8_url_filter
@@ -31,5 +31,6 @@ ORACLES = {
     "op4_fair_mix": OP4_SQL,
     "op7_line_templates": OP7_SQL,
     "op8_url_filter": OP8_SQL,
+    "op9_quality_rules": OP9_SQL,
     "op10_minhash": OP10_SQL,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.minhash import near_duplicates
 from riskweave.llm.pu_quality import fit_nnpu, score_quality
-from riskweave.llm.quality_rules import judge_quality
+from riskweave.llm.quality_rules import base_failure, fences, judge_quality, measure, sketch_measures
 from riskweave.llm.suffix_dedup import repeated_passages
 from riskweave.llm.toxicity import CharModel, disguised, read_token, readings, restore, score_toxicity
 
@@ -114,6 +114,21 @@ def test_quality_rules(spark):
     assert judge_quality(documents(spark, rows).where("false")).count() == 0
 
 
+def test_fences_follow_their_group(spark):
+    rng = random.Random(4)
+    shout = lambda n, share: " ".join(x.upper() if rng.random() < share else x for x in prose(rng, n).replace("w", "word").split())
+    rows = [(i, shout(100, 0.02), "en", "calm") for i in range(200)] + [(1000 + i, shout(100, rng.uniform(0.3, 0.5)), "en", "loud") for i in range(200)]
+    rows += [(5000, shout(100, 0.45), "en", "calm"), (5001, shout(100, 0.45), "en", "loud"), (5002, shout(100, 1.0), "en", "loud"), (5003, shout(100, 0.02), None, None), (5004, shout(100, 1.0), "xx", "tiny")]
+    docs = spark.createDataFrame([(*x, 1, 2.0, "m") for x in rows], "doc_id long, text string, lang string, source string, n_words int, q25_word_length double, measure string")
+    kept = {r.doc_id: r.kept for r in judge_quality(docs).collect()}
+    assert not kept[5000] and kept[5001] and not kept[5002] and kept[5003]
+    assert sum(kept[i] for i in range(200)) >= 198 and sum(kept[1000 + i] for i in range(200)) >= 198
+    both = fences(sketch_measures(measure(docs).where(~base_failure()))).where("f_source in ('calm', 'loud')").collect()
+    assert len({r.q75_upper_share for r in both}) == 2
+    # A group too small for quartiles of its own is judged by all texts together: here as loud as the loud half.
+    assert fences(sketch_measures(measure(docs).where("false"))).count() == 0
+
+
 def labelled(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 

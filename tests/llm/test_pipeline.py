@@ -37,7 +37,7 @@ def test_registry(spark):
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == [] and set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", ["op2_license_scan", "op3_decontaminate", "op4_fair_mix", "op7_line_templates", "op8_url_filter", "op10_minhash"])
+@pytest.mark.parametrize("name", ["op2_license_scan", "op3_decontaminate", "op4_fair_mix", "op7_line_templates", "op8_url_filter", "op9_quality_rules", "op10_minhash"])
 def test_query_equals_its_sql(spark, name):
     from riskweave.llm.registry import ORACLES, QUERIES
 
