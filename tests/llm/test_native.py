@@ -112,11 +112,14 @@ def test_fair_mix(spark, tmp_path):
     assert mix_to_targets(documents(spark, rows, tmp_path).where("false")).count() == 0
 
 
+def own(i, k, n=12):
+    return " ".join(hashlib.md5(f"{i}{k}{j}".encode()).hexdigest()[:5].translate(str.maketrans("0123456789", "ghijklmnop")) for j in range(n))
+
+
 def test_line_templates(spark, tmp_path):
-    own = lambda i, k: " ".join(hashlib.md5(f"{i}{k}{j}".encode()).hexdigest()[:5].translate(str.maketrans("0123456789", "ghijklmnop")) for j in range(12))
     rows = [(i, "\n".join([own(i, "a"), f"Posted on 2024-{i} by the team", own(i, "b"), f"Share this page with {own(i, 'n')[:5]} now"]), "a") for i in range(40)]
-    rows += [(100 + i, own("same", "a") + "\n" + own("same", "b"), "a") for i in range(30)]  # copies: left whole
-    rows += [(500, None, "a"), (501, "", "a"), (502, "\n\n", "a"), (None, rows[3][1], "a"), (0, rows[0][1], "a")]
+    rows += [(100 + i, own("same", "a") + "\n" + own("same", "b"), "a") for i in range(30)]  # copies: nothing else bears witness against their lines
+    rows += [(500, None, "a"), (501, "", "a"), (502, "\n\n", "a"), (None, rows[3][1], "a"), (0, rows[0][1], "a"), (503, "Posted on 2020-1 by the team", "a")]
     out = drop_template_lines(documents(spark, rows, tmp_path))
     got = sorted(((r.doc_id, r.text, r.lines_dropped) for r in out.collect()), key=repr)
     expected = []
@@ -127,9 +130,24 @@ def test_line_templates(spark, tmp_path):
     assert got == sorted(expected, key=repr)
     assert out.columns[:-1] == documents(spark, rows, tmp_path, "more").columns
     assert out.where("n_chars <> length(text)").where("lines_dropped > 0").count() == 0
+    whole = drop_template_lines(documents(spark, rows, tmp_path), leave_bare=False).where("doc_id = 503").first()
+    assert (whole.text, whole.lines_dropped) == (rows[-1][1], 0)
     assert drop_template_lines(documents(spark, rows, tmp_path).where("false")).count() == 0
 
 
+def test_line_templates_count_documents_and_keep_copies(spark, tmp_path):
+    fixed = ["Home", "Tel 555 123 4567", "Page 3 of 10", "Posted on 2024-05-01", "About us and all of our long list of friends and partners in many countries of the world"]
+    rows = [(1, "\n".join([own(1, "z")] + [f"One line of many with {own(i, 'v')[:5]} inside" for i in range(22)]), "a")]  # 22 variants in one document
+    # Pages that are mostly boilerplate, one-token lines, lines of fields and short templates.
+    rows += [(100 + i, "\n".join([*fixed[:2], f"Page {i} of {i + 3}", f"Posted on 2024-{i}", fixed[4], own(i, "own", 10)]), "a") for i in range(30)]
+    # Near copies: each differs from the rest in one line of eight; they hold boilerplate too.
+    rows += [(200 + i, "\n".join([own("copy", str(j)) if j != i % 8 else own(i, "edit") for j in range(8)] + ["Home"]), "a") for i in range(40)]
+    got = {r.doc_id: (r.text, r.lines_dropped) for r in drop_template_lines(documents(spark, rows, tmp_path)).collect()}
+    assert got[1] == (rows[0][1], 0)
+    assert all(got[100 + i] == (own(i, "own", 10), 5) for i in range(30))
+    assert all(got[d] == (t.removesuffix("\nHome"), 1) for d, t, _ in rows if d >= 200)
+
+
 def test_url_filter(spark):
     pages = [
         (1, "https://WWW.example.com/en/x", None), (2, "http://m.example.com/en/x?q=1", ""), (3, "https://a.org/p.html?utm_source=f", '<link rel="canonical" href="http://sub.net/fr/z">'), (4, "http://www.a.org/p/#top", None), (5, None, None), (6, "no scheme", "x"),
