@@ -2,10 +2,12 @@
 
 All rolling word k-gram hashes of the documents are joined to the k-grams of a
 table of license templates. A hit at document position p and template position t
-votes for the diagonal p - t of that template. Votes are summed by diagonal,
-diagonals that lie close together (words put in or left out) are merged, and a
-merged span counts where enough of its template has been seen. The words of each
-hit are compared, not their hash alone.
+votes for the diagonal p - t of that template. Votes are summed by diagonal, and
+each diagonal is merged with those at most DRIFT behind it (words put in or left
+out). A merged span is verified: its distinct template positions, in the order in
+which the document has them, must make up enough of the template; by its making
+it can't be longer than the template and DRIFT. The words of each hit are
+compared, not their hash alone.
 
 Scale: documents are read once. Positions are made from a number sequence and
 looked up in the template table inside one code-generated stage, so only hits
@@ -26,7 +28,7 @@ from riskweave.llm.common import broadcast_if, letters_words, positions, table
 BROADCAST_ROWS = 200_000
 #: Length of the k-grams: of phrases of up to three words, and of longer templates.
 SHORT, LONG = 2, 4
-#: Diagonals so far apart at most are one span.
+#: A span is made of diagonals that lie so far apart at most.
 DRIFT = 8
 
 
@@ -83,13 +85,15 @@ def scan_spans(docs: DataFrame, templates=BASE + NOTICES, *, min_share: float =
     """Spans of templates in documents, and one row (template null) per document.
 
     Columns: row (a number of the input row), doc_id, n_words, template, label,
-    base, first, last (word positions, from 0), places (complete occurrences),
-    share (of the template's k-grams, 0 to 1). Spans of less than min_share are
-    left out; base templates must be complete.
+    base, first, last (word positions, from 0), places (starts of it in the span),
+    share (of the template's k-grams, verified in order, 0 to 1). Spans of less
+    than min_share are left out; base templates must be complete.
 
     Row numbers come from the scan, so docs should be read from files or
     materialised. Null or empty text: no words, no spans. Ties, repeated rows and
-    null doc_ids: each input row is scanned by itself. Other columns are ignored.
+    null doc_ids: each input row is scanned by itself. Texts of any length are
+    scanned whole. An empty table gives an empty result; other columns are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
     grams = template_grams(spark, templates)
@@ -113,19 +117,23 @@ def scan_spans(docs: DataFrame, templates=BASE + NOTICES, *, min_share: float =
     hits = hits.select("row", "doc_id", F.col("n_words").cast("long").alias("n_words"), "template", "label", "base", "grams", "length", "p", (F.col("p") - F.col("t")).alias("diagonal"), "t")
 
     of = ["row", "doc_id", "n_words", "template", "label", "base", "grams", "length"]
-    votes = hits.repartition("row").groupBy(*of, "diagonal").agg(F.count("*").alias("votes"), F.min("p").alias("first"), F.max("p").alias("last"))
-    by = W.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT, F.lit(True)) | F.coalesce(F.col("base"), F.lit(True))
-    spans = votes.withColumn("span", F.sum(apart.cast("int")).over(by))
-    spans = spans.groupBy(*of, "span").agg(
-        F.min("first").alias("first"),
-        F.max("last").alias("last"),
-        F.sum((F.col("votes") >= F.col("grams")).cast("long")).alias("places"),
-        F.least(F.lit(1.0), F.sum("votes") / F.first("grams")).alias("share"),
-    )
+    votes = hits.repartition("row").groupBy(*of, "diagonal").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    near = W.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, DRIFT)
+    merged = votes.withColumn("near", F.when(F.col("base"), F.array(F.struct("diagonal", "ts"))).otherwise(F.collect_list(F.struct("diagonal", "ts")).over(near)))
+    # Of each template position seen, the first place; and of those the ones that no earlier position stands behind.
+    first_of = lambda t: F.array_min(F.transform(F.filter("near", lambda x: F.array_contains(x["ts"], t)), lambda x: x["diagonal"] + t))
+    merged = merged.withColumn("seen", F.transform(F.array_sort(F.array_distinct(F.flatten("near.ts"))), lambda t: F.struct(t.alias("t"), first_of(t).alias("p"))))
+    inverted = lambda x: F.exists("seen", lambda y: (y["t"] < x["t"]) & (y["p"] >= x["p"]))
+    merged = merged.withColumn("verified", F.filter("seen", lambda x: ~inverted(x)))
+    merged = merged.select(*of, F.array_min("verified.p").alias("first"), F.array_max("verified.p").alias("last"), (F.size("verified") / F.col("grams")).alias("share"))
+    headed = F.col("template").isNull() | (F.col("template") < 0)
+    merged = merged.where(headed | (F.col("share") >= F.when(F.col("base"), 1.0).otherwise(min_share)))
+    # Overlapping spans of a template are one; places of a base template stay apart.
+    by = W.partitionBy("row", "template").orderBy("first", "last")
+    apart = F.coalesce(F.col("first") > F.max("last").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)) | F.coalesce(F.col("base"), F.lit(True))
+    spans = merged.withColumn("span", F.sum(apart.cast("int")).over(by))
+    spans = spans.groupBy(*of, "span").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("places"), F.max("share").alias("share"))
     k = F.when(F.col("length") <= 3, F.lit(SHORT)).otherwise(F.lit(LONG))
-    enough = F.col("template").isNull() | (F.col("template") < 0) | F.when(F.col("base"), F.col("places") > 0).otherwise(F.col("share") >= min_share)
-    spans = spans.where(enough)
     named = lambda c: F.when(F.col("template") >= 0, c)
     return spans.select("row", "doc_id", "n_words", named(F.col("template")).alias("template"), "label", "base", named(F.col("first")).alias("first"), named(F.col("last") + k - 1).alias("last"), "places", "share")
 
@@ -178,20 +186,19 @@ read AS (
   UNION ALL
   SELECT r, p, {LONG}, array_to_string(words[p + 1 : p + {LONG}], ' ') FROM spots WHERE p + {LONG} <= len(words)
 ), votes AS (
-  SELECT r, template, label, base, grams, p - t AS diagonal, count(*) AS votes, min(p) AS first
-  FROM keyed JOIN grams USING (k, gram) GROUP BY ALL
-), marked AS (
-  SELECT *, CASE WHEN base OR lag(diagonal) OVER w IS NULL OR diagonal - lag(diagonal) OVER w > {DRIFT} THEN 1 ELSE 0 END AS apart
-  FROM votes WINDOW w AS (PARTITION BY r, template ORDER BY diagonal)
-), numbered AS (
-  SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM marked
+  SELECT r, template, label, base, grams, p - t AS diagonal, list(t) AS ts FROM keyed JOIN grams USING (k, gram) GROUP BY ALL
+), merged AS (
+  SELECT r, label, base, grams, CASE WHEN base THEN [{{'d': diagonal, 'ts': ts}}] ELSE list({{'d': diagonal, 'ts': ts}}) OVER (PARTITION BY r, template ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {DRIFT} FOLLOWING) END AS near FROM votes
+), seen AS (
+  SELECT r, label, base, grams, list_transform(list_distinct(flatten(list_transform(near, lambda x: x.ts))), lambda t: {{'t': t, 'p': list_min(list_transform(list_filter(near, lambda x: list_contains(x.ts, t)), lambda x: x.d + t))}}) AS seen FROM merged
+), verified AS (
+  SELECT r, label, base, grams, list_filter(seen, lambda x: len(list_filter(seen, lambda y: y.t < x.t AND y.p >= x.p)) = 0) AS kept FROM seen
 ), spans AS (
-  SELECT r, label, base, min(first) AS first, sum(CASE WHEN votes >= grams THEN 1 ELSE 0 END) AS places, least(1.0::DOUBLE, sum(votes) / grams::DOUBLE) AS share
-  FROM numbered GROUP BY r, template, label, base, grams, span
+  SELECT r, label, base, list_min(list_transform(kept, lambda x: x.p)) AS first, len(kept) / grams::DOUBLE AS share FROM verified WHERE len(kept) / grams::DOUBLE >= CASE WHEN base THEN 1 ELSE 0.75 END
 ), found AS (
-  SELECT r, coalesce(sum(places) FILTER (base), 0)::BIGINT AS n_base, (min(first) FILTER (base))::BIGINT AS first_word, (max(first) FILTER (base))::BIGINT AS last_word,
+  SELECT r, (count(*) FILTER (base))::BIGINT AS n_base, (min(first) FILTER (base))::BIGINT AS first_word, (max(first) FILTER (base))::BIGINT AS last_word,
     coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
-  FROM spans WHERE CASE WHEN base THEN places > 0 ELSE share >= 0.75 END GROUP BY r
+  FROM spans GROUP BY r
 )
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM read LEFT JOIN found USING (r)

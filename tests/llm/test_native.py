@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskweave.llm.components import components
 from riskweave.llm.decontaminate import exact_phrases, find_contamination, indexed, near_phrases
 from riskweave.llm.fair_mix import mix_to_targets
-from riskweave.llm.license_scan import scan_licenses
+from riskweave.llm.license_scan import scan_licenses, scan_spans
 from riskweave.llm.line_templates import drop_template_lines
 from riskweave.llm.url_filter import filter_urls
 
@@ -55,6 +55,24 @@ def test_license_spans_bear_edits(spark, tmp_path):
     assert {r.doc_id: r.labels for r in got} == {1: "mit-text", 2: ""}
 
 
+def test_license_spans_are_verified(spark, tmp_path):
+    whole = "licensed under the apache license version 2 0"
+    texts = [
+        "under the apache license x " * 4,  # one gram of the template, over and over
+        "version 2 0 apache license version licensed under the",  # all words, out of order
+        f"{whole} and {whole}",
+        "licensed under the apache license of the version 2 0",
+        "x " * 20_000 + whole,
+        "under the apache license " * 5_000,
+    ]
+    docs = documents(spark, [(i, t, "a") for i, t in enumerate(texts)], tmp_path)
+    got = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    assert [got[i].labels for i in range(6)] == ["apache", "apache", "apache,apache-2.0", "apache", "apache,apache-2.0", "apache"]
+    assert [got[i].n_base for i in range(6)] == [4, 1, 2, 1, 1, 5_000]
+    spans = [(r.first, r.last, r.share) for r in scan_spans(docs).where("doc_id = 2 and label = 'apache-2.0'").collect()]
+    assert sorted(spans) == [(0, 7, 1.0), (9, 16, 1.0)]
+
+
 def brute_hits(docs, items, n=10):
     out = []
     for d, t, _ in docs:
