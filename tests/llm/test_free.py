@@ -169,7 +169,9 @@ def test_restoring():
     model = CharModel(sorted(counts.items()))
     for token, word in (("1d10t", "idiot"), ("i_d_i_o_t", "idiot"), ("stuuupid", "stupid"), ("tr@sh", "trash"), ("m0r0n", "moron"), ("w0rthle$$", "worthless")):
         assert disguised(token) and restore(token, model) == word
-    assert not disguised("plain") and not disguised("2024")
+    for token, word in (("іdіоt", "idiot"), ("ｓtupid", "stupid"), ("ŧ1d10t", "ŧidiot")):
+        assert disguised(token) and restore(token, model) == word
+    assert not disguised("plain") and not disguised("2024") and not disguised("привет") and not disguised("größe")
 
 
 def test_reading_long_marked_and_spaced_tokens():
@@ -179,7 +181,7 @@ def test_reading_long_marked_and_spaced_tokens():
             counts[f"^^{w}^"[i : i + 3]] += n
     model = CharModel(sorted(counts.items()))
     for text, word in (
-        ("st" + "u" * 60 + "pid", "stupid"), ("1d10t!!", "idiot"), ("y o u i d i o t", "idiot"), ("well, y o u a r e s u c h a s t u p i d l a m p now", "stupid"), ("-".join("you" * 20) + "-1-d-1-0-t", "you" * 20 + "idiot"),
+        ("st" + "u" * 60 + "pid", "stupid"), ("1d10t!!", "idiot"), ("y o u i d i o t", "idiot"), ("y o u  i  d  i  o  t", "idiot"), ("well, y o u a r e s u c h a s t u p i d l a m p now", "stupid"), ("-".join("you" * 20) + "-1-d-1-0-t", "you" * 20 + "idiot"),
     ):
         assert word in readings(text, model, {}), text
     assert {"y_o_u_i_d_i_o_t", "you", "idiot"} <= set(read_token("y o u i d i o t", model).split(" "))
@@ -212,6 +214,49 @@ def test_toxicity_on_held_out_rows(spark):
     assert clean.where(F.col("score").isNull()).count() == 0
 
 
+def test_decoding_finds_what_plain_lookup_misses(spark):
+    """Toxic words disguised in ways of their own, each form only once: without decoding no form recurs."""
+    rng = random.Random(6)
+    rows, labels, planted = [], [], {}
+    swap = {"i": "1!|", "o": "0", "a": "@4", "e": "3", "s": "$5", "t": "7+"}
+    for i in range(600):
+        text, bad = prose(rng, 40, 300), i % 5 == 0
+        word = rng.choice(("idiotic", "worthless", "pathetic"))
+        if bad and i < 400:
+            text += f" {word}"
+        elif i % 3 == 0 and i >= 400:
+            hidden = "".join(rng.choice(swap[c]) if c in swap and rng.random() < 0.7 else c for c in word)
+            if hidden == word:
+                hidden = word[0] + word[1] * 4 + word[2:]
+            way = rng.randrange(4)
+            text += " " + (hidden, " ".join(word), rng.choice("._-").join(word), hidden.replace(word[-1], word[-1] * 5))[way]
+            planted[i] = way
+        rows.append((i, text))
+        if i < 400:
+            labels.append((i, 1, int(bad)))
+    run = lambda: {r.doc_id: r.predicted for r in score_toxicity(documents(spark, rows), labelled(spark, labels)).collect()}
+    with_decoding = run()
+    assert sum(with_decoding[i] for i in planted) >= 0.95 * len(planted)
+    assert not any(with_decoding[i] for i in range(400, 600) if i not in planted)
+    # Plain lookup finds no word as it stands, and less than half by their beginnings.
+    words = lambda text: set(text.lower().split())
+    plain = sum(bool(words(rows[i][1]) & {"idiotic", "worthless", "pathetic"}) for i in planted)
+    assert plain == 0
+    assert sum(any(w.startswith(x) for w in words(rows[i][1]) for x in ("idio", "wort", "path")) for i in planted) < 0.5 * len(planted)
+
+
+def test_equal_texts_with_different_labels(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 30, 200) + (" awful" if i % 4 == 0 else "")) for i in range(200)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(200)]
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 200, 4)]
+    labels += [(1000 + i, 1, 0) for i in range(0, 200, 4)]
+    got = [sorted((r.doc_id, round(r.score, 9)) for r in score_toxicity(documents(spark, rows).repartition(n), labelled(spark, labels)).collect()) for n in (2, 5)]
+    assert got[0] == got[1]
+    score = dict(got[0])
+    assert all(score[i] == score[1000 + i] and score[i] > 0.3 for i in range(0, 200, 4)) and all(score[i] < 0.3 for i in range(200) if i % 4)
+
+
 def test_lexicon_does_not_hang_on_the_number_of_labels(spark):
     rng = random.Random(3)
     rows, labels = [], []
@@ -222,8 +267,8 @@ def test_lexicon_does_not_hang_on_the_number_of_labels(spark):
         labels.append((i, 1, int(bad)))
     rows.append((9000, "such a slur here"))
     assert score_toxicity(documents(spark, rows), labelled(spark, labels)).where("doc_id = 9000").first().predicted == 1
-    # Toxic texts are few: the clean labels drawn stand for ten times as many.
-    few = [(i, "x common" if i % 2 else "x", 1) for i in range(120)] + [(1000 + i, "x common" if i % 40 == 0 else "x", 0) for i in range(3000)]
+    # Toxic texts are few: the clean labels drawn stand for ten times as many. A word's 60 toxic texts of 360 are a sixth, among those drawn most.
+    few = [(i, "x common" if i % 2 else "x", 1) for i in range(120)] + [(1000 + i, "x common" if i % 10 == 0 else "x", 0) for i in range(3000)]
     texts = [(i, f"{t} t{i}") for i, t, _ in few] + [(9001, "a common thing")]
     marks = labelled(spark, [(i, 1, b) for i, _, b in few])
     scores = [score_toxicity(documents(spark, texts), marks, max_rows=n).where("doc_id = 9001").first().predicted for n in (120, 100_000)]
