@@ -121,8 +121,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = WIND
     hits = exact_phrases(index, anchors, n)
     heads = index.where(F.col("h").isNull()).select("row", "doc_id", "n_words")
     none = lambda kind: F.lit(None).cast(kind)
+    kind = docs.schema["doc_id"].dataType
     both = heads.select("row", "doc_id", "n_words", none("string").alias("item"), none("int").alias("first"), none("int").alias("length"))
-    both = both.unionByName(hits.select("row", none("long").alias("doc_id"), none("long").alias("n_words"), F.col("item_id").cast("string").alias("item"), "first", "length"))
+    both = both.unionByName(hits.select("row", none(kind).alias("doc_id"), none("long").alias("n_words"), F.col("item_id").cast("string").alias("item"), "first", "length"))
     both = both.repartition("row")
     # Words in the union of the hit intervals: what each adds beyond the furthest end before it.
     before = W.partitionBy("row").orderBy("first", "length", "item").rowsBetween(W.unboundedPreceding, -1)

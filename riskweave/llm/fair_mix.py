@@ -48,11 +48,12 @@ def fair_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), shar
     return levels.select("source", "source_size", "rank", F.least(F.col("limit").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix_to_targets(docs: DataFrame, *, size: Column | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: str = SEED) -> DataFrame:
+def mix_to_targets(docs: DataFrame, *, size: Column | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """How much of each document the mix takes.
 
     docs needs doc_id, source and text (or the columns of size). Returns one row
-    per input row: doc_id, size, source_size, target, copies, taken.
+    per input row: doc_id, size, source_size, target, copies, taken, and source
+    where it is named in keep.
 
     Null text or text without words: size 0, never taken. Null source: a source
     of its own, last in order. Null doc_id: a document like others, first among
@@ -79,7 +80,7 @@ def mix_to_targets(docs: DataFrame, *, size: Column | None = None, weights: tupl
         sized.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
         .withColumn("upto", F.col("ahead") + F.sum("size").over(inside))
         .join(targets, F.col("source").eqNullSafe(F.col("t_source")))
-        .select("doc_id", "size", "key", "source_size", "target", "rank", "upto")
+        .select("doc_id", "size", "key", "source_size", "target", "rank", "upto", *keep)
     )
     placed = materialise(placed, "mix-queue")
 
@@ -111,7 +112,7 @@ def mix_to_targets(docs: DataFrame, *, size: Column | None = None, weights: tupl
                 end = F.struct(F.lit(cut["finish"]).alias("finish"), F.lit(cut["rank"]).alias("rank"), F.lit(cut["key"]).alias("key"), F.lit(cut["id"]).alias("id"), F.lit(cut["epoch"]).alias("epoch"), F.lit(cut["size"]).alias("size"))
                 within = within | ((ranged(when) == at) & (mine <= end))
             taken = taken + F.when(served & F.coalesce(within, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("copies"), *keep).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def op4_fair_mix(spark, sf_dir):

@@ -5,15 +5,18 @@ small network is fitted by minimising the non-negative unbiased risk
 
     prior * E_pos[loss(f)] + max(0, E_unl[loss(-f)] - prior * E_pos[loss(-f)])
 
-with the logistic loss, whose minimiser estimates the posterior; the class prior
-is estimated from the trusted rows. Where the bracket falls under zero, its
-gradient is reversed, so that the network doesn't profit from overfitting.
-
-Scale: texts are read once, in Arrow batches, into a table of FEATURES doubles a
-row, from which both samples are drawn and all rows are scored by SQL
-expressions. Fitting takes at most max_rows positives and max_rows unlabelled
-rows, in order of a hash of doc_id: that bound is a parameter, and all else
-covers all rows.
+with the logistic loss, whose minimiser estimates the posterior. Where the
+bracket falls under zero, its gradient is reversed, so that the network doesn't
+profit from overfitting. The class prior is estimated from positives and
+unlabelled text alone: networks that tell the two apart rank held-back folds of
+both, and the least ratio of the shares of unlabelled and of positive rows above
+a rank (with a margin for chance) is the share of positives among the unlabelled.
+
+Scale: fitting takes at most max_positives trusted and max_unlabelled unlabelled
+rows, in order of a hash of doc_id; a cut by that hash, from the number of rows,
+keeps what is sorted for it to about twice as many. Both bounds are parameters,
+and both samples come to the driver as Arrow tables of FEATURES doubles a row.
+Scoring is one pass over the texts in Arrow batches, without shuffle or join.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import materialise, table
+from riskweave.llm.common import table
 from riskweave.llm.wordhash import texts
 
 FEATURES = (
@@ -64,17 +67,29 @@ def style(text: bytes | None) -> list[float]:
     ]
 
 
-def style_table(docs: DataFrame) -> DataFrame:
-    """doc_id and x (array of FEATURES), for each row."""
+def features(rows: list[bytes | None]) -> np.ndarray:
+    return np.array([style(text) for text in rows], np.float64).reshape(-1, len(FEATURES))
+
+
+def drawn_ids(ids: DataFrame, n: int) -> DataFrame:
+    """The first n of the distinct ids (d_id) in order of a hash, or all if there are fewer."""
+    ids = ids.where(F.col("d_id").isNotNull()).distinct()
+    cut = min(2**63 - 1, int(2.0**63 * (2 * n + 1000) / max(1, ids.count())))
+    at = F.shiftrightunsigned(F.xxhash64(F.lit(1), "d_id"), 1)
+    return ids.withColumn("at", at).where(F.col("at") <= cut).orderBy("at", "d_id").limit(n).select("d_id")
+
+
+def drawn_features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
+    """The features of the rows of docs (doc_id, text) whose doc_ids are among ids, a bounded number; equal texts count once."""
 
     def run(batches):
         for batch in batches:
-            rows = [style(text) for text in texts(batch)]
-            flat = pa.array(np.asarray(rows, np.float64).reshape(-1))
-            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "x"])
+            x = features(texts(batch))
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1)))], ["x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    rows = docs.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("d_id"), "left_semi").select("text").mapInArrow(run, "x array<double>")
+    return np.unique(np.array(rows.toArrow().column("x").combine_chunks().flatten(), np.float64).reshape(-1, len(FEATURES)), axis=0)
 
 
 def _loss(z: np.ndarray) -> np.ndarray:
@@ -111,45 +126,93 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, *, steps: int = 600
     return {k: a.tolist() for k, a in w.items()} | {"mean": mean.tolist(), "scale": scale.tolist()}
 
 
-def score_with(model: dict) -> Column:
-    """The network's posterior as a column over x."""
-    x = [F.greatest(F.lit(-6.0), F.least(F.lit(6.0), (F.col("x")[i] - F.lit(model["mean"][i])) / F.lit(model["scale"][i]))) for i in range(len(FEATURES))]
-    out = F.lit(model["b2"][0])
-    for j in range(HIDDEN):
-        z = F.lit(model["b1"][j])
-        for i, one in enumerate(x):
-            z = z + one * F.lit(model["w1"][i][j])
-        out = out + F.tanh(z) * F.lit(model["w2"][j])
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-out))
+def posterior(model: dict, x: np.ndarray) -> np.ndarray:
+    """The network's probability of a positive for rows of features."""
+    h = np.clip((x - np.array(model["mean"])) / np.array(model["scale"]), -6, 6)
+    return 1 / (1 + np.exp(-(np.tanh(h @ np.array(model["w1"]) + model["b1"]) @ np.array(model["w2"]) + model["b2"][0])))
+
+
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, *, folds: int = 5, max_rows: int = 5_000, sure: float = 0.1) -> float:
+    """The share of positives in unl, from pos and unl alone (at most max_rows of each, at random but the same every time).
+
+    Networks fitted to tell pos from unl rank the fold that each has not seen.
+    Above a rank t lie shares p(t) and u(t) of them; as u(t) is at least
+    prior * p(t), each ratio bounds the prior from above, and the t with the
+    least upper confidence bound is taken.
+    """
+    rng = np.random.Generator(np.random.PCG64(5))
+    pos, unl = (x[rng.permutation(len(x))[:max_rows]] for x in (pos, unl))
+    if min(len(pos), len(unl)) < 4 * folds:
+        return 0.5
+    ranked: list[list[np.ndarray]] = [[], []]
+    for fold in range(folds):
+        kept = [x[np.arange(len(x)) % folds != fold] for x in (pos, unl)]
+        model = fit_nnpu(*kept, 0.5, steps=150, decay=0.02)
+        for side, x in zip(ranked, (pos, unl), strict=True):
+            side.append(posterior(model, x[np.arange(len(x)) % folds == fold]))
+    p, u = (np.sort(np.concatenate(x)) for x in ranked)
+    ranks = np.unique(np.concatenate((p, u)))
+    up, uu = (1 - np.searchsorted(x, ranks, "left") / len(x) for x in (p, u))
+    margin = math.sqrt(math.log(4 / sure) / 2) * (1 / math.sqrt(len(p)) + 1 / math.sqrt(len(u)))
+    up, uu = up[up > 2 * margin], uu[up > 2 * margin]
+    if not len(up):
+        return 0.5
+    best = np.argmin((uu + margin) / up)
+    # A bound from above, and the risk bears a prior that is too low better than one too high: one standard error is taken off.
+    share = uu[best] - math.sqrt(uu[best] * (1 - uu[best]) / len(u))
+    return float(np.clip(share / up[best], 0.01, 0.99))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, max_positives: int = 20_000, max_unlabelled: int = 20_000) -> dict:
+    """The fitted network, or {"constant": prior} without positives.
+
+    labels has doc_id, quality; trusted positives are the doc_ids with quality 1
+    that aren't held out. Other labels are never looked at.
+    """
+    trusted = labels.where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("d_id"))
+    docs = docs.select("doc_id", "text")
+    pos = drawn_features(docs, drawn_ids(trusted, max_positives))
+    unl = drawn_features(docs, drawn_ids(docs.select(F.col("doc_id").cast("long").alias("d_id")), max_unlabelled))
+    if not len(pos) or not len(unl):
+        return {"constant": 0.5 if prior is None else float(prior)}
+    return fit_nnpu(pos, unl, estimate_prior(pos, unl) if prior is None else prior)
+
+
+def score_texts(model: dict, rows: list[bytes | None]) -> np.ndarray:
+    return np.full(len(rows), model["constant"]) if "constant" in model else posterior(model, features(rows))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, max_rows: int = 20_000, threshold: float = 0.7) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **fit) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted.
 
-    labels has doc_id, quality (1: trusted positive; 0: only counted for the
-    prior; null: ignored). Rows of labels whose doc_id is held out aren't used.
-    prior: share of positives in unlabelled text, by default the smoothed share
-    of 1 among the labels in use.
+    For labels and fit see fit_quality. A score is of the text alone, so equal
+    texts have equal scores.
 
-    Null and empty texts have all features 0 and are scored so. Null doc_ids are
-    scored, not learned from. Repeated rows are scored each. Without positives,
-    or with an empty table, all scores are the prior. Other columns are ignored.
+    Null and empty texts have all features 0 and are scored so. Texts of any
+    length are described whole. Null doc_ids are scored, not learned from.
+    Repeated rows are scored each. Without positives, or with an empty table, all
+    scores are the prior (0.5 where none is given). Other columns are ignored,
+    whatever their names.
     """
-    marked = labels.select(F.col("doc_id").alias("l_id"), F.col("quality")).where(~held_out(F.col("l_id")) & F.col("l_id").isNotNull() & F.col("quality").isNotNull())
-    total, ones = marked.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).collect()[0]
-    prior = (ones + 1) / (total + 2) if prior is None else prior
-    features = materialise(style_table(docs), "style")
-
-    def sample(rows: DataFrame) -> np.ndarray:
-        drawn = rows.select("doc_id", "x").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(max_rows).collect()  # max_rows bounds it
-        return np.array([r["x"] for r in drawn], np.float64).reshape(-1, len(FEATURES))
-
-    trusted = marked.where(F.col("quality") == 1).select("l_id").distinct()
-    pos = sample(features.join(trusted, F.col("doc_id") == F.col("l_id"), "left_semi"))
-    unl = sample(features.where(F.col("doc_id").isNotNull()))
-    score = score_with(fit_nnpu(pos, unl, prior)) if len(pos) and len(unl) else F.lit(float(prior))
-    scored = features.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
-    return scored.withColumn("predicted", F.when(F.col("score") >= threshold, F.lit(1)).otherwise(F.lit(0)))
+    model = fit_quality(docs, labels, **fit)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score_texts(model, texts(batch)))], ["doc_id", "score"])
+
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, F.lit(1)).otherwise(F.lit(0)).alias("predicted"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **fit) -> DataFrame:
+    """The rows of docs, with all their columns, whose texts score threshold or more; judged row by row, without a join."""
+    model = fit_quality(docs, labels, **fit)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(score_texts(model, texts(batch)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_pu_quality(spark, sf_dir):

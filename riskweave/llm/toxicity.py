@@ -334,8 +334,8 @@ def learn(docs: DataFrame, marked: DataFrame, model: CharModel, all_toxic: int,
             dense = [list(dense_features(w, k)) for w, k in zip(words, n, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float64()))], ["toxic", "ids", "dense"])
 
-    # At most 2 * max_rows rows of numbers.
-    drawn = held.mapInArrow(numbered, "toxic int, ids array<int>, dense array<double>").orderBy("toxic", "ids", "dense").collect()
+    # At most 2 * max_rows rows of numbers, in an order of their own so that sums are the same every time.
+    drawn = sorted(held.mapInArrow(numbered, "toxic int, ids array<int>, dense array<double>").collect())
     y = np.array([r["toxic"] for r in drawn], np.float64)
     weight = np.where(y == 1, max(all_toxic, toxic) / toxic, max(all_clean, clean) / max(1, clean))
     at = np.repeat(np.arange(len(drawn)), [len(r["ids"]) for r in drawn])
