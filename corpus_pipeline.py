@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and reread as the next stage's docs. All but the last return the
-columns of documents. Stages that remove documents join the removed ids back as
-an anti join: rows without doc_id stay, rows that repeat a removed id go with it.
+columns of documents; extra columns pass through, whatever their names. Empty
+tables pass through all stages. Texts of any length are treated whole.
 """
 
 from __future__ import annotations
@@ -11,52 +11,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import broadcast_if, materialise, table
+from riskweave.llm.common import blank_word_count, broadcast_if, materialise, table
 from riskweave.llm.decontaminate import find_contamination
 from riskweave.llm.fair_mix import mix_to_targets
 from riskweave.llm.line_templates import drop_template_lines
 from riskweave.llm.minhash import near_duplicates
-from riskweave.llm.pu_quality import score_quality
+from riskweave.llm.pu_quality import keep_quality
 
-BROADCAST_ROWS = 2_000_000
-
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the doc_ids of gone."""
-    gone = materialise(gone.select(F.col("doc_id").alias("gone_id")).where(F.col("gone_id").isNotNull()).distinct(), "gone")
-    return docs.join(broadcast_if(gone, gone.count(), BROADCAST_ROWS), F.col("doc_id") == F.col("gone_id"), "left_anti")
+BROADCAST_ROWS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the classifier predicts to be of quality."""
-    return _without(docs, score_quality(docs, table(spark, sf_dir, "labels")).where(F.col("predicted") == 0))
+    """Keep the rows whose texts the classifier predicts to be of quality.
+
+    Judged row by row, on the text alone: null doc_ids are judged like others,
+    equal texts alike, repeated rows each; null and empty texts have one score.
+    """
+    return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take the lines of recurring templates out of the texts; no document goes."""
-    return drop_template_lines(docs).drop("lines_dropped")
+    """Take the lines of recurring templates out of the texts; no document goes.
+
+    A text of nothing but such lines stays as it is, as what is left of it could
+    no longer be compared by near-dedup, the next stage. Null and empty texts
+    stay; equal lines all go or all stay; repeated rows are treated alike.
+    """
+    return drop_template_lines(docs, leave_bare=False).toDF(*docs.columns, "lines dropped here").drop("lines dropped here")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the least doc_id of each group of near-duplicates (five words, 0.8)."""
-    return _without(docs, near_duplicates(docs).where(~F.col("kept")))
+    """Keep the least doc_id of each group of near-duplicates (five words, 0.8).
+
+    Rows that repeat a doc_id are one document and stay or go together. Rows
+    without doc_id, text or words are linked with nothing and stay.
+    """
+    gone = materialise(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return docs.join(broadcast_if(gone, gone.count(), BROADCAST_ROWS), docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
-    return _without(docs, find_contamination(docs, table(spark, sf_dir, "benchmark")).where(F.col("n_hit") > 0))
+    """Drop the rows whose texts hold a window of a benchmark item.
+
+    Rows are told by a digest of the text, not by doc_id: one without doc_id goes
+    like any other, and of two rows with one doc_id only that with the passage.
+    Null and empty texts stay.
+    """
+    found = find_contamination(docs.select(F.md5("text").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = materialise(found.where(F.col("n_hit") > 0).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return docs.join(broadcast_if(gone, gone.count(), BROADCAST_ROWS), F.md5(docs["text"]) == gone["gone"], "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents that it takes, with the number of copies and of words taken."""
-    taken = mix_to_targets(docs).where(F.col("copies") > 0).groupBy(F.col("doc_id").alias("m_id")).agg(F.max("copies").alias("copies"), F.max("taken").alias("taken"))
-    taken = materialise(taken, "taken")
-    return docs.join(broadcast_if(taken, taken.count(), BROADCAST_ROWS // 4), F.col("doc_id").eqNullSafe(F.col("m_id"))).drop("m_id")
+    """The mix: rows that it takes, with the number of copies and of words taken (columns of these names are replaced).
+
+    Texts without words aren't taken. Rows alike in doc_id, source and number of
+    words are interchangeable and carry the largest number of copies of them.
+    """
+    docs = docs.drop("copies", "taken")
+    key = mix_to_targets(docs, keep=("source",)).where(F.col("copies") > 0)
+    taken = materialise(key.groupBy(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size")).agg(F.max("copies").alias("copies"), F.max("taken").alias("taken")), "taken")
+    same = docs["doc_id"].eqNullSafe(taken["t_id"]) & docs["source"].eqNullSafe(taken["t_source"]) & (blank_word_count(docs["text"]) == taken["t_size"])
+    return docs.join(broadcast_if(taken, taken.count(), BROADCAST_ROWS // 4), same).select(*[docs[c] for c in docs.columns], taken["copies"], taken["taken"])
 
 
 STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix)]
 
-#: SQL can't express the classifier; tests compare run() with a brute-force version.
+#: SQL can't express the classifier; a test compares run() with a brute-force version that takes the classifier's scores as given.
 ORACLE_SQL = None
 
 
