@@ -1,12 +1,12 @@
 """URL filters over redirect equivalence classes.
 
 Host and path rules judge urls; the longest rule that fits wins. URLs that stand
-for the same page are aliases: those with one normal form (scheme, www, default
-port, fragment, tracking parameters, .html and closing slashes put aside), and
-those tied by redirects, refresh headers and canonical links. Aliases are the
-connected components of those edges. A url without a rule takes the decision of
-its aliases: allow where one of them is explicitly allowed, else block where one
-is blocked, else allow.
+for the same page are aliases: those tied by redirects, refresh headers and
+canonical links, whichever page states them. Aliases are the connected
+components of those edges, between addresses (urls without fragment, with scheme
+and host in lower case, without default port and never without path). A url
+without a rule takes the decision of its aliases: allow where one of them is
+explicitly allowed, else block where one is blocked, else allow.
 
 Scale: html is read once, for its links; what is shuffled are urls. Decisions
 are combined per component before the shuffle; the join back may be skewed by a
@@ -25,7 +25,6 @@ from riskweave.llm.components import components
 BROADCAST_ROWS = 200_000
 # The rules of the query contract.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-TRACKING = "^(utm_|ref=|fbclid=|gclid=)"
 # Quotes count after an equals sign only; possessive, so that long tags need no stack.
 TAG = r"""(?i)<(?:link|meta)[\s/](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
 ATTRIBUTE = r"""([^\s=>"'/]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)"""
@@ -45,13 +44,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def normal_form(url: Column) -> Column:
-    """Host, path and query that aliases share; null where a url has no scheme."""
-    host = F.regexp_replace(F.regexp_replace(host_of(url), r"^www\.", ""), r":(80|443)$", "")
-    path = F.regexp_replace(F.regexp_replace(path_of(url), r"(/index)?\.html?$", ""), r"/+$", "")
-    query = F.regexp_extract(_after(url), r"^[^?#]*\?([^#]*)", 1)
-    kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda x: ~x.rlike(TRACKING))), "&")
-    return F.when(F.instr(url, "://") > 0, F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit(""))))
+def address(url: Column) -> Column:
+    """What two writings of a url have in common: no fragment, lower-case scheme and host, no default port, a path; null without "://"."""
+    scheme = ascii_lower(F.regexp_extract(url, r"^\s*(.*?)://", 1))
+    port = F.when(scheme == "http", ":80").when(scheme == "https", ":443").otherwise("")
+    host = F.when((port != "") & F.endswith(host_of(url), port), F.substr(host_of(url), F.lit(1), F.length(host_of(url)) - F.length(port))).otherwise(host_of(url))
+    path = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    query = F.regexp_extract(_after(url), r"^[^?#]*(\?[^#]*)", 1)
+    return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host, path, query))
 
 
 def links_of(html: Column) -> Column:
@@ -104,21 +104,23 @@ def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULE
 
     pages has page_id, url, html; redirects (optional) has source, target urls.
     Null urls and urls without "://": empty host and path, no rule, no aliases,
-    allowed. Null html has no links. Repeated pages and null page_ids are judged
-    row by row. Empty tables give empty results; other columns are ignored.
+    allowed. Null html has no links; html of any length is searched whole.
+    Repeated pages and null page_ids are judged row by row; of rules of the same
+    length (ties) allow wins. Empty tables give empty results; other columns are
+    ignored, whatever their names.
     """
     read = materialise(
         pages.select(
-            F.monotonically_increasing_id().alias("key"), F.col("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), normal_form(F.col("url")).alias("node"),
+            F.monotonically_increasing_id().alias("key"), F.col("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), address(F.col("url")).alias("node"),
             F.transform(links_of(F.col("html")), lambda x: resolved(x, F.col("url"))).alias("targets"),
         ),
         "urls",
     )
     ends = read.where(F.size("targets") > 0).select("node", F.explode("targets").alias("target"))
-    ends = ends.select(F.col("node").alias("u"), normal_form(F.col("target")).alias("v"), F.col("target").alias("url"))
+    ends = ends.select(F.col("node").alias("u"), address(F.col("target")).alias("v"), F.col("target").alias("url"))
     if redirects is not None:
-        ends = ends.unionByName(redirects.select(normal_form(F.col("source")).alias("u"), normal_form(F.col("target")).alias("v"), F.col("target").alias("url")))
-        ends = ends.unionByName(redirects.select(normal_form(F.col("target")).alias("u"), normal_form(F.col("source")).alias("v"), F.col("source").alias("url")))
+        ends = ends.unionByName(redirects.select(address(F.col("source")).alias("u"), address(F.col("target")).alias("v"), F.col("target").alias("url")))
+        ends = ends.unionByName(redirects.select(address(F.col("target")).alias("u"), address(F.col("source")).alias("v"), F.col("source").alias("url")))
     ends = materialise(ends, "url-edges")
     classes = components(ends.select("u", "v")).select(F.col("node").alias("c_node"), "component")
 
@@ -142,29 +144,55 @@ def op8_url_filter(spark, sf_dir):
 
 
 OP8_SQL = r"""
-WITH cut AS (
-  SELECT row_number() OVER () AS key, page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+WITH RECURSIVE cut AS (
+  SELECT row_number() OVER () AS key, page_id, url, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), tags AS (
+  SELECT key, url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)[\s/](?:[^>=]+|=\s*(?:"[^"]*"|''[^'']*'')?)*>')) AS tag FROM cut WHERE html IS NOT NULL AND url IS NOT NULL
+), attributes AS (
+  SELECT key, url, lower(regexp_extract(tag, '^<([a-zA-Z]+)', 1)) AS kind,
+    list_transform(regexp_extract_all(tag, '([^\s=>"''/]+)\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', 1), lambda x: lower(x)) AS names,
+    list_transform(regexp_extract_all(tag, '([^\s=>"''/]+)\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', 2), lambda x: replace(regexp_replace(x, '^("(.*)"|''(.*)'')$', '\2\3', 's'), '&amp;', '&')) AS vals
+  FROM tags
+), named AS (
+  SELECT key, url, kind, vals[list_position(names, 'rel')] AS rel, vals[list_position(names, 'href')] AS href, vals[list_position(names, 'http-equiv')] AS equiv, vals[list_position(names, 'content')] AS content FROM attributes
+), targets AS (
+  SELECT DISTINCT key, url, trim(CASE WHEN kind = 'link' AND list_contains(regexp_split_to_array(lower(rel), '\s+'), 'canonical') THEN href
+    WHEN kind = 'meta' AND trim(lower(equiv)) = 'refresh' THEN regexp_extract(content, '(?is)^[\s0-9.]*[;,]?\s*url\s*=\s*(?:"([^"]*)|''([^'']*)|([^"''].*))', 1) || regexp_extract(content, '(?is)^[\s0-9.]*[;,]?\s*url\s*=\s*(?:"([^"]*)|''([^'']*)|([^"''].*))', 2) || regexp_extract(content, '(?is)^[\s0-9.]*[;,]?\s*url\s*=\s*(?:"([^"]*)|''([^'']*)|([^"''].*))', 3) END) AS target
+  FROM named
+), bases AS (
+  SELECT key, url, target, regexp_extract(url, '^[^:/?#]+:', 0) AS scheme, regexp_extract(url, '^[^:/?#]+://[^/?#]*', 0) AS place, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS base_path, regexp_extract(target, '^[^?#]*', 0) AS path
+  FROM targets WHERE target <> ''
+), steps AS (
+  SELECT *, CASE WHEN path LIKE '/%' THEN path ELSE CASE WHEN regexp_extract(base_path, '^(.*/)?', 0) = '' THEN '/' ELSE regexp_extract(base_path, '^(.*/)?', 0) END || path END AS whole FROM bases
+), resolved AS (
+  SELECT url AS source, CASE
+    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN target WHEN starts_with(target, '//') THEN scheme || target WHEN place = '' THEN NULL
+    WHEN path = '' THEN place || base_path || regexp_extract(target, '[?#].*$', 0)
+    ELSE place || array_to_string(list_reduce(list_transform(string_split(whole, '/'), lambda x: [x]), lambda done, x: CASE WHEN x[1] = '..' THEN done[1:greatest(1, len(done) - 1)] WHEN x[1] = '.' THEN done ELSE done || x END), '/') || regexp_extract(target, '[?#].*$', 0)
+  END AS target FROM steps
+), written AS (
+  SELECT url FROM cut UNION SELECT source FROM resolved UNION SELECT target FROM resolved
+), split AS (
+  SELECT url, lower(regexp_extract(url, '^\s*(.*?)://', 1)) AS scheme, substr(url, strpos(url, '://') + 3) AS rest FROM written WHERE strpos(url, '://') > 0
 ), parts AS (
-  SELECT key, page_id, html,
-    coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
-    regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query, rest IS NOT NULL AS real
-  FROM cut
-), urls AS (
-  SELECT key, page_id, host, path,
-    CASE WHEN real THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/+$', '')
-      || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: NOT regexp_matches(x, '^(utm_|ref=|fbclid=|gclid=)'))), '&'), ''), '') END AS node
-  FROM parts
+  SELECT url, scheme, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS query FROM split
+), addresses AS (
+  SELECT url, host, path, scheme || '://' || CASE WHEN scheme = 'http' THEN regexp_replace(host, ':80$', '') WHEN scheme = 'https' THEN regexp_replace(host, ':443$', '') ELSE host END || CASE WHEN path = '' THEN '/' ELSE path END || query AS node FROM parts
 ), rules(rule_host, rule_path, action) AS (
   VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
 ), best AS (
-  SELECT key, rule_host || rule_path AS rule, action
-  FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
-  QUALIFY row_number() OVER (PARTITION BY key ORDER BY length(rule_host || rule_path) DESC, action) = 1
-), voices AS (
-  SELECT node, bool_or(action = 'allow') AS allows, bool_or(action = 'block') AS blocks FROM urls JOIN best USING (key) WHERE node IS NOT NULL GROUP BY node
+  SELECT url, node, rule_host || rule_path AS rule, action
+  FROM addresses JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(rule_host || rule_path) DESC, action) = 1
+), ways AS (
+  SELECT a.node AS u, b.node AS v FROM resolved r JOIN addresses a ON r.source = a.url JOIN addresses b ON r.target = b.url WHERE a.node <> b.node
+  UNION SELECT b.node, a.node FROM resolved r JOIN addresses a ON r.source = a.url JOIN addresses b ON r.target = b.url WHERE a.node <> b.node
+), reach(node, seen) AS (SELECT u, u FROM ways UNION SELECT r.node, w.v FROM reach r JOIN ways w ON r.seen = w.u),
+voices AS (
+  SELECT node, bool_or(action = 'allow') AS allows, bool_or(action = 'block') AS blocks
+  FROM (SELECT a.node, b.action FROM addresses a JOIN best b USING (node) UNION SELECT r.node, b.action FROM reach r JOIN best b ON r.seen = b.node) GROUP BY node
 )
-SELECT page_id, host, path, rule,
-  CASE WHEN action IS NOT NULL THEN action WHEN allows THEN 'allow' WHEN blocks THEN 'block' ELSE 'allow' END AS verdict
-FROM urls LEFT JOIN best USING (key) LEFT JOIN voices USING (node)
+SELECT c.page_id, coalesce(a.host, '') AS host, coalesce(a.path, '') AS path, b.rule,
+  CASE WHEN b.action IS NOT NULL THEN b.action WHEN v.allows THEN 'allow' WHEN v.blocks THEN 'block' ELSE 'allow' END AS verdict
+FROM cut c LEFT JOIN addresses a ON c.url = a.url LEFT JOIN best b ON c.url = b.url LEFT JOIN voices v ON a.node = v.node
 """

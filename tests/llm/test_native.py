@@ -168,7 +168,7 @@ def test_line_templates_count_documents_and_keep_copies(spark, tmp_path):
 
 def test_url_filter(spark):
     pages = [
-        (1, "https://WWW.example.com/en/x", None), (2, "http://m.example.com/en/x?q=1", ""), (3, "https://a.org/p.html?utm_source=f", '<link rel="canonical" href="http://sub.net/fr/z">'), (4, "http://www.a.org/p/#top", None), (5, None, None), (6, "no scheme", "x"),
+        (1, "https://WWW.example.com/en/x", None), (2, "http://m.example.com/en/x?q=1", ""), (3, "https://a.org/p.html?utm_source=f", '<link rel="canonical" href="http://sub.net/fr/z">'), (4, "HTTPS://A.org:443/p.html?utm_source=f#top", None), (12, "http://www.a.org/p/#top", None), (5, None, None), (6, "no scheme", "x"),
         (7, "http://b.org", '<meta http-equiv="refresh" content="0; url=http://b.com/">'), (8, "http://b.org/q", None), (9, "http://sub.net/fr/z", None), (9, "http://sub.net/fr/z", None), (10, "http://c.org/1", '<link rel="canonical" href="http://d.net/es/">'), (11, "http://e.org/", None),
     ]
     table = spark.createDataFrame([(*p, 1, "k", "n") for p in pages], "page_id long, url string, html string, key int, node string, component string")
@@ -176,7 +176,8 @@ def test_url_filter(spark):
     got = {(r.page_id): (r.host, r.path, r.rule, r.verdict) for r in filter_urls(table, redirects).collect()}
     assert got[1] == ("www.example.com", "/en/x", "www.example.com/en/", "allow")
     assert got[2] == ("m.example.com", "/en/x", "example.com/en/", "block")
-    assert got[3] == ("a.org", "/p.html", None, "block") and got[4][3] == "block"  # alias of a blocked page
+    assert got[3] == ("a.org", "/p.html", None, "block") and got[4][3] == "block"  # alias of a blocked page, and the same address
+    assert got[12][3] == "allow"  # no link ties it to its sibling
     assert got[5] == ("", "", None, "allow") and got[6] == ("", "", None, "allow")
     assert got[7][3] == "allow" and got[8][3] == "allow" and got[9][2:] == ("net/fr/", "block")
     assert got[10][3] == "block" and got[11][3] == "block"  # over a redirect, a canonical link and a rule
@@ -211,7 +212,7 @@ def test_url_filter_follows_links_however_written(spark):
         parser.found = []
         parser.feed(html)
         rest = urljoin(url, parser.found[0]).partition("://")[2].partition("#")[0]
-        pages.append((200 + i, f"https://{rest}", None))
+        pages.append((200 + i, f"http://{rest}", None))
     got = {r.page_id: r for r in filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules=rules).collect()}
     for i, _, html in pages[: len(tags)]:
         parser = Links()
@@ -223,6 +224,31 @@ def test_url_filter_follows_links_however_written(spark):
         assert got[100 + i].component == got[300 + i].component, relative[i]
 
 
+def test_url_filter_equals_its_sql_on_linked_pages(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from riskweave.llm.url_filter import OP8_SQL, op8_url_filter
+
+    rng = random.Random(3)
+    hosts = ["a.org", "b.info", "sub.net", "x.com", "www.example.com", "m.example.com", "c.net:80"]
+    url = lambda: f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}/{rng.choice(['en', 'es', 'fr', 'q'])}/{rng.randrange(40)}{rng.choice(['', '?k=1', '#f'])}"
+    forms = ['<link rel="canonical" href="{}">', "<LINK HREF='{}' REL=\"alternate canonical\" />", '<meta content="0; URL={}" http-equiv=Refresh>', '<link rel=canonical href={}>', '<link rel="stylesheet" href="{}">', "<meta http-equiv=\"refresh\" content=\"3;url='{}'\">"]
+    rows = []
+    for i in range(400):
+        target = url() if rng.random() < 0.6 else rng.choice(["/fr/1", "../es/2", "?z=1&amp;y=2", "./3", "//sub.net/fr/5", "#top", "mailto:x", ""])
+        rows.append((i, url(), "<html>" + "".join(rng.choice(forms).format(target) for _ in range(rng.choice((0, 0, 1, 2)))) + "<p>rel=canonical</p>"))
+    rows += [(900, None, '<link rel="canonical" href="http://sub.net/fr/">'), (901, "no scheme", '<link rel="canonical" href="/x">'), (902, "http://a.org", None), (903, "http://A.org/", ""), (903, "http://A.org/", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(repr(tuple(r)) for r in op8_url_filter(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect())
+    want = [tuple(r) for r in con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({OP8_SQL})").fetchall()]
+    assert got == sorted(map(repr, want))
+    assert sum(v == "block" and r is None for _, _, _, r, v in want) > 5
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3)] + [(200, 300 + i) for i in range(50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
