@@ -100,6 +100,10 @@ def test_decontamination(spark, tmp_path):
     exact = {(r.doc_id, r.item_id) for r in exact_phrases(index, anchors, n).collect()}
     near = {(r.doc_id, r.item_id) for r in near_phrases(index, anchors, n).collect()}
     assert exact < near and (11, 1) in near - exact
+    # Near copies that lack the rarest word of a window, or a word that no document has.
+    odd = spark.createDataFrame([(20, "zzz " + " ".join(LONG.split()[:9])), (21, " ".join(LONG.split()[5:15]).replace("seven", "nine")), (22, "the")], "item_id long, text string")
+    close = {r.doc_id: (set(r["items"]), set(r["near_items"])) for r in find_contamination(table, odd).where("doc_id in (6, 10, 11)").collect()}
+    assert close[6][0] == {"22"} and close[6][1] >= {"20", "22"} and "21" in close[10][1]
     empty = find_contamination(table, bench.where("false"))
     assert empty.where("n_hit > 0").count() == 0 and empty.count() == len(docs)
     assert find_contamination(table.where("false"), bench).count() == 0
