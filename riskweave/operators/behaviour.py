@@ -7,7 +7,7 @@ time see each other; what needs a predecessor breaks ties by tx_id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from riskweave.functions import scalars as S
@@ -44,9 +44,45 @@ def ratios(txn: DataFrame) -> DataFrame:
     return txn.select("*", part(S.is_night(F.col("ts"))).alias("night_tx_ratio"), part(S.is_weekend(F.col("ts"))).alias("weekend_tx_ratio"), part(F.col("international")).alias("cross_border_ratio_30d"))
 
 
+def frame_sums(txn: DataFrame, key: str, value: str, width: int, measures: dict) -> DataFrame:
+    """txn with, for each name and function f in measures, the sum of f(n) over the values in the row's trailing frame, n being how often each stands there; f(0) is 0.
+
+    A value changes its count when a row enters the frame or leaves it, width + 1
+    later. Both are known from windows by key and value; their running sums by
+    key give the measure. So no row holds a list of its frame. Nulls of value
+    count nothing.
+    """
+    own = W.partitionBy(key, value).orderBy("us")
+    here, inside, ahead = W.partitionBy(key, value, "us"), F.count("*").over(own.rangeBetween(-width, 0)), F.count("*").over(own.rangeBetween(1, width))
+    m, first = F.count("*").over(here), F.row_number().over(here.orderBy("tx_id")) == 1
+    moved = txn.select("*", m.alias("_m"), inside.alias("_in"), ahead.alias("_ahead"), (first & F.col(value).isNotNull()).alias("_first"))
+    step = lambda f, after, before: F.when(F.col("_first"), f(after) - f(before)).otherwise(F.lit(0.0))
+    enter = [step(f, F.col("_in"), F.col("_in") - F.col("_m")).alias(f"_d_{name}") for name, f in measures.items()]
+    leave = [step(f, F.col("_ahead"), F.col("_ahead") + F.col("_m")).alias(f"_d_{name}") for name, f in measures.items()]
+    rows = moved.select(*txn.columns, F.lit(True).alias("_row"), *enter)
+    gone = moved.where(F.col("_first")).select(*[(F.col("us") + width + 1).alias("us") if c == "us" else F.col(c) if c == key else F.lit(None).cast(txn.schema[c].dataType).alias(c) for c in txn.columns], F.lit(False).alias("_row"), *leave)
+    upto = W.partitionBy(key).orderBy("us").rangeBetween(W.unboundedPreceding, 0)
+    return rows.unionByName(gone).select(*txn.columns, "_row", *[F.sum(f"_d_{name}").over(upto).alias(name) for name in measures]).where("_row").drop("_row")
+
+
+def distinct_count(n: Column) -> Column:
+    return (n > 0).cast("double")
+
+
+def n_log_n(n: Column) -> Column:
+    return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
+
+
+def count_distinct(txn: DataFrame, key: str, value: str, width: int, name: str) -> DataFrame:
+    """txn with the number of distinct values in each row's trailing frame."""
+    return frame_sums(txn, key, value, width, {name: distinct_count}).withColumn(name, F.round(name).cast("int"))
+
+
 def distincts(txn: DataFrame) -> DataFrame:
-    many = lambda c, w: F.size(F.collect_set(c).over(trailing("sender", WINDOWS[w])))
-    return txn.select("*", many("receiver", "7d").alias("beneficiary_count_7d"), many("receiver", "30d").alias("beneficiary_count_30d"), many("ip", "24h").alias("ip_change_count_24h"))
+    out = txn
+    for value, window, name in (("receiver", "7d", "beneficiary_count_7d"), ("receiver", "30d", "beneficiary_count_30d"), ("ip", "24h", "ip_change_count_24h")):
+        out = count_distinct(out, "sender", value, WINDOWS[window], name)
+    return out
 
 
 def travel(txn: DataFrame) -> DataFrame:
@@ -86,11 +122,9 @@ def digits(txn: DataFrame) -> DataFrame:
     """Trailing Benford distance and receiver entropy of 30 days."""
     month = trailing("sender", WINDOWS["30d"])
     counts = [F.sum((S.leading_digit(F.col("amount")) == d).cast("int")).over(month) for d in range(1, 10)]
-    out = txn.withColumn("benford_chi2_score", S.benford_chi2(counts)).withColumn("_seen", F.collect_list("receiver").over(month))
-    n = F.size("_seen")
-    share = lambda x: F.size(F.filter("_seen", lambda y: y == x)) / n
-    entropy = F.aggregate(F.array_distinct("_seen"), F.lit(0.0), lambda s, x: s - share(x) * F.log2(share(x)))
-    return out.withColumn("receiver_entropy", entropy).drop("_seen")
+    out = txn.withColumn("benford_chi2_score", S.benford_chi2(counts)).withColumn("_n", F.count("*").over(month))
+    out = frame_sums(out, "sender", "receiver", WINDOWS["30d"], {"_nlogn": n_log_n})
+    return out.withColumn("receiver_entropy", F.greatest(F.lit(0.0), F.log2("_n") - F.col("_nlogn") / F.col("_n"))).drop("_n", "_nlogn")
 
 
 def buckets(txn: DataFrame, days: int = 30) -> DataFrame:
@@ -109,7 +143,7 @@ def row_features(txn: DataFrame) -> DataFrame:
     return txn.select(
         "*", hour.alias("hour_of_day"), dow.alias("day_of_week"), S.round_amount(amount).alias("round_amount_flag"), S.sub_threshold(amount).alias("sub_threshold_flag"), S.clipped_digit(amount).alias("amount_leading_digit"),
         S.high_risk(F.col("country"), F.col("receiver_country")).alias("high_risk_country_flag"), amount.alias("amount_raw"), S.log_amount(amount).alias("amount_log"), hs.alias("hour_sin"), hc.alias("hour_cos"), ds.alias("dow_sin"), dc.alias("dow_cos"),
-        *S.one_hot(F.col("channel"), S.TX_TYPES, "tx_type"), *S.one_hot(F.col("channel"), S.CHANNELS, "channel"),
+        *S.one_hot(F.col("tx_type" if "tx_type" in txn.columns else "channel"), S.TX_TYPES, "tx_type"), *S.one_hot(F.col("channel"), S.CHANNELS, "channel"),
     )
 
 

@@ -7,6 +7,7 @@ a reread and plans stay short.
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 import uuid
 
@@ -86,17 +87,40 @@ def two_cycles(edges: DataFrame) -> DataFrame:
     return edges.join(back, ["u", "v"], "left_semi").groupBy(F.col("u").alias("account")).agg(F.count("*").alias("two_cycles"))
 
 
+def triangles(edges: DataFrame) -> DataFrame:
+    """a, b, c of each undirected triangle once, with ab, bc, ac: which ways its edges go (1: as named, 2: back, 3: both).
+
+    Pairs are turned from the account with fewer partners to that with more, so
+    that an account is the corner of at most about sqrt(2 * pairs) steps out of
+    it, however many partners it has.
+    """
+    way = F.when(F.col("u") < F.col("v"), 1).otherwise(2)
+    pairs = edges.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"), way.alias("way")).groupBy("x", "y").agg(F.sum("way").cast("int").alias("way"))
+    degree = cut(pairs.select(F.explode(F.array("x", "y")).alias("account")).groupBy("account").agg(F.count("*").alias("d")))
+    ranked = pairs.join(degree.select(F.col("account").alias("x"), F.col("d").alias("dx")), "x").join(degree.select(F.col("account").alias("y"), F.col("d").alias("dy")), "y")
+    back = F.struct("dx", "x") > F.struct("dy", "y")
+    turned = F.when(back & (F.col("way") < 3), 3 - F.col("way")).otherwise(F.col("way"))
+    low, high = F.when(back, F.struct(F.col("dy").alias("d"), F.col("y").alias("id"))).otherwise(F.struct(F.col("dx").alias("d"), F.col("x").alias("id"))), F.when(back, F.struct(F.col("dx").alias("d"), F.col("x").alias("id"))).otherwise(F.struct(F.col("dy").alias("d"), F.col("y").alias("id")))
+    steps = cut(ranked.select(low.alias("low"), high.alias("high"), turned.alias("way")))
+    one = steps.select(F.col("low.id").alias("a"), F.col("high").alias("hb"), F.col("way").alias("ab"))
+    two = steps.select(F.col("low.id").alias("a"), F.col("high").alias("hc"), F.col("way").alias("ac"))
+    close = steps.select(F.col("low.id").alias("b"), F.col("high.id").alias("c"), F.col("way").alias("bc"))
+    wedges = one.join(two, "a").where(F.col("hb") < F.col("hc")).select("a", F.col("hb.id").alias("b"), F.col("hc.id").alias("c"), "ab", "ac")
+    return wedges.join(close, ["b", "c"]).select("a", "b", "c", "ab", "bc", "ac")
+
+
 def three_cycles(edges: DataFrame) -> DataFrame:
     """account, three_cycles: directed cycles of three accounts through it."""
-    ab, bc, ca = edges.toDF("a", "b"), edges.toDF("b", "c"), edges.toDF("c", "a")
-    return ab.join(bc, "b").where(F.col("a") != F.col("c")).join(ca, ["c", "a"]).groupBy(F.col("a").alias("account")).agg(F.count("*").alias("three_cycles"))
+    goes = lambda c, way: F.col(c).bitwiseAND(way) > 0
+    round_ = (goes("ab", 1) & goes("bc", 1) & goes("ac", 2)).cast("int") + (goes("ab", 2) & goes("bc", 2) & goes("ac", 1)).cast("int")
+    met = triangles(edges).withColumn("n", round_).where(F.col("n") > 0)
+    return met.select("n", F.explode(F.array("a", "b", "c")).alias("account")).groupBy("account").agg(F.sum("n").alias("three_cycles"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:
-    """Local clustering on the undirected graph, 2T / d(d-1); each triangle is met once, from its least pair."""
+    """Local clustering on the undirected graph, 2T / d(d-1); each triangle is met once."""
     pairs = undirected(edges)
-    ab, bc, ac = pairs.toDF("a", "b"), pairs.toDF("b", "c"), pairs.toDF("a", "c")
-    corners = ab.join(bc, "b").join(ac, ["a", "c"]).select(F.explode(F.array("a", "b", "c")).alias("account")).groupBy("account").agg(F.count("*").alias("t"))
+    corners = triangles(edges).select(F.explode(F.array("a", "b", "c")).alias("account")).groupBy("account").agg(F.count("*").alias("t"))
     degree = pairs.select(F.explode(F.array("u", "v")).alias("account")).groupBy("account").agg(F.count("*").alias("d"))
     c = F.when(F.col("d") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(F.lit(0.0))
     return degree.join(corners, "account", "left").select("account", c.alias("clustering"))
@@ -165,20 +189,30 @@ def induced(txn: DataFrame, members: DataFrame, column: str = "community") -> Da
 
 
 def community_profiles(txn: DataFrame, members: DataFrame) -> DataFrame:
-    """One row a community of two or more: size, density, flow, fans, cycles, Benford, pattern, risk."""
+    """One row a community of two or more: size, density, flow, fans, cycles, Benford, pattern, risk.
+
+    Fans are means over all members of what they have in the whole graph. A
+    community has a cycle if a member lies on one of two or three accounts. A
+    member is chain-like with at most one partner in and one out inside.
+    """
     inner = induced(txn, members)
     size = members.groupBy("community").agg(F.count("*").alias("community_size")).where(F.col("community_size") > 1)
     counts = [F.sum((S.leading_digit(F.col("amount")) == d).cast("int")) for d in range(1, 10)]
     flow = inner.groupBy("community").agg(F.count("*").alias("edges"), F.sum("amount").alias("total_flow_value"), S.benford_chi2(counts).alias("benford_chi2"))
     pairs = inner.select("community", F.col("sender").alias("u"), F.col("receiver").alias("v")).distinct()
     ends = pairs.select("community", F.col("u").alias("account"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(pairs.select("community", "v", F.lit(1), F.lit(0)))
-    ends = ends.groupBy("community", "account").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
-    fans = ends.groupBy("community").agg(F.avg(fan_ratio(F.col("i"), F.col("o"))).alias("mean_fan_in"), F.avg(fan_ratio(F.col("o"), F.col("i"))).alias("mean_fan_out"), F.avg(((F.col("i") == 1) & (F.col("o") == 1)).cast("double")).alias("chain_share"))
-    cycles = pairs.join(pairs.select("community", F.col("v").alias("u"), F.col("u").alias("v")), ["community", "u", "v"], "left_semi").select("community").distinct().withColumn("has_cycle", F.lit(True))
-    out = size.join(flow, "community", "left").join(fans, "community", "left").join(cycles, "community", "left")
+    ends = ends.groupBy("account").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    edges = adjacency(txn)
+    on_cycle = two_cycles(edges).select("account").union(three_cycles(edges).select("account")).distinct().withColumn("on_cycle", F.lit(True))
+    whole = degrees(txn).select("account", fan_ratio(F.col("in_unique"), F.col("out_unique")).alias("fan_in"), fan_ratio(F.col("out_unique"), F.col("in_unique")).alias("fan_out"))
+    each = members.select("account", "community").join(ends, "account", "left").join(whole, "account", "left").join(on_cycle, "account", "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    chain = ((none("i") <= 1) & (none("o") <= 1)).cast("double")
+    fans = each.groupBy("community").agg(F.avg(F.coalesce("fan_in", F.lit(0.0))).alias("mean_fan_in"), F.avg(F.coalesce("fan_out", F.lit(0.0))).alias("mean_fan_out"), F.avg(chain).alias("chain_share"), F.max(F.coalesce("on_cycle", F.lit(False))).alias("has_cycle"))
+    out = size.join(flow, "community", "left").join(fans, "community", "left")
     n = F.col("community_size")
     out = out.select("community", "community_size", (F.coalesce("edges", F.lit(0)) / (n * (n - 1))).alias("community_density"), F.coalesce("total_flow_value", F.lit(0.0)).alias("total_flow_value"), F.coalesce("mean_fan_in", F.lit(0.0)).alias("mean_fan_in"), F.coalesce("mean_fan_out", F.lit(0.0)).alias("mean_fan_out"), F.coalesce("chain_share", F.lit(0.0)).alias("chain_share"), F.coalesce("has_cycle", F.lit(False)).alias("has_cycle"), (F.coalesce("benford_chi2", F.lit(0.0)) > 3.84).alias("benford_anomaly"))
-    pattern = F.when(F.col("has_cycle"), "circular").when(F.col("mean_fan_in") > 0.7, "fan_in").when(F.col("mean_fan_out") > 0.7, "fan_out").when(F.col("chain_share") > 0.5, "chain").otherwise("mixed")
+    pattern = F.when(F.col("has_cycle"), "circular").when(F.col("mean_fan_in") > 0.7, "fan_in").when(F.col("mean_fan_out") > 0.7, "fan_out").when(F.col("chain_share") > 0.5, "layering_chain").otherwise("mixed")
     largest = F.max("community_size").over(W.partitionBy())  # one row a community
     risk = 100 * (0.25 * S.clamp(F.col("community_density"), 0, 1) + 0.30 * F.col("has_cycle").cast("double") + 0.25 * F.col("benford_anomaly").cast("double") + 0.20 * F.log(n + 1) / F.log(largest + 1))
     return out.select("*", pattern.alias("dominant_pattern"), S.clamp(risk, 0, 100).alias("community_risk_score"))
@@ -270,29 +304,44 @@ def betweenness(edges: DataFrame, *, sources: int = 30, max_edges: int = 5_000_0
 def densest(inner: DataFrame, *, max_edges: int = 200_000) -> DataFrame:
     """community, members, density: the densest subgraph met when accounts of least degree are peeled off in turn.
 
-    inner: community, u, v. Peeling is sequential; a community must be within max_edges.
+    inner: community, u, v, one row a transfer; repeated transfers count each.
+    Density is transfers / (n * (n - 1)). Among equal degrees the least account
+    goes first, and among equal densities the larger subgraph holds. Peeling is
+    sequential (a heap, n log n); a community must be within max_edges pairs.
     """
 
     def peel(frame: pd.DataFrame) -> pd.DataFrame:
         if len(frame) > max_edges:
-            raise ValueError(f"densest: a community of over {max_edges} edges")
-        near: dict[int, set[int]] = {}
-        for u, v in zip(frame["u"], frame["v"], strict=True):
-            near.setdefault(u, set()).add(v)
-            near.setdefault(v, set()).add(u)
-        left, edges = set(near), sum(map(len, near.values())) / 2
-        best, score = sorted(left), edges / max(1, len(left))
-        while len(left) > 2:
-            out = min(left, key=lambda x: (len(near[x]), x))
-            edges -= len(near[out])
-            for other in near.pop(out):
-                near[other].discard(out)
-            left.remove(out)
-            if edges / len(left) > score:
-                best, score = sorted(left), edges / len(left)
-        return pd.DataFrame({"community": [frame["community"].iloc[0]], "members": [best], "density": [float(score)]})
-
-    return inner.groupBy("community").applyInPandas(peel, "community long, members array<long>, density double")
+            raise ValueError(f"densest: a community of over {max_edges} pairs")
+        near: dict[int, dict[int, int]] = {}
+        for u, v, n in zip(frame["u"], frame["v"], frame["n"], strict=True):
+            for a, b in ((u, v), (v, u)):
+                near.setdefault(a, {})
+                near[a][b] = near[a].get(b, 0) + int(n)
+        degree = {a: sum(x.values()) for a, x in near.items()}
+        edges, order, heap = sum(degree.values()) / 2, [], [(d, a) for a, d in degree.items()]
+        heapq.heapify(heap)
+        best, kept = -1.0, 0
+        left = len(near)
+        while left > 1:
+            if edges / (left * (left - 1)) > best:
+                best, kept = edges / (left * (left - 1)), len(order)
+            d, out = heapq.heappop(heap)
+            if out not in degree or degree[out] != d:
+                continue
+            edges -= d
+            del degree[out]
+            order.append(out)
+            left -= 1
+            for other, n in near[out].items():
+                if other in degree:
+                    degree[other] -= n
+                    heapq.heappush(heap, (degree[other], other))
+        gone = set(order[:kept])
+        return pd.DataFrame({"community": [frame["community"].iloc[0]], "members": [sorted(a for a in near if a not in gone)], "density": [float(max(best, 0.0))]})
+
+    counted = inner.groupBy("community", "u", "v").agg(F.count("*").alias("n"))
+    return counted.groupBy("community").applyInPandas(peel, "community long, members array<long>, density double")
 
 
 def graph_features(txn: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from riskweave.operators.behaviour import count_distinct
+
 DAY = 86_400_000_000
 FOREVER = float("inf")
 
@@ -23,17 +25,17 @@ def fan_in(txn: DataFrame) -> DataFrame:
     """txn with in_unique_24h and inflow_cv: sources and spread of the receiver's last day; under two inflows the spread is 999."""
     day = W.partitionBy("receiver").orderBy("us").rangeBetween(-DAY, 0)
     n, spread = F.count("*").over(day), F.stddev_pop("amount").over(day) / (F.avg("amount").over(day) + 1e-9)
-    return txn.select("*", F.size(F.collect_set("sender").over(day)).alias("in_unique_24h"), F.when(n < 2, F.lit(999.0)).otherwise(spread).alias("inflow_cv"))
+    return count_distinct(txn, "receiver", "sender", DAY, "in_unique_24h").select("*", F.when(n < 2, F.lit(999.0)).otherwise(spread).alias("inflow_cv"))
 
 
 def sender_history(txn: DataFrame) -> DataFrame:
     """tx_id, last_inflow_amount, last_inflow_gap, relay: the sender's last inflow before, and whether it passes on between few partners over a week."""
-    week = W.partitionBy("node").orderBy("us").rangeBetween(-7 * DAY, 0)
     before = W.partitionBy("node").orderBy("us").rangeBetween(W.unboundedPreceding, -1)
     inflow = F.when(F.col("role") == "in", F.struct("us", "amount"))
-    ranked = ends(txn).select(
-        "*", F.max(inflow).over(before).alias("last"), F.size(F.collect_set(F.when(F.col("role") == "in", F.col("partner"))).over(week)).alias("ins"), F.size(F.collect_set(F.when(F.col("role") == "out", F.col("partner"))).over(week)).alias("outs")
-    )
+    both = ends(txn).select("*", F.when(F.col("role") == "in", F.col("partner")).alias("source"), F.when(F.col("role") == "out", F.col("partner")).alias("target"))
+    for value, name in (("source", "ins"), ("target", "outs")):
+        both = count_distinct(both, "node", value, 7 * DAY, name)
+    ranked = both.select("*", F.max(inflow).over(before).alias("last"))
     mine = ranked.where(F.col("role") == "out")
     return mine.select(
         "tx_id", F.coalesce(F.col("last.amount"), F.lit(0.0)).alias("last_inflow_amount"), F.coalesce((F.col("us") - F.col("last.us")) / 1e6, F.lit(FOREVER)).alias("last_inflow_gap"),

@@ -380,10 +380,12 @@ _COUNTS = [f"sum(({DIGIT} = {x})::INT)" for x in range(1, 10)]
   i AS (SELECT x.*, a.community FROM large x JOIN l2 a ON x.sender = a.account JOIN l2 b ON x.receiver = b.account AND a.community = b.community WHERE x.sender <> x.receiver),
   f AS (SELECT community, count(*) AS edges, sum(amount) AS flow, {chi2_sql(_COUNTS)} AS chi2 FROM i GROUP BY community), q AS (SELECT DISTINCT community, sender AS u, receiver AS v FROM i),
   g AS (SELECT community, account, sum(i) AS i, sum(o) AS o FROM (SELECT community, u AS account, 0 AS i, 1 AS o FROM q UNION ALL SELECT community, v, 1, 0 FROM q) GROUP BY ALL),
-  h AS (SELECT community, avg(i / (i + o + 1e-9::DOUBLE)) AS fi, avg(o / (i + o + 1e-9::DOUBLE)) AS fo, avg((i = 1 AND o = 1)::INT) AS ch FROM g GROUP BY community),
-  y AS (SELECT DISTINCT a.community FROM q a JOIN q b ON a.community = b.community AND a.u = b.v AND a.v = b.u),
-  m AS (SELECT z.community, z.n, coalesce(edges, 0) / (n * (n - 1))::DOUBLE AS density, coalesce(flow, 0) AS flow, coalesce(fi, 0) AS fi, coalesce(fo, 0) AS fo, coalesce(ch, 0) AS ch, y.community IS NOT NULL AS cyc, coalesce(chi2, 0) > 3.84 AS ben FROM z LEFT JOIN f USING (community) LEFT JOIN h USING (community) LEFT JOIN y USING (community))
-  SELECT community, n AS community_size, round(density, 6) AS community_density, round(flow, 2) AS total_flow_value, cyc AS has_cycle, ben AS benford_anomaly, CASE WHEN cyc THEN 'circular' WHEN fi > 0.7 THEN 'fan_in' WHEN fo > 0.7 THEN 'fan_out' WHEN ch > 0.5 THEN 'chain' ELSE 'mixed' END AS dominant_pattern,
+  de AS (SELECT account, count(DISTINCT src) AS i, count(DISTINCT dst) AS o FROM (SELECT u AS account, v AS dst, NULL AS src FROM e UNION ALL SELECT v, NULL, u FROM e) GROUP BY account),
+  cy AS (SELECT a.u AS account FROM e a JOIN e b ON a.u = b.v AND a.v = b.u UNION SELECT a.u FROM e a JOIN e b ON a.v = b.u JOIN e c ON b.v = c.u AND c.v = a.u),
+  h AS (SELECT community, avg(coalesce(de.i / (de.i + de.o + 1e-9::DOUBLE), 0)) AS fi, avg(coalesce(de.o / (de.i + de.o + 1e-9::DOUBLE), 0)) AS fo, avg((coalesce(g.i, 0) <= 1 AND coalesce(g.o, 0) <= 1)::INT) AS ch, bool_or(cy.account IS NOT NULL) AS cyc
+    FROM l2 LEFT JOIN (SELECT account, i, o FROM g) g USING (account) LEFT JOIN de USING (account) LEFT JOIN cy USING (account) GROUP BY community),
+  m AS (SELECT z.community, z.n, coalesce(edges, 0) / (n * (n - 1))::DOUBLE AS density, coalesce(flow, 0) AS flow, coalesce(fi, 0) AS fi, coalesce(fo, 0) AS fo, coalesce(ch, 0) AS ch, cyc, coalesce(chi2, 0) > 3.84 AS ben FROM z LEFT JOIN f USING (community) LEFT JOIN h USING (community))
+  SELECT community, n AS community_size, round(density, 6) AS community_density, round(flow, 2) AS total_flow_value, cyc AS has_cycle, ben AS benford_anomaly, CASE WHEN cyc THEN 'circular' WHEN fi > 0.7 THEN 'fan_in' WHEN fo > 0.7 THEN 'fan_out' WHEN ch > 0.5 THEN 'layering_chain' ELSE 'mixed' END AS dominant_pattern,
   round(greatest(0, least(100, 100 * (0.25 * least(1, density) + 0.30 * cyc::INT + 0.25 * ben::INT + 0.20 * ln(n + 1) / ln(max(n) OVER () + 1)))), 4) AS community_risk_score FROM m""")
 def gr_profiles(spark, d):
     t = large(spark, d)
@@ -412,7 +414,7 @@ def gr_components_all(spark, d):
 
 
 @query("gr_paths", f"""WITH {TXN_SQL}, {_LARGE}, p AS (SELECT u AS start, [u, v] AS path FROM e),
-  q AS (SELECT start, list_append(path, v) AS path FROM p JOIN e ON path[-1] = e.u WHERE NOT list_contains(path, e.v) QUALIFY row_number() OVER (PARTITION BY start ORDER BY list_append(path, v)) <= 20),
+  q AS (SELECT start, list_append(path, v) AS path FROM p JOIN e ON path[-1] = e.u WHERE NOT list_contains(path, e.v)),
   x AS (SELECT start, list_append(path, v) AS path FROM q JOIN e ON path[-1] = e.u WHERE NOT list_contains(path, e.v) QUALIFY row_number() OVER (PARTITION BY start ORDER BY list_append(path, v)) <= 20),
   s AS (SELECT sender AS u, receiver AS v, max(amount) AS amount FROM large GROUP BY ALL), k AS (SELECT path, unnest(range(1, len(path))) AS i FROM x)
   SELECT path, round(sum(amount), 2) AS total_value FROM k JOIN s ON s.u = path[i] AND s.v = path[i + 1] GROUP BY path""")
@@ -448,7 +450,7 @@ def gr_betweenness(spark, d):
 @query("gr_densest")
 def gr_densest(spark, d):
     t = txn(spark, d)
-    inner = G.induced(t, G.label_propagation(G.adjacency(t))).select("community", F.col("sender").alias("u"), F.col("receiver").alias("v")).distinct()
+    inner = G.induced(t, G.label_propagation(G.adjacency(t))).select("community", F.col("sender").alias("u"), F.col("receiver").alias("v"))
     return G.densest(inner)
 
 

@@ -18,7 +18,7 @@ from riskweave.operators import graph as G
 from riskweave.operators import live_graph as L
 from riskweave.operators import models as M
 from riskweave.operators import rules as R
-from riskweave.plans.queries_core import D, DIGIT, H, TXN_SQL, over, query, r
+from riskweave.plans.queries_core import _WINDOWED, D, DIGIT, H, TXN_SQL, chi2_sql, over, query, r
 from riskweave.sources.tables import alerts_csv, keep_present, parse_upload, table, txn
 from riskweave.streaming import stream as T
 
@@ -28,11 +28,11 @@ DENSE = R.Limits(structuring_velocity=1, hour_velocity=2, day_velocity=8, benefi
 
 def scored_features(spark, d):
     """The transactions with what the rules of the rule queries look at."""
-    t = B.devices(B.travel(B.velocity(txn(spark, d))))
+    t = B.digits(B.devices(B.travel(B.velocity(txn(spark, d)))))
     a = F.col("amount")
     t = t.select("*", S.round_amount(a).alias("round_amount_flag"), S.sub_threshold(a).alias("sub_threshold_flag"), S.high_risk(F.col("country"), F.col("receiver_country")).alias("high_risk_country_flag"))
     t = L.fan_in(t).join(L.sender_history(txn(spark, d)), "tx_id").join(L.closed_cycles(txn(spark, d)), "tx_id")
-    return t.withColumn("beneficiary_count_7d", F.size(F.collect_set("receiver").over(B.trailing("sender", 7 * D))))
+    return B.count_distinct(t, "sender", "receiver", 7 * D, "beneficiary_count_7d")
 
 
 RULED_SQL = f"""{TXN_SQL}, i AS (SELECT receiver AS node, us, max(amount) AS amount FROM txn GROUP BY ALL),
@@ -43,13 +43,13 @@ RULED_SQL = f"""{TXN_SQL}, i AS (SELECT receiver AS node, us, max(amount) AS amo
   three AS (SELECT k.r AS u, k.s AS v, min(greatest(f.x, two.x)) AS x FROM k JOIN f ON f.u = k.r JOIN two ON two.u = f.v AND two.v = k.s GROUP BY ALL),
   cy AS (SELECT tx_id, coalesce(a.x < us, false) OR coalesce(b.x < us, false) OR coalesce(c.x < us, false) AS cycle FROM txn LEFT JOIN f a ON a.u = receiver AND a.v = sender LEFT JOIN two b ON b.u = receiver AND b.v = sender LEFT JOIN three c ON c.u = receiver AND c.v = sender),
   w AS (SELECT *, count(*) {over(H)} AS v1, count(*) {over(D)} AS v24, count(DISTINCT receiver) {over(7 * D)} AS b7, count(DISTINCT sender) {over(D, 'receiver')} AS in24, CASE WHEN count(*) {over(D, 'receiver')} < 2 THEN 999 ELSE stddev_pop(amount) {over(D, 'receiver')} / (avg(amount) {over(D, 'receiver')} + 1e-9) END AS cv,
-    lag(us) OVER o AS pus, lag(lat) OVER o AS plat, lag(lon) OVER o AS plon, row_number() OVER (PARTITION BY sender, device ORDER BY us, tx_id) = 1 AS newdev FROM txn WINDOW o AS (PARTITION BY sender ORDER BY us, tx_id)),
+    lag(us) OVER o AS pus, lag(lat) OVER o AS plat, lag(lon) OVER o AS plon, row_number() OVER (PARTITION BY sender, device ORDER BY us, tx_id) = 1 AS newdev, {', '.join(f'{w} AS d{i}' for i, w in enumerate(_WINDOWED, 1))} FROM txn WINDOW o AS (PARTITION BY sender ORDER BY us, tx_id)),
   g AS (SELECT *, sum(newdev::INT) OVER (PARTITION BY device ORDER BY us, tx_id ROWS UNBOUNDED PRECEDING) - 1 AS shared, coalesce((us - pus) / 1e6::DOUBLE, 0) AS gap,
     CASE WHEN plat IS NULL THEN 0 ELSE 2 * 6371.0088 * asin(sqrt(greatest(0.0::DOUBLE, least(1.0::DOUBLE, power(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * power(sin(radians(lon - plon) / 2), 2))))) END AS km FROM w),
   hit AS (SELECT g.*, cycle, list_filter([
     CASE WHEN amount > 1000000 THEN 'R01' END, CASE WHEN amount BETWEEN 850000 AND 999000 AND v1 >= 1 THEN 'R02' END, CASE WHEN v1 > 2 OR v24 > 8 THEN 'R03' END, CASE WHEN gap > 15552000 AND amount > 100000 THEN 'R04' END,
     CASE WHEN gap > 0 AND km / (gap / 3600) > 900 THEN 'R05' END, CASE WHEN (country IN ('AE', 'MU', 'CN', 'NG', 'PK') OR receiver_country IN ('AE', 'MU', 'CN', 'NG', 'PK')) AND international THEN 'R06' END, CASE WHEN newdev AND amount > 200000 THEN 'R07' END, CASE WHEN shared > 5 THEN 'R08' END,
-    CASE WHEN b7 > 30 THEN 'R09' END, CASE WHEN cycle THEN 'R10' END, CASE WHEN amount % 100000 = 0 AND v24 > 5 THEN 'R11' END, CASE WHEN kyc = 0 AND amount > 500000 THEN 'R12' END, CASE WHEN in24 >= 4 AND cv < 0.6 THEN 'R14' END,
+    CASE WHEN b7 > 30 THEN 'R09' END, CASE WHEN cycle THEN 'R10' END, CASE WHEN amount % 100000 = 0 AND v24 > 5 THEN 'R11' END, CASE WHEN kyc = 0 AND amount > 500000 THEN 'R12' END, CASE WHEN {chi2_sql([f'd{i}' for i in range(1, 10)])} > 20 THEN 'R13' END, CASE WHEN in24 >= 4 AND cv < 0.6 THEN 'R14' END,
     CASE WHEN la > 0 AND relay AND amount / la BETWEEN 0.85 AND 1 AND lg < 7200 THEN 'R15' END], lambda x: x IS NOT NULL) AS fired FROM g JOIN rl USING (tx_id) JOIN li USING (tx_id) JOIN cy USING (tx_id)),
   sev AS (SELECT *, list_transform(fired, lambda x: CASE WHEN x IN ('R01', 'R02', 'R10') THEN 70 WHEN x IN ('R04', 'R05', 'R15') THEN 66 WHEN x IN ('R03', 'R09', 'R12', 'R14') THEN 62 WHEN x IN ('R06', 'R08', 'R13') THEN 58 ELSE 54 END) AS s FROM hit),
   ruled AS (SELECT *, CASE WHEN len(fired) = 0 THEN 0.0::DOUBLE ELSE least(100.0::DOUBLE, list_max(s) + least(30.0::DOUBLE, (len(fired) - 1) * 10)) END AS rule_score FROM sev),
@@ -59,7 +59,7 @@ RULED_SQL = f"""{TXN_SQL}, i AS (SELECT receiver AS node, us, max(amount) AS amo
 
 
 def ruled(spark, d):
-    return R.evaluate(scored_features(spark, d), tuple(x for x in R.RULES if x.id != "R13"), DENSE)
+    return R.evaluate(scored_features(spark, d), limits=DENSE)
 
 
 def fused(spark, d):
@@ -320,6 +320,3 @@ def probe_suite(spark, d):
 def src_window_rank(spark, d):
     c = table(spark, d, "conversations")
     return c.select("conv_id", "turn", "role", F.count("*").over(W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)).alias("n_before"), F.length("text").alias("chars"))
-
-
-assert DIGIT

@@ -50,13 +50,15 @@ def micros(ts) -> F.Column:
 
 
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as transactions: the receiver is the next user of the same type of event."""
+    """events as transactions, row by row: the receiver is a user told by sender and event, one of those up to the greatest user_id."""
     events = table(spark, sf_dir, "events")
-    by = W.partitionBy("event_type").orderBy("ts", "event_id")
+    users = events.agg((F.max("user_id") + 1).alias("users"))
     k = F.get_json_object("props", "$.k").cast("int")
     named = F.array(*[F.lit(c) for c in COUNTRIES])
+    receiver = (F.col("user_id") + F.col("event_id") * 7919 + 13) % F.col("users")
+    events = events.join(F.broadcast(users))  # users is one row
     at = events.select(
-        F.col("event_id").alias("tx_id"), F.col("ts").cast("timestamp").alias("ts"), micros(F.col("ts")).alias("us"), F.col("user_id").alias("sender"), F.lead("user_id").over(by).alias("receiver"),
+        F.col("event_id").alias("tx_id"), F.col("ts").cast("timestamp").alias("ts"), micros(F.col("ts")).alias("us"), F.col("user_id").alias("sender"), receiver.alias("receiver"),
         F.round(F.col("value") * 20000, 2).alias("amount"), F.col("event_type").alias("channel"), k.alias("k"),
     ).where(F.col("receiver").isNotNull())
     return at.select(
@@ -157,6 +159,6 @@ class ArtifactStore:
 TXN_SQL = f"""txn AS (
   SELECT *, k % 20 AS device, k % 15 AS ip, {list(COUNTRIES)}[k % 10 + 1] AS country, {list(COUNTRIES)}[(receiver % 10)::INT + 1] AS receiver_country,
     k % 10 <> receiver % 10 AS international, (k * 37 % 180 - 90)::DOUBLE AS lat, (k * 53 % 360 - 180)::DOUBLE AS lon, (sender % 4)::INT AS kyc
-  FROM (SELECT event_id AS tx_id, ts, epoch_us(ts) AS us, user_id AS sender, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS receiver,
+  FROM (SELECT event_id AS tx_id, ts, epoch_us(ts) AS us, user_id AS sender, (user_id + event_id * 7919 + 13) % (SELECT max(user_id) + 1 FROM events) AS receiver,
       round(value * 20000, 2) AS amount, event_type AS channel, json_extract(props, '$.k')::INT AS k FROM events)
   WHERE receiver IS NOT NULL)"""

@@ -1,7 +1,9 @@
 """Rules, scalars, fusion, evaluation, sources, generator and streams on small fixtures."""
 
 import datetime as dt
+import itertools
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import scalars as S
 from riskweave.operators import alerts as A
+from riskweave.operators import behaviour as B
 from riskweave.operators import evaluation as E
 from riskweave.operators import fusion as U
 from riskweave.operators import generator as N
@@ -188,7 +191,9 @@ def test_graph(spark):
     line = spark.createDataFrame([(1, 2), (2, 3)], "u long, v long")
     assert {r.account: r.betweenness for r in G.betweenness(line).collect()} == {1: 0.0, 2: pytest.approx(0.5), 3: 0.0}
     dense = G.densest(edges.withColumn("community", F.lit(1).cast("long"))).first()
-    assert dense.members == [1, 2, 3] and dense.density == 1.0
+    assert dense.members == [1, 2, 3] and dense.density == 0.5
+    twice = edges.union(edges.where("u = 7")).union(edges.where("u = 7")).withColumn("community", F.lit(1).cast("long"))
+    assert (G.densest(twice).first().members, G.densest(twice).first().density) == ([7, 8], 1.5)  # three transfers between two accounts
 
 
 def test_paths_behind_dead_ends(spark):
@@ -292,3 +297,50 @@ def test_stream_sinks(spark, tmp_path):
     q = X.alert_sink(X.event_stream(spark, str(tmp_path / "in")).where("value > 50"), str(tmp_path / "alerts"), str(tmp_path / "ck2"), key="event_id")
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "alerts")).count() == 49
+
+
+def test_windows_by_entering_and_leaving(spark):
+    """Distinct counts and entropies of trailing frames against lists of them, with ties, nulls and frames that end on a row."""
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(0, 60), rng.randrange(3), rng.choice((1, 2, 3, 4, None)), 5.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "tx_id long, us long, sender long, receiver long, amount double")
+    got = B.frame_sums(df, "sender", "receiver", 7, {"n": B.distinct_count, "nlogn": B.n_log_n}).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        seen = Counter(v for _, t, s, v, _ in rows if s == r.sender and r.us - 7 <= t <= r.us and v is not None)
+        assert r.n == len(seen) and r.nlogn == pytest.approx(sum(c * math.log2(c) for c in seen.values()), abs=1e-9)
+    assert B.count_distinct(df.where("false"), "sender", "receiver", 7, "n").count() == 0
+
+
+def test_triangles_of_a_hub(spark):
+    """Each triangle once, whichever way its edges go; a hub with the least id makes no pairs of its partners."""
+    rng = random.Random(5)
+    edges = {(0, i) for i in range(1, 40)} | {(rng.randrange(1, 40), rng.randrange(1, 40)) for _ in range(120)} | {(i, 0) for i in range(1, 40, 3)}
+    edges = {(u, v) for u, v in edges if u != v}
+    df = spark.createDataFrame(sorted(edges), "u long, v long")
+    pairs = {frozenset(e) for e in edges}
+    want = {t for t in itertools.combinations(range(40), 3) if all(frozenset(p) in pairs for p in itertools.combinations(t, 2))}
+    met = [tuple(sorted((r.a, r.b, r.c))) for r in G.triangles(df).collect()]
+    assert len(met) == len(set(met)) and set(met) == want
+    cycles = {}
+    for a, b, c in itertools.permutations(range(40), 3):
+        if (a, b) in edges and (b, c) in edges and (c, a) in edges:
+            cycles[a] = cycles.get(a, 0) + 1
+    assert {r.account: r.three_cycles for r in G.three_cycles(df).collect()} == cycles
+
+
+def test_community_patterns(spark):
+    """A ring of three is circular, a plain chain is a chain, members without inner edges count."""
+    rows = [(1, 2), (2, 3), (3, 1), (11, 12), (12, 13), (21, 22), (23, 22), (24, 22), (25, 22), (26, 22)]
+    txn = spark.createDataFrame([(i, i, u, v, 1000.0) for i, (u, v) in enumerate(rows)], "tx_id long, us long, sender long, receiver long, amount double")
+    members = spark.createDataFrame([(a, a // 10) for a in (1, 2, 3, 11, 12, 13, 14, 21, 22, 23, 24, 25, 26)], "account long, community long")
+    got = {r.community: r for r in G.community_profiles(txn, members).collect()}
+    assert got[0].has_cycle and got[0].dominant_pattern == "circular"
+    assert not got[1].has_cycle and got[1].dominant_pattern == "layering_chain" and got[1].chain_share == 1.0 and got[1].community_size == 4
+    assert got[2].dominant_pattern == "fan_out" and got[2].mean_fan_out == pytest.approx(5 / 6)
+
+
+def test_paths_behind_dead_ends(spark):
+    """A start whose first prefixes all end keeps the path behind them."""
+    edges = spark.createDataFrame([(0, i) for i in range(1, 62)] + [(61, 100), (100, 101)], "u long, v long")
+    assert [r.path for r in G.paths(edges, length=3, cap=5).where("start = 0").collect()] == [[0, 61, 100, 101]]
