@@ -22,6 +22,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -168,40 +170,43 @@ def read_token(token: str, model: CharModel) -> str:
     return " ".join([word, *(restore(x, model) for x in sorted(forms) if disguised(x))])
 
 
-def readings(text: str, model: CharModel, cache: dict[str, str]) -> set[str]:
-    """Distinct words of a text, with the restored words of disguised tokens and of spaced-out letters."""
-    text = text.lower()
-    out = set()
+class TokenReader(dict):
+    """The words of a token, kept for the tokens met lately."""
+
+    def __init__(self, model: CharModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        words = tuple(read_token(token, self.model).split(" "))
+        if len(token) <= LONG:
+            if len(self) >= CACHE:
+                self.clear()
+            self[token] = words
+        return words
+
+
+def readings(text: str | None, reader: TokenReader) -> tuple[set[str], int]:
+    """Distinct words of a text, with the restored words of disguised tokens and of spaced-out letters; and its number of distinct tokens."""
+    text = (text or "").lower()
     tokens = set(text.split())
+    n = len(tokens)
     if SPACED.search(text):
         tokens.update(SPACED.findall(text))
-    for token in tokens:
-        word = cache.get(token)
-        if word is None:
-            word = read_token(token, model)
-            if len(token) <= LONG:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[token] = word
-        if " " in word:
-            out.update(word.split(" "))
-        else:
-            out.add(word)
-    return out
+    return set(chain.from_iterable(map(reader.__getitem__, tokens))), n
 
 
 def char_trigrams(docs: DataFrame) -> DataFrame:
     """gram (three characters, ^ for a word's edges) and n, over all words of letters in docs."""
 
     def run(batches):
-        counts: dict[str, int] = {}
+        counts: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for w in (text or "").lower().split():
-                    counts[w] = counts.get(w, 0) + 1
+                counts.update((text or "").lower().split())
                 if len(counts) >= FLUSH:
                     yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-                    counts = {}
+                    counts = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     words = docs.select(F.col("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -239,17 +244,14 @@ class ToxicModel:
         self.weights, self.bias, self.dense = weights, bias, dense
         self.roots = {f[: BEGINNINGS[0]] for f in weights if "~" in f}
 
-    def score(self, words, length: int) -> float:
-        """Probability that a text with these readings, of so many words, is toxic."""
-        weights, roots, near = self.weights, self.roots, []
+    def score(self, words: set[str], length: int) -> float:
+        """Probability that a text with these readings, of so many distinct tokens, is toxic."""
+        weights, roots, start = self.weights, self.roots, BEGINNINGS[0]
         z = self.bias + sum(map(float.__mul__, self.dense, dense_features(words, length)))
-        for w in words:
-            if w in weights:
-                z += weights[w]
-            if w[: BEGINNINGS[0]] in roots:
-                near.append(w)
+        z += sum(map(weights.__getitem__, sorted(weights.keys() & words)))
+        near = [w for w in words if w[:start] in roots]
         if near:
-            z += sum(weights.get(f, 0.0) for f in features_of(near) if "~" in f)
+            z += sum(map(weights.__getitem__, sorted(weights.keys() & {f for f in features_of(near) if "~" in f})))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -258,11 +260,6 @@ def dense_features(words, length: int) -> tuple[float, float]:
     return float(max(0, len(words) - length)) / (length + 10), math.log1p(length) / 10
 
 
-def read_text(text: str | None, model: CharModel, cache: dict[str, str]) -> tuple[set[str], int]:
-    """The readings of a text, and its number of distinct tokens."""
-    return readings(text or "", model, cache), len(set((text or "").split()))
-
-
 def fit_weights(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, toxic: np.ndarray, weight: np.ndarray, n_features: int, *, steps: int = 400) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights of the logistic model: full-batch Adam on the weighted loss with PENALTY; (rows, cols) are the features that texts have."""
     theta = np.zeros(n_features + dense.shape[1] + 1)
@@ -293,9 +290,9 @@ def learn(docs: DataFrame, marked: DataFrame, model: CharModel, all_toxic: int,
         return nothing
 
     def read(batches):
-        cache: dict[str, str] = {}
+        reader = TokenReader(model)
         for batch in batches:
-            found = [read_text(text, model, cache) for text in batch.column("text").to_pylist()]
+            found = [readings(text, reader) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([sorted(w) for w, _ in found], pa.list_(pa.string())), pa.array([n for _, n in found], pa.int64())], ["toxic", "words", "n"])
 
     def count(batches):
@@ -384,9 +381,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = 15_000
     toxic = learn(docs, materialise(drawn[0].unionByName(drawn[1]), "toxic-sample"), model, totals.get(1, 0), totals.get(0, 0))
 
     def run(batches):
-        cache: dict[str, str] = {}
+        reader = TokenReader(model)
         for batch in batches:
-            scores = [toxic.score(*read_text(text, model, cache)) for text in batch.column("text").to_pylist()]
+            scores = [toxic.score(*readings(text, reader)) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")

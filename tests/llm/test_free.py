@@ -11,7 +11,7 @@ from riskweave.llm.minhash import near_duplicates
 from riskweave.llm.pu_quality import fit_nnpu, score_quality
 from riskweave.llm.quality_rules import base_failure, fences, judge_quality, measure, sketch_measures
 from riskweave.llm.suffix_dedup import repeated_passages
-from riskweave.llm.toxicity import CharModel, disguised, read_token, readings, restore, score_toxicity
+from riskweave.llm.toxicity import CharModel, TokenReader, disguised, read_token, readings, restore, score_toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, words string, n int, key string"
 
@@ -95,6 +95,45 @@ def test_repeated_passages(spark):
     assert repeated_passages(documents(spark, rows).where("false")).count() == 0
 
 
+def brute_repeats(rows, n):
+    """Words of each document that lie in a passage of n words which stands in another document too."""
+    words = {d: (t or "").lower().split() for d, t in rows if d is not None}
+    where = {}
+    for d, w in words.items():
+        for i in range(len(w) - n + 1):
+            where.setdefault(" ".join(w[i : i + n]), set()).add(d)
+    return {d: hit for d, w in words.items() if (hit := {i + j for i in range(len(w) - n + 1) if len(where[" ".join(w[i : i + n])]) > 1 for j in range(n)})}
+
+
+def test_repeated_passages_against_brute_force(spark):
+    """Copies that reach differently far, variants that share their openings, one passage in most documents, repeats inside a document."""
+    rng = random.Random(15)
+    fresh = lambda n: prose(rng, n, 10**6).split()
+    long, opening, hot = fresh(900), fresh(40), fresh(60)
+    variants = [fresh(30) for _ in range(6)]
+    rows = []
+    for i in range(120):
+        w = fresh(rng.randrange(20, 80))
+        if i % 2:
+            w += hot + fresh(rng.randrange(1, 9))
+        if i % 5 == 0:
+            a = rng.randrange(0, 500)
+            w += long[a : a + rng.randrange(40, 400)] + fresh(3)
+        if i % 4 == 0:
+            w += opening + variants[i % 6] + fresh(5)
+        if i % 11 == 0:
+            w += hot + fresh(2) + hot
+        rows.append((i, " ".join(w + fresh(rng.randrange(0, 60)))))
+    rows += [(200, " ".join(fresh(10) + long + fresh(10))), (201, " ".join(long)), (202, rows[7][1])]
+    want = brute_repeats(rows, 51)
+    got = {}
+    for r in repeated_passages(documents(spark, rows).repartition(9)).collect():
+        assert r.n_words == r.last_word - r.first_word + 1
+        got.setdefault(r.doc_id, set()).update(range(r.first_word, r.last_word + 1))
+    assert set(got) == set(want) and all(got[d] <= want[d] for d in got)
+    assert sum(map(len, got.values())) >= 0.99 * sum(map(len, want.values()))
+
+
 def test_quality_rules(spark):
     rng = random.Random(9)
     rows = [(i, prose(rng, 80)) for i in range(150)] + [(500, prose(rng, 60).replace("w", "w#$#")), (501, "same three words " * 40), (502, None), (503, ""), (504, "\n".join([prose(rng, 70), "dup line", "dup line", " ", " "])), (505, "é\x85ü\xa0ñ a\tb"), (None, prose(rng, 90)), (0, prose(rng, 80))]
@@ -183,10 +222,10 @@ def test_reading_long_marked_and_spaced_tokens():
     for text, word in (
         ("st" + "u" * 60 + "pid", "stupid"), ("1d10t!!", "idiot"), ("y o u i d i o t", "idiot"), ("y o u  i  d  i  o  t", "idiot"), ("well, y o u a r e s u c h a s t u p i d l a m p now", "stupid"), ("-".join("you" * 20) + "-1-d-1-0-t", "you" * 20 + "idiot"),
     ):
-        assert word in readings(text, model, {}), text
+        assert word in readings(text, TokenReader(model))[0], text
     assert {"y_o_u_i_d_i_o_t", "you", "idiot"} <= set(read_token("y o u i d i o t", model).split(" "))
     assert len(restore("x1" * 20_000, model)) >= 20_000
-    assert readings("plain words, 2024 !!", model, {}) == {"plain", "words", "2024", ""}
+    assert readings("plain words, 2024 !!", TokenReader(model)) == ({"plain", "words", "2024", ""}, 4)
 
 
 def test_toxicity_on_held_out_rows(spark):
