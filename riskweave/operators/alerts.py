@@ -39,6 +39,11 @@ def list_alerts(alerts: DataFrame, *, level: str | None = None, status: str | No
     return alerts.orderBy(F.desc("created_at"), "alert_id").limit(limit)
 
 
+def alert_by_id(alerts: DataFrame, alert_id: str) -> DataFrame:
+    """The alert of that id, or no row."""
+    return alerts.where(F.col("alert_id") == alert_id)
+
+
 def live_over_stored(stored: DataFrame, live: DataFrame, key: str = "tx_id") -> DataFrame:
     """Both by key; where both have a row, the live one."""
     both = live.withColumn("_source", F.lit(0)).unionByName(stored.withColumn("_source", F.lit(1)))

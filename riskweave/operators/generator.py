@@ -158,8 +158,52 @@ def generate(spark: SparkSession, cfg: Config = Config()) -> DataFrame:
     """All transfers, with times made unique in order of (ts, tx_id) within a tie."""
     planned = rings(spark, cfg)
     every = normal_traffic(spark, cfg).unionByName(income(spark, cfg)).unionByName(planned).unionByName(prestage(planned, cfg.seed))
-    tie = F.row_number().over(W.partitionBy("ts").orderBy("tx_id")) - 1
-    return every.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + tie))
+    return unique_times(every)
+
+
+def unique_times(df: DataFrame) -> DataFrame:
+    """df with times made unique: inside each millisecond rows are a microsecond apart, in order of (ts, tx_id).
+
+    So no row reaches the time of one after it; over a thousand rows in one
+    millisecond are an error.
+    """
+    ms = F.floor(F.unix_micros("ts") / 1000)
+    tie = F.row_number().over(W.partitionBy("_ms").orderBy("ts", "tx_id")) - 1
+    placed = df.withColumn("_ms", ms).withColumn("_tie", tie)
+    at = F.when(F.col("_tie") < 1000, F.col("_ms") * 1000 + F.col("_tie")).otherwise(F.raise_error(F.lit("over 1000 rows in a millisecond")).cast("long"))
+    return placed.withColumn("ts", F.timestamp_micros(at)).drop("_ms", "_tie")
+
+
+def ring_ratios(df: DataFrame, suspicious: Column) -> DataFrame:
+    """account, suspicious, total, ratio, has_before, has_after: of each account with suspicious transfers, its share of them, and whether it has others before and after their median time.
+
+    df: us, sender, receiver. A transfer to oneself counts once.
+    """
+    marked = df.select("us", "sender", "receiver", suspicious.alias("bad"))
+    each = marked.select("us", F.col("sender").alias("account"), "bad").unionByName(marked.where(F.col("sender") != F.col("receiver")).select("us", F.col("receiver").alias("account"), "bad"))
+    bad = each.where("bad").groupBy("account").agg(F.count("*").alias("suspicious"), F.percentile("us", 0.5).alias("median"))
+    both = each.join(bad, "account")
+    other = ~F.col("bad")
+    return both.groupBy("account").agg(F.max("suspicious").alias("suspicious"), F.count("*").alias("total"), F.max(other & (F.col("us") < F.col("median"))).alias("has_before"), F.max(other & (F.col("us") > F.col("median"))).alias("has_after")).withColumn("ratio", F.col("suspicious") / F.col("total"))
+
+
+def rebalance(generated: DataFrame, *, most: float = 0.4, seed: int = 1) -> DataFrame:
+    """Ordinary transfers to add, so that no account of a ring has more than `most` of its transfers in it and each has some before and after.
+
+    Same columns as generated; amounts are small and times within that of all.
+    """
+    rows = generated.withColumn("us", F.unix_micros("ts"))
+    span = rows.agg(F.min("us").alias("_from"), F.max("us").alias("_to"))
+    need = F.greatest(F.ceil(F.col("suspicious") / most) - F.col("total"), (~F.col("has_before")).cast("long") + (~F.col("has_after")).cast("long"))
+    wanted = ring_ratios(rows.where(F.col("sender") >= 0), F.col("ring_id").isNotNull()).where(F.col("account") >= 0).select("account", "has_before", need.cast("int").alias("need")).where(F.col("need") > 0)
+    each = wanted.select("account", "has_before", F.explode(F.sequence(F.lit(1), F.col("need"))).alias("i")).join(F.broadcast(span))  # span is one row
+    u = lambda name: uniform(seed, F.lit(name), F.col("account"), F.col("i"))
+    # The first is early unless there is one before already, the next one late; others fall anywhere.
+    turn = F.col("i") + F.col("has_before").cast("int")
+    share = F.when(turn == 1, u("at") * 0.01).when(turn == 2, 1 - u("at") * 0.01).otherwise(u("at"))
+    at = F.timestamp_micros((F.col("_from") + share * (F.col("_to") - F.col("_from"))).cast("long"))
+    made = each.select(F.concat(F.lit("N-"), "account", F.lit("-"), "i").alias("tx_id"), F.col("account").alias("sender"), F.lit(-1).cast("long").alias("receiver"), at.alias("ts"), F.round(500 + 4500 * u("amount"), 2).alias("amount"))
+    return made.select(*[F.col(c).cast(generated.schema[c].dataType).alias(c) if c in made.columns else F.lit(None).cast(generated.schema[c].dataType).alias(c) for c in generated.columns])
 
 
 def truth(generated: DataFrame) -> DataFrame:

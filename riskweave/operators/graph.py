@@ -8,7 +8,6 @@ a reread and plans stay short.
 from __future__ import annotations
 
 import heapq
-import tempfile
 import uuid
 
 import numpy as np
@@ -17,18 +16,15 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from riskweave.functions import scalars as S
+from riskweave.sources.tables import shared_folder
 
 EPS = 1e-9
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df under spark.checkpoint.dir (a temporary folder only where unset) and read it back."""
+    """Write df under the folder that driver and executors share, and read it back."""
     spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="riskweave-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    path = f"{place.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -134,14 +130,18 @@ def ego_volumes(txn: DataFrame, micros: int = 7 * 86_400_000_000) -> DataFrame:
     return ends.groupBy("account").agg(F.sum("i").alias("ego_in"), F.sum("o").alias("ego_out")).withColumn("asymmetry", volume_asymmetry(F.col("ego_in"), F.col("ego_out")))
 
 
-def pagerank(weighted: DataFrame, *, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """account, pagerank: weighted ranks after `rounds` rounds; mass of accounts without edges out is dealt to all."""
+def pagerank(weighted: DataFrame, *, damping: float = 0.85, rounds: int = 10, tolerance: float | None = None) -> DataFrame:
+    """account, pagerank: weighted ranks; mass of accounts without edges out is dealt to all.
+
+    After `rounds` rounds, or with a tolerance as soon as the sum of changes in
+    three rounds is under tolerance * accounts, if that is earlier.
+    """
     nodes = cut(weighted.select(F.col("u").alias("account")).union(weighted.select("v")).distinct())
     n = nodes.count()
     out = weighted.groupBy(F.col("u").alias("o")).agg(F.sum("weight").alias("total"))
     share = cut(weighted.join(out, F.col("u") == F.col("o")).select("u", "v", (F.col("weight") / F.col("total")).alias("share")))
     ends = cut(nodes.join(share.select(F.col("u").alias("account")).distinct(), "account", "left_anti"))
-    ranks = nodes.withColumn("pagerank", F.lit(1.0 / max(1, n)))
+    ranks = held = nodes.withColumn("pagerank", F.lit(1.0 / max(1, n)))
     for turn in range(rounds):
         flow = share.join(ranks, F.col("u") == F.col("account")).groupBy(F.col("v").alias("to")).agg(F.sum(F.col("share") * F.col("pagerank")).alias("flow"))
         lost = ranks.join(ends, "account", "left_semi").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("lost"))
@@ -149,6 +149,11 @@ def pagerank(weighted: DataFrame, *, damping: float = 0.85, rounds: int = 10) ->
         ranks = nodes.join(flow, F.col("account") == F.col("to"), "left").join(F.broadcast(lost)).select("account", rank.alias("pagerank"))  # lost is one row
         if turn % 3 == 2:
             ranks = cut(ranks)
+            if tolerance is not None:
+                moved = ranks.join(held.withColumnRenamed("pagerank", "before"), "account").agg(F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()[0]
+                if (moved or 0.0) < tolerance * n:
+                    return ranks
+                held = ranks
     return ranks
 
 
@@ -166,6 +171,12 @@ def label_propagation(edges: DataFrame, *, rounds: int = 5) -> DataFrame:
     return labels
 
 
+def topped_up(communities: DataFrame, accounts: DataFrame) -> DataFrame:
+    """communities (account, community) with a community of its own, named after it, for each account that has none."""
+    alone = accounts.select("account").distinct().join(communities.select("account"), "account", "left_anti")
+    return communities.select("account", "community").unionByName(alone.withColumn("community", F.col("account")))
+
+
 def weak_components(edges: DataFrame, *, rounds: int = 50) -> DataFrame:
     """account, component (its least account), by passing minima on and shortcutting them."""
     both = cut(edges.select("u", "v").union(edges.select("v", "u")).distinct())
@@ -256,6 +267,12 @@ def neighbourhood(edges: DataFrame, centre: int, hops: int = 2, cap: int = 80) -
     return seen.orderBy("hop", "account").limit(cap)
 
 
+def neighbourhood_edges(edges: DataFrame, centre: int, hops: int = 2, cap: int = 200) -> DataFrame:
+    """u, v: the edges between the accounts of a neighbourhood (the nearest `cap`)."""
+    near = cut(neighbourhood(edges, centre, hops, cap)).select("account")
+    return edges.select("u", "v").distinct().join(near.withColumnRenamed("account", "u"), "u", "left_semi").join(near.withColumnRenamed("account", "v"), "v", "left_semi").select("u", "v")
+
+
 def betweenness(edges: DataFrame, *, sources: int = 30, max_edges: int = 5_000_000) -> DataFrame:
     """account, betweenness: shortest-path dependencies from `sources` accounts (by hash), scaled to all and normalised.
 
@@ -344,10 +361,37 @@ def densest(inner: DataFrame, *, max_edges: int = 200_000) -> DataFrame:
     return counted.groupBy("community").applyInPandas(peel, "community long, members array<long>, density double")
 
 
-def graph_features(txn: DataFrame) -> DataFrame:
-    """One row an account: degrees, fans, cycles, clustering, volumes and ranks."""
-    edges, i, o = adjacency(txn), F.col("in_unique"), F.col("out_unique")
+#: The features of an account in their canonical order (fixed values), but for its id.
+GRAPH_FEATURES = (
+    "in_degree", "out_degree", "in_unique", "out_unique", "pagerank", "betweenness", "clustering", "two_cycles", "three_cycles", "fan_in_ratio", "fan_out_ratio", "scatter_gather",
+    "community", "community_size", "community_density", "ego_in", "ego_out", "asymmetry", "benford_chi2_community",
+)
+
+
+def exact_features(txn: DataFrame) -> DataFrame:
+    """One row an account: degrees, fans, cycles, clustering and volumes."""
+    edges, i, o = cut(adjacency(txn)), F.col("in_unique"), F.col("out_unique")
     out = degrees(txn)
-    for part in (two_cycles(edges), three_cycles(edges), clustering(edges), ego_volumes(txn), pagerank(condensed(txn))):
+    for part in (two_cycles(edges), three_cycles(edges), clustering(edges), ego_volumes(txn)):
         out = out.join(part, "account", "left")
     return out.na.fill(0).select("*", fan_ratio(i, o).alias("fan_in_ratio"), fan_ratio(o, i).alias("fan_out_ratio"), scatter_gather(i, o).alias("scatter_gather"))
+
+
+def graph_features(txn: DataFrame, communities: DataFrame | None = None) -> DataFrame:
+    """One row an account with GRAPH_FEATURES; communities (account, community) are found by label propagation unless given."""
+    edges = cut(adjacency(txn))
+    out = exact_features(txn)
+    members = cut(topped_up(label_propagation(edges) if communities is None else communities, out))
+    inner = induced(txn, members)
+    counts = [F.sum((S.leading_digit(F.col("amount")) == d).cast("int")) for d in range(1, 10)]
+    n = F.col("community_size")
+    each = members.groupBy("community").agg(F.count("*").alias("community_size")).join(inner.groupBy("community").agg(F.count("*").alias("_edges"), S.benford_chi2(counts).alias("benford_chi2_community")), "community", "left")
+    each = each.select("community", "community_size", F.when(n > 1, F.coalesce("_edges", F.lit(0)) / (n * (n - 1))).otherwise(F.lit(0.0)).alias("community_density"), F.coalesce("benford_chi2_community", F.lit(0.0)).alias("benford_chi2_community"))
+    out = out.join(members.join(each, "community"), "account").join(pagerank(condensed(txn)), "account", "left").join(betweenness(edges), "account", "left")
+    return out.na.fill(0).select("account", *GRAPH_FEATURES)
+
+
+def with_graph_features(txn: DataFrame, features: DataFrame, columns: tuple[str, ...] = GRAPH_FEATURES, prefix: str = "g_") -> DataFrame:
+    """txn with its sender's features as prefixed columns, 0 where the sender has none."""
+    mine = features.select(F.col("account").alias("_account"), *[F.col(c).alias(f"{prefix}{c}") for c in columns])
+    return txn.join(mine, F.col("sender") == F.col("_account"), "left").drop("_account").na.fill(0, [f"{prefix}{c}" for c in columns])

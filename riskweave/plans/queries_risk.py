@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
+import uuid
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ from riskweave.operators import live_graph as L
 from riskweave.operators import models as M
 from riskweave.operators import rules as R
 from riskweave.plans.queries_core import _WINDOWED, D, DIGIT, H, TXN_SQL, chi2_sql, over, query, r
-from riskweave.sources.tables import alerts_csv, keep_present, parse_upload, table, txn
+from riskweave.sources.tables import alerts_csv, keep_present, parse_upload, shared_folder, table, txn
 from riskweave.streaming import stream as T
 
 #: Thresholds for the density of the test view, where the defaults of three rules never hold.
@@ -232,18 +231,20 @@ def src_keep_present(spark, d):
 
 
 def _streamed(spark, d, build, mode="append"):
-    """Run a stream over the events table to its end, and read what it wrote."""
-    from riskweave.operators.graph import cut
-
-    home = tempfile.mkdtemp(prefix="riskweave-stream-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{id(build)}-{hash(d) & 0xFFFFFF}"
-    try:
-        source = f"{d}/events.parque[t]"  # a pattern, as a stream takes no single file
-        name = f"stream_{abs(hash((home, id(build))))}"
-        q = build(T.event_stream(spark, source)).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return cut(spark.table(name))
-    finally:
-        shutil.rmtree(home, ignore_errors=True)
+    """Run a stream over the events table to its end as Parquet in the shared folder, and read it.
+
+    Each batch is written under its number, so that a repeated one replaces
+    itself; in complete mode a batch holds all of the result and takes the place
+    of the one before.
+    """
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = build(T.event_stream(spark, f"{d}/events.parque[t]"))  # a pattern, as a stream takes no single file
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{home}/out/batch={0 if mode == 'complete' else number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{home}/out").select(*stream.columns)
 
 
 @query("str_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -7,10 +7,12 @@ schema the operators share.
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +42,17 @@ class ArtifactNotFound(FileNotFoundError):
     """No artifact of that name in the store."""
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; a temporary folder in its place in local mode alone."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        place = tempfile.mkdtemp(prefix="riskweave-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    return place.rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,6 +85,28 @@ def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRANSACTION).csv(path, header=True).orderBy("timestamp", "transaction_id")
 
 
+def read_database(spark: SparkSession, url: str, query: str, schema: T.StructType, *, driver: str | None = None, **options: str) -> DataFrame:
+    """Rows of a database query whose columns are an id and JSON: the JSON column (the last one) is parsed with schema."""
+    reader = spark.read.format("jdbc").option("url", url).option("query", query).options(**options)
+    rows = (reader.option("driver", driver) if driver else reader).load()
+    *ids, body = rows.columns
+    return rows.select(*ids, F.from_json(F.col(body).cast("string"), schema).alias("body")).select(*ids, "body.*")
+
+
+def export_split(split: DataFrame, truth: DataFrame, path: str, labels: tuple[str, ...] = LABELS) -> None:
+    """Write historical and stream transactions (part: hist, stream) as CSV without any label, and the truth beside them."""
+    plain = split.drop(*labels)
+    for part, name in (("hist", "historical_transactions"), ("stream", "stream_transactions")):
+        plain.where(F.col("part") == part).drop("part").write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+    truth.write.mode("overwrite").option("header", True).csv(f"{path}/hidden_ground_truth")
+
+
+def write_joined(joined: DataFrame, path: str) -> DataFrame:
+    """Write the joined evaluation frame as Parquet, and read it back."""
+    joined.write.mode("overwrite").parquet(path)
+    return joined.sparkSession.read.schema(joined.schema).parquet(path)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A Parquet table, or an empty frame of that schema where there is none."""
     try:

@@ -344,3 +344,58 @@ def test_paths_behind_dead_ends(spark):
     """A start whose first prefixes all end keeps the path behind them."""
     edges = spark.createDataFrame([(0, i) for i in range(1, 62)] + [(61, 100), (100, 101)], "u long, v long")
     assert [r.path for r in G.paths(edges, length=3, cap=5).where("start = 0").collect()] == [[0, 61, 100, 101]]
+
+
+def test_times_are_unique(spark):
+    """Rows of one microsecond don't run into those of the next ones."""
+    rows = [(f"t{i}", 1_000_000 + (0 if i < 5 else i - 4)) for i in range(12)] + [("late", 5_000_000)]
+    df = spark.createDataFrame(rows, "tx_id string, us long").select("tx_id", F.timestamp_micros("us").alias("ts"))
+    got = [r.us for r in N.unique_times(df).select(F.unix_micros("ts").alias("us")).collect()]
+    assert len(set(got)) == len(rows) and max(got) == 5_000_000 and min(got) == 1_000_000
+
+
+def test_rebalancing_rings(spark):
+    made = N.generate(spark, N.Config(accounts=120, transactions=600, rings=6))
+    more = N.rebalance(made)
+    assert more.columns == made.columns and more.where("ring_id is not null").count() == 0
+    both = made.unionByName(more).withColumn("us", F.unix_micros("ts"))
+    ratios = N.ring_ratios(both.where("sender >= 0"), F.col("ring_id").isNotNull()).where("account >= 0").collect()
+    assert ratios and all(r.ratio <= 0.4 + 1e-9 and r.has_before and r.has_after for r in ratios)
+
+
+def test_database_rows(spark, tmp_path):
+    """Alerts as id and JSON from a database (the one that Spark brings along)."""
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = [("a1", '{"rule_score": 70.0, "graph_score": 10.5}'), ("a2", '{"rule_score": 5}'), ("a3", "no json")]
+    spark.createDataFrame(rows, "alert_id string, breakdown string").write.format("jdbc").options(url=url, dbtable="alerts", driver=driver).save()
+    schema = "rule_score double, graph_score double"
+    from pyspark.sql.types import _parse_datatype_string
+
+    got = T.read_database(spark, url, 'SELECT "alert_id", "breakdown" FROM alerts', _parse_datatype_string(schema), driver=driver)
+    assert sorted((r[0], r[1], r[2]) for r in got.collect()) == [("a1", 70.0, 10.5), ("a2", 5.0, None), ("a3", None, None)]
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(RuntimeError):
+        T.shared_folder(Cluster())
+
+
+def test_features_of_all_accounts(spark):
+    rows = [(1, 2), (2, 3), (3, 1), (4, 4), (5, 6), (6, 5)]
+    txn = spark.createDataFrame([(i, 1000 * i, u, v, 100.0 * (i + 1)) for i, (u, v) in enumerate(rows)], "tx_id long, us long, sender long, receiver long, amount double")
+    features = G.graph_features(txn)
+    got = {r.account: r for r in features.collect()}
+    assert features.columns == ["account", *G.GRAPH_FEATURES] and set(got) == {1, 2, 3, 4, 5, 6}
+    assert got[1].three_cycles == 1 and got[5].two_cycles == 1 and got[4].community == 4 and got[4].community_size == 1 and got[4].community_density == 0.0
+    joined = {r.tx_id: r for r in G.with_graph_features(txn, features.where("account <> 2"), ("in_degree", "three_cycles")).collect()}
+    assert joined[0].g_three_cycles == 1 and joined[1].g_in_degree == 0 and len(joined) == 6
+    exact = G.pagerank(G.condensed(txn), rounds=200, tolerance=1e-9)
+    assert exact.agg(F.sum("pagerank")).first()[0] == pytest.approx(1.0) and len({round(r.pagerank, 6) for r in exact.collect()}) == 1
