@@ -7,6 +7,7 @@ words* are runs of anything but ASCII white space.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -42,13 +43,19 @@ def blank_word_count(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where a session has none (as in tests) a temporary folder is set up,
-    and noted in the session so that later calls find the same one.
+    Where a session has none, a temporary folder is set up in local mode (as in
+    tests) and noted in the session, so that later calls find the same one; on a
+    cluster that is an error, as executors would write to folders of their own.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        place = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="riskweave-")
+        if held.isDefined():
+            place = held.get()
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
+            place = tempfile.mkdtemp(prefix="riskweave-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
