@@ -8,9 +8,10 @@ min_words - window + 1 words are in the passage. Suffixes are sorted by their
 words, taken in blocks: the hash of the first depth words, then of the BLOCKS
 that follow. So those with the most in common lie together, and each is compared
 with its neighbours of other documents before and behind it. Matches are extended
-left and right, word by word on both texts, and count from min_words words on.
+left and right, word by word on both texts (by hashes of 32 bits, so that an end
+lies a word too far with a chance of 2^-32), and count from min_words words on.
 
-Scale: a twelfth of all positions become rows of 40 bytes, which are sorted by
+Scale: a twelfth of all positions become rows of 32 bytes, which are sorted by
 range of blocks, document and position: nothing is grouped by a passage, so one
 in a third of all documents is spread over many tasks. Where a key crosses from
 one partition into the next, the edge rows are compared afterwards (two rows a
@@ -33,10 +34,11 @@ from riskweave.llm.wordhash import WordHashes, blank_words, factors, grams, mix,
 
 BROADCAST_ROWS = 1_000_000
 MIN_WORDS, K, WINDOW = 51, 8, 24
-#: Numbers of words in the blocks after the first, by which suffixes with the same beginning are sorted.
-BLOCKS = (8, 8, 8, 48, 100)
+#: Numbers of words in the blocks after the first, by which suffixes with the same beginning are sorted: up to min_words.
+#: What lies further on isn't looked at, so that copies meet the same neighbours with all their suffixes, in order of doc_id.
+BLOCKS = (8, 8, 8)
 #: Words on either side of matched suffixes that are fetched at first; a match that reaches further is fetched again.
-MARGIN = 96
+MARGIN = 64
 ORDER = ("key", *(f"r{i}" for i in range(len(BLOCKS))), "doc_id", "at")
 ENTRY = "key long, " + "".join(f"r{i} int, " for i in range(len(BLOCKS))) + "doc_id long, at int"
 BASE = 0x9E3779B97F4A7C15
@@ -174,10 +176,10 @@ def matched_suffixes(entries: DataFrame) -> DataFrame:
     return met.where(F.col("head").isNull()).select("a", "a_at", "b", "b_at").unionByName(edges)
 
 
-def word_array(text: Column) -> Column:
-    """Blank words of a text, A-Z lower-cased."""
+def hashed_words(text: Column) -> Column:
+    """Hashes, of 32 bits, of the blank words of a text with A-Z lower-cased."""
     bare = F.btrim(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(BLANKS))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK_GAP))
+    return F.when(bare == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(bare, BLANK_GAP), lambda x: F.hash(x)))
 
 
 def equal_runs(x: pa.ListArray, y: pa.ListArray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,7 +252,7 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, k: int = K
     met = materialise(met, "diagonals")
     ids = materialise(met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct(), "matched-ids")
     ids = broadcast_if(ids, ids.count(), BROADCAST_ROWS)
-    held = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").select("doc_id", word_array(F.col("text")).alias("words")), "matched-words")
+    held = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").select("doc_id", hashed_words(F.col("text")).alias("words")), "matched-words")
 
     margin, found = max(MARGIN, min_words), []
     while True:
