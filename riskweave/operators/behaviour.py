@@ -45,24 +45,27 @@ def ratios(txn: DataFrame) -> DataFrame:
 
 
 def frame_sums(txn: DataFrame, key: str, value: str, width: int, measures: dict) -> DataFrame:
-    """txn with, for each name and function f in measures, the sum of f(n) over the values in the row's trailing frame, n being how often each stands there; f(0) is 0.
+    """txn with, for each name and function f in measures, the sum of f(n) over the values in the row's trailing frame, n being how often each stands there; f(0) is 0. In place of f, (f, width) gives a measure another width.
 
     A value changes its count when a row enters the frame or leaves it, width + 1
     later. Both are known from windows by key and value; their running sums by
     key give the measure. So no row holds a list of its frame. Nulls of value
     count nothing.
     """
-    own = W.partitionBy(key, value).orderBy("us")
-    here, inside, ahead = W.partitionBy(key, value, "us"), F.count("*").over(own.rangeBetween(-width, 0)), F.count("*").over(own.rangeBetween(1, width))
+    plan = {name: f if isinstance(f, tuple) else (f, width) for name, f in measures.items()}
+    widths = sorted({w for _, w in plan.values()})
+    own, here = W.partitionBy(key, value).orderBy("us"), W.partitionBy(key, value, "us")
     m, first = F.count("*").over(here), F.row_number().over(here.orderBy("tx_id")) == 1
-    moved = txn.select("*", m.alias("_m"), inside.alias("_in"), ahead.alias("_ahead"), (first & F.col(value).isNotNull()).alias("_first"))
+    counts = [F.count("*").over(own.rangeBetween(*frame)).alias(f"{name}{w}") for w in widths for name, frame in (("_in", (-w, 0)), ("_ahead", (1, w)))]
+    # Dealt by key once: that serves the windows by key and value as well.
+    moved = txn.repartition(F.col(key)).select("*", m.alias("_m"), *counts, (first & F.col(value).isNotNull()).alias("_first"))
     step = lambda f, after, before: F.when(F.col("_first"), f(after) - f(before)).otherwise(F.lit(0.0))
-    enter = [step(f, F.col("_in"), F.col("_in") - F.col("_m")).alias(f"_d_{name}") for name, f in measures.items()]
-    leave = [step(f, F.col("_ahead"), F.col("_ahead") + F.col("_m")).alias(f"_d_{name}") for name, f in measures.items()]
-    rows = moved.select(*txn.columns, F.lit(True).alias("_row"), *enter)
-    gone = moved.where(F.col("_first")).select(*[(F.col("us") + width + 1).alias("us") if c == "us" else F.col(c) if c == key else F.lit(None).cast(txn.schema[c].dataType).alias(c) for c in txn.columns], F.lit(False).alias("_row"), *leave)
-    upto = W.partitionBy(key).orderBy("us").rangeBetween(W.unboundedPreceding, 0)
-    return rows.unionByName(gone).select(*txn.columns, "_row", *[F.sum(f"_d_{name}").over(upto).alias(name) for name in measures]).where("_row").drop("_row")
+    enter = F.struct(F.col("us").alias("at"), F.lit(True).alias("row"), *[step(f, F.col(f"_in{w}"), F.col(f"_in{w}") - F.col("_m")).alias(f"d_{name}") for name, (f, w) in plan.items()])
+    left = lambda at: F.struct((F.col("us") + at + 1).alias("at"), F.lit(False).alias("row"), *[(step(f, F.col(f"_ahead{w}"), F.col(f"_ahead{w}") + F.col("_m")) if w == at else F.lit(0.0)).alias(f"d_{name}") for name, (f, w) in plan.items()])
+    turns = moved.select(*txn.columns, F.explode(F.when(F.col("_first"), F.array(enter, *map(left, widths))).otherwise(F.array(enter))).alias("_turn"))
+    turns = turns.select(*txn.columns, F.col("_turn.at").alias("_at"), F.col("_turn.row").alias("_row"), *[F.col(f"_turn.d_{name}").alias(f"_d_{name}") for name in measures])
+    upto = W.partitionBy(key).orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
+    return turns.select(*txn.columns, "_row", *[F.sum(f"_d_{name}").over(upto).alias(name) for name in measures]).where("_row").drop("_row")
 
 
 def distinct_count(n: Column) -> Column:
@@ -79,10 +82,10 @@ def count_distinct(txn: DataFrame, key: str, value: str, width: int, name: str)
 
 
 def distincts(txn: DataFrame) -> DataFrame:
-    out = txn
-    for value, window, name in (("receiver", "7d", "beneficiary_count_7d"), ("receiver", "30d", "beneficiary_count_30d"), ("ip", "24h", "ip_change_count_24h")):
-        out = count_distinct(out, "sender", value, WINDOWS[window], name)
-    return out
+    week, month = "beneficiary_count_7d", "beneficiary_count_30d"
+    out = frame_sums(txn, "sender", "receiver", WINDOWS["7d"], {week: distinct_count, month: (distinct_count, WINDOWS["30d"])})
+    out = out.withColumns({c: F.round(c).cast("int") for c in (week, month)})
+    return count_distinct(out, "sender", "ip", WINDOWS["24h"], "ip_change_count_24h")
 
 
 def travel(txn: DataFrame) -> DataFrame:
