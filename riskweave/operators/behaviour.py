@@ -124,8 +124,8 @@ def shared_devices_total(txn: DataFrame) -> DataFrame:
 def digits(txn: DataFrame) -> DataFrame:
     """Trailing Benford distance and receiver entropy of 30 days."""
     month = trailing("sender", WINDOWS["30d"])
-    counts = [F.sum((S.leading_digit(F.col("amount")) == d).cast("int")).over(month) for d in range(1, 10)]
-    out = txn.withColumn("benford_chi2_score", S.benford_chi2(counts)).withColumn("_n", F.count("*").over(month))
+    counts = [F.sum((F.col("_digit") == d).cast("int")).over(month) for d in range(1, 10)]
+    out = txn.withColumn("_digit", S.leading_digit(F.col("amount"))).withColumn("benford_chi2_score", S.benford_chi2(counts)).withColumn("_n", F.count("*").over(month)).drop("_digit")
     out = frame_sums(out, "sender", "receiver", WINDOWS["30d"], {"_nlogn": n_log_n})
     return out.withColumn("receiver_entropy", F.greatest(F.lit(0.0), F.log2("_n") - F.col("_nlogn") / F.col("_n"))).drop("_n", "_nlogn")
 
