@@ -7,6 +7,7 @@ from riskweave.llm.fair_mix import OP4_SQL, op4_fair_mix
 from riskweave.llm.license_scan import OP2_SQL, op2_license_scan
 from riskweave.llm.line_templates import OP7_SQL, op7_line_templates
 from riskweave.llm.minhash import OP10_SQL, op10_minhash
+from riskweave.llm.periodic_runs import OP11_SQL, op11_periodic_runs
 from riskweave.llm.pu_quality import op1_pu_quality
 from riskweave.llm.quality_rules import OP9_SQL, op9_quality_rules
 from riskweave.llm.suffix_dedup import op5_suffix_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES = {
     "op2_license_scan": OP2_SQL,
@@ -33,4 +35,5 @@ ORACLES = {
     "op8_url_filter": OP8_SQL,
     "op9_quality_rules": OP9_SQL,
     "op10_minhash": OP10_SQL,
+    "op11_periodic_runs": OP11_SQL,
 }
