@@ -10,9 +10,11 @@ from riskweave.llm.minhash import OP10_SQL, op10_minhash
 from riskweave.llm.periodic_runs import OP11_SQL, op11_periodic_runs
 from riskweave.llm.pu_quality import op1_pu_quality
 from riskweave.llm.quality_rules import OP9_SQL, op9_quality_rules
+from riskweave.llm.substring_dedup import OP12_SQL, op12_substring_dedup
 from riskweave.llm.suffix_dedup import op5_suffix_dedup
 from riskweave.llm.toxicity import op6_toxicity
 from riskweave.llm.url_filter import OP8_SQL, op8_url_filter
+from riskweave.llm.vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES = {
     "op1_pu_quality": op1_pu_quality,
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLES = {
     "op2_license_scan": OP2_SQL,
@@ -36,4 +40,6 @@ ORACLES = {
     "op9_quality_rules": OP9_SQL,
     "op10_minhash": OP10_SQL,
     "op11_periodic_runs": OP11_SQL,
+    "op12_substring_dedup": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
