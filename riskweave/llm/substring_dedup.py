@@ -33,13 +33,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import broadcast_if, materialise, small_batches, table
 from riskweave.llm.suffix_dedup import Powers
-from riskweave.llm.wordhash import WordHashes, factors, grams, texts
+from riskweave.llm.wordhash import texts
 
 WINDOW, ANCHOR = 13, 4
 BROADCAST_ROWS = 1_000_000
@@ -49,19 +48,30 @@ PLACE = "doc_id long, rev long, at int"
 EDGE = f"anchor long, path long, {PLACE}, n int"
 REPEAT = f"{PLACE}, n int, s_doc long, s_rev long, s_at int"
 ROUNDS = 8
+#: Distance of the seeds of second hashes.
+CHECK = 1000
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Low bits of an anchor's rank that hold its position.
+PLACES = np.uint64(24)
 
 
-class SeededHashes(WordHashes):
-    """64-bit hashes of words, other ones for each seed."""
+class TextHashes:
+    """64-bit hashes of the blank words of a text, other ones for each seed; computed over all its bytes at once."""
 
     def __init__(self, seed: int):
-        self.seed = seed
+        self.of_byte = np.random.Generator(np.random.PCG64(seed)).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.powers = Powers()
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, self.seed)
-        return h
+    def of(self, text: bytes) -> np.ndarray:
+        raw = np.frombuffer(text, np.uint8)
+        blank = np.ones(len(raw) + 2, np.bool_)
+        blank[1:-1] = BLANK[raw]
+        turns = np.flatnonzero(blank[1:] != blank[:-1])
+        start, end = turns[::2], turns[1::2]
+        self.powers.reach(len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.of_byte[raw] * self.powers.up[: len(raw)], out=sums[1:])
+        return self.powers.stretches(sums, start, end)
 
 
 def running_sums(h: np.ndarray, powers: Powers) -> np.ndarray:
@@ -75,24 +85,40 @@ def _batch(schema: str, columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, of[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
 
 
+def least_anchors(g: np.ndarray, size: int) -> np.ndarray:
+    """Position of the least anchor in each window of `size` of them, the leftmost of equal ones (by 40 bits)."""
+    most = 1 << 23
+    if len(g) > 2 * most:  # the windows from most on by themselves
+        return np.concatenate((least_anchors(g[: most + size - 1], size), least_anchors(g[most:], size) + most))
+    low = (np.uint64(1) << PLACES) - np.uint64(1)
+    ranks = (g & ~low) | np.arange(len(g), dtype=np.uint64)
+    done = 1
+    while done < size:  # the least of done anchors from each on, and of up to twice as many
+        step = min(done, size - done)
+        ranks = np.minimum(ranks[: len(ranks) - step], ranks[step:])
+        done += step
+    return (ranks & low).astype(np.int64)
+
+
 def edge_paths(rows: DataFrame, *, window: int, anchor: int, seed: int) -> DataFrame:
     """One row (EDGE) for each stretch of n windows with one least anchor; at: the first window's word."""
 
     def run(batches):
-        words, by, powers = SeededHashes(seed), factors(anchor, 41 + seed), Powers()
+        hashes, powers = TextHashes(seed), Powers()
         for batch in batches:
             parts: list[list[np.ndarray]] = []
             for doc, rev, text in zip(batch.column("doc_id").to_pylist(), batch.column("rev").to_pylist(), texts(batch), strict=True):
-                h = words.of(text.split())
+                h = hashes.of(text)
                 if len(h) < window:
                     continue
-                g = grams(h, anchor, by)
-                least = np.lib.stride_tricks.sliding_window_view(g, window - anchor + 1).argmin(axis=1)
-                least += np.arange(len(least))
-                at = np.concatenate(([0], np.flatnonzero(np.diff(least)) + 1))
+                sums = running_sums(h, powers)
+                first = np.arange(len(h) - anchor + 1)
+                g = powers.stretches(sums, first, first + anchor)
+                least = least_anchors(g, window - anchor + 1)
+                at = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
                 n = np.diff(at, append=len(least))
-                path = powers_of(powers, running_sums(h, powers), at, at + n + window - 1)
-                parts.append([g[least[at]].view(np.int64), path, np.full(len(at), doc), np.full(len(at), rev), at, n])
+                path = powers_of(powers, sums, at, at + n + window - 1)
+                parts.append([g[least[at]].view(np.int64), path, np.full(len(at), doc), np.full(len(at), rev), at.astype(np.int32), n.astype(np.int32)])
             if parts:
                 yield _batch(EDGE, [np.concatenate(x) for x in zip(*parts, strict=True)])
 
@@ -133,13 +159,14 @@ def edge_windows(rows: DataFrame, left: DataFrame, *, window: int, seed: int) ->
     """The windows (WINDOWED: two hashes and a place) of the stretches in left."""
 
     def run(batches):
-        words, powers, by = SeededHashes(seed), Powers(), factors(window, 59 + seed)
+        hashes, check, powers = TextHashes(seed), TextHashes(seed + CHECK), Powers()
         for batch in batches:
             parts: list[list[np.ndarray]] = []
             for doc, rev, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("rev").to_pylist(), texts(batch), batch.column("spans").to_pylist(), strict=True):
-                h = words.of(text.split())
+                h, other = hashes.of(text), check.of(text)
                 at = np.unique(np.concatenate([np.arange(s["at"], s["at"] + s["n"]) for s in spans]))
-                parts.append([powers_of(powers, running_sums(h, powers), at, at + window), (grams(h, window, by)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(at), doc), np.full(len(at), rev), at])
+                second = (powers.stretches(running_sums(other, powers), at, at + window) >> np.uint64(32)).astype(np.uint32)
+                parts.append([powers_of(powers, running_sums(h, powers), at, at + window), second.view(np.int32), np.full(len(at), doc), np.full(len(at), rev), at.astype(np.int32)])
             if parts:
                 yield _batch(WINDOWED, [np.concatenate(x) for x in zip(*parts, strict=True)])
 
@@ -217,7 +244,7 @@ def _cleaned(rows: DataFrame, paths: DataFrame, *, seed: int, keep_texts: bool)
     """OUT: a row for each of rows; for each path its words' hash; and for each place that a path starts or ends at in its source the running sum there."""
 
     def run(batches):
-        words_of, powers = SeededHashes(seed), Powers()
+        hashes, powers = TextHashes(seed), Powers()
         kinds = pa.schema([("row", pa.bool_()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "n_words", "source_id", "source_start")])))])
         kinds = pa.schema([*kinds, ("s_doc", pa.int64()), ("s_rev", pa.int64()), ("s_start", pa.int32()), ("words", pa.int32()), ("hash", pa.int64()), ("place", pa.int32())])
         for batch in batches:
@@ -226,7 +253,7 @@ def _cleaned(rows: DataFrame, paths: DataFrame, *, seed: int, keep_texts: bool)
                 words = text.split() if text else []
                 gone = np.zeros(len(words) + 1, np.int64)
                 if paths or places:
-                    sums = running_sums(words_of.of(words), powers)
+                    sums = running_sums(hashes.of(text), powers)
                 if paths:
                     start = np.array([p["start"] for p in paths])
                     end = start + [p["words"] for p in paths]
@@ -316,7 +343,8 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     order = ["anchor", "path", "doc_id", "rev", "at"]
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for seed in range(0, 2 * ROUNDS, 2):
-        edges = edge_paths(once, window=window, anchor=anchor, seed=seed).repartitionByRange(n, *order).sortWithinPartitions(*order)
+        edges = materialise(edge_paths(once, window=window, anchor=anchor, seed=seed), "edge-paths")  # finding the ranges reads it too
+        edges = edges.repartitionByRange(n, *order).sortWithinPartitions(*order)
         with small_batches(spark, BATCH):
             met = materialise(edges.mapInArrow(_sources, REPEAT), "paths-met")
         windows = materialise(edge_windows(once, met.where("s_doc is null"), window=window, seed=seed), "windows")
