@@ -1,8 +1,9 @@
 """Behavioural features of a sender's transactions.
 
-All windows share one partitioning (sender) and one order (microseconds), so the
-whole block is one shuffle and one sort. Frames are closed, [t - w, t]. Ties in
-time see each other; what needs a predecessor breaks ties by tx_id.
+Frames are closed, [t - w, t]. Ties in time see each other; what needs a
+predecessor breaks ties by tx_id. A frame isn't added up row by row: its sums are
+differences of running sums, to which a row is added when it comes and from which it
+is taken when it leaves, so time grows with the rows however many lie in a frame.
 """
 
 from __future__ import annotations
@@ -15,65 +16,146 @@ from riskweave.functions import scalars as S
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
 WINDOWS = {"1h": HOUR, "6h": 6 * HOUR, "24h": DAY, "7d": 7 * DAY, "30d": 30 * DAY}
-
-
-def trailing(key: str, width: int) -> W:
-    return W.partitionBy(key).orderBy("us").rangeBetween(-width, 0)
+#: Length of the stretches in which the rows of one key are summed up.
+SPLIT = 30 * DAY
 
 
 def ordered(key: str = "sender") -> W:
     return W.partitionBy(key).orderBy("us", "tx_id")
 
 
+def running_sums(turns: DataFrame, key: str, names: list[str], split: int = SPLIT) -> DataFrame:
+    """The rows of turns that hold a _row, with running sums by key of _d_<name>, in order of _at (ties see each other), as <name>.
+
+    A key is summed up in stretches of `split` (in units of _at), to which the sums of
+    the stretches before are added: a key with very many rows is many tasks, and time
+    grows with the rows alone.
+    """
+    upto = W.partitionBy(key, "_stretch").orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
+    dealt = turns.withColumn("_stretch", F.floor(F.col("_at") / split))
+    totals = dealt.groupBy(F.col(key).alias("_k"), F.col("_stretch").alias("_s")).agg(*[F.sum(f"_d_{n}").alias(f"_t_{n}") for n in names])
+    before = W.partitionBy("_k").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    ahead = totals.select("_k", "_s", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in names])
+    inner = dealt.select(key, "_stretch", "_row", *[F.sum(f"_d_{n}").over(upto).alias(f"_i_{n}") for n in names]).where(F.col("_row").isNotNull())
+    met = inner.join(ahead, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_stretch") == F.col("_s")))
+    return met.select("_row", *[(F.col(f"_i_{n}") + F.col(f"_t_{n}")).alias(n) for n in names])
+
+
+def trailing_sums(txn: DataFrame, key: str, measures: dict[str, tuple[Column, int]], split: int = SPLIT) -> DataFrame:
+    """txn with, for each name, the sum of a whole-number column over the row's trailing frame [us - width, us] of its key.
+
+    A row adds its number when it comes and takes it back width + 1 later; both are
+    running sums by key, of all measures and widths at once. Whole numbers (long or
+    decimal) leave nothing behind.
+    """
+    widths = sorted({w for _, w in measures.values()})
+    given = txn.select(F.struct(*txn.columns).alias("_row"), F.col(key), F.col("us").alias("_us"), *[x.alias(f"_x_{n}") for n, (x, _) in measures.items()])
+    turns = given.select("*", F.explode(F.array(F.lit(-1).cast("long"), *[F.lit(w).cast("long") for w in widths])).alias("_w"))
+    change = lambda n, w: F.when(F.col("_w") == -1, F.col(f"_x_{n}")).when(F.col("_w") == w, -F.col(f"_x_{n}"))
+    # What takes back carries no row.
+    turns = turns.select(F.when(F.col("_w") == -1, F.col("_row")).alias("_row"), key, (F.col("_us") + F.col("_w") + 1).alias("_at"), *[change(n, w).alias(f"_d_{n}") for n, (_, w) in measures.items()])
+    return running_sums(turns, key, list(measures), split).select("_row.*", *measures)
+
+
+def fixed(amount: Column) -> Column:
+    """An amount in ten-thousandths, as a whole number."""
+    return F.round(amount * 10_000).cast("long")
+
+
+def square(amount: Column) -> Column:
+    return (fixed(amount).cast("decimal(18,0)") * fixed(amount).cast("decimal(18,0)")).cast("decimal(28,0)")
+
+
+def mean_of(n: Column, total: Column) -> Column:
+    return total / n / 10_000
+
+
+def spread_of(n: Column, total: Column, squares: Column) -> Column:
+    """Population deviation from counts, sums and sums of squares in ten-thousandths; exactly 0 where all are equal."""
+    over = n.cast("decimal(10,0)") * squares.cast("decimal(27,0)") - total.cast("decimal(19,0)") * total.cast("decimal(18,0)")
+    return F.sqrt(F.greatest(over.cast("double"), F.lit(0.0))) / n / 10_000
+
+
+def moments(name: str, width: int) -> dict[str, tuple[Column, int]]:
+    """Measures of the amounts of a frame: <name>_n, <name>_sum, <name>_sq."""
+    amount = F.col("amount")
+    return {f"{name}_n": (F.lit(1).cast("long"), width), f"{name}_sum": (fixed(amount), width), f"{name}_sq": (square(amount), width)}
+
+
+def velocity_measures() -> dict:
+    return {f"tx_velocity_{w}": (F.lit(1).cast("long"), WINDOWS[w]) for w in ("1h", "6h", "24h", "7d")}
+
+
 def velocity(txn: DataFrame) -> DataFrame:
-    return txn.select("*", *[F.count("*").over(trailing("sender", WINDOWS[w])).alias(f"tx_velocity_{w}") for w in ("1h", "6h", "24h", "7d")])
+    return trailing_sums(txn, "sender", velocity_measures())
+
+
+def amount_measures() -> dict:
+    return moments("_week", WINDOWS["7d"]) | moments("_month", WINDOWS["30d"])
+
+
+def with_amounts(summed: DataFrame) -> DataFrame:
+    week, month = ([F.col(f"_{f}_{c}") for c in ("n", "sum", "sq")] for f in ("week", "month"))
+    spread = spread_of(*month)
+    return summed.select(
+        "*", mean_of(*week[:2]).alias("avg_amount_7d"), spread_of(*week).alias("std_amount_7d"), (month[1] / 10_000 / 30).alias("avg_daily_volume_30d"),
+        ((F.col("amount") - mean_of(*month[:2])) / F.when(spread > 0, spread).otherwise(F.lit(1.0))).alias("amount_zscore"),
+    ).drop(*amount_measures())
 
 
 def amounts(txn: DataFrame) -> DataFrame:
-    week, month = trailing("sender", WINDOWS["7d"]), trailing("sender", WINDOWS["30d"])
-    spread = F.stddev_pop("amount").over(month)
-    return txn.select(
-        "*", F.avg("amount").over(week).alias("avg_amount_7d"), F.coalesce(F.stddev_pop("amount").over(week), F.lit(0.0)).alias("std_amount_7d"), (F.sum("amount").over(month) / 30).alias("avg_daily_volume_30d"),
-        ((F.col("amount") - F.avg("amount").over(month)) / F.when(spread > 0, spread).otherwise(F.lit(1.0))).alias("amount_zscore"),
-    )
+    return with_amounts(trailing_sums(txn, "sender", amount_measures()))
+
+
+RATIOS = ("night_tx_ratio", "weekend_tx_ratio", "cross_border_ratio_30d")
+
+
+def ratio_measures() -> dict:
+    flags = (S.is_night(F.col("ts")), S.is_weekend(F.col("ts")), F.col("international"))
+    month = WINDOWS["30d"]
+    return {f"_r_{name}": (F.coalesce(flag.cast("long"), F.lit(0).cast("long")), month) for name, flag in zip(RATIOS, flags, strict=True)} | {f"_r_n_{name}": (flag.isNotNull().cast("long"), month) for name, flag in zip(RATIOS, flags, strict=True)}
+
+
+def with_ratios(summed: DataFrame) -> DataFrame:
+    share = lambda name: F.when(F.col(f"_r_n_{name}") > 0, F.col(f"_r_{name}") / F.col(f"_r_n_{name}"))
+    return summed.select("*", *[share(name).alias(name) for name in RATIOS]).drop(*ratio_measures())
 
 
 def ratios(txn: DataFrame) -> DataFrame:
-    month = trailing("sender", WINDOWS["30d"])
-    part = lambda flag: F.avg(flag.cast("double")).over(month)
-    return txn.select("*", part(S.is_night(F.col("ts"))).alias("night_tx_ratio"), part(S.is_weekend(F.col("ts"))).alias("weekend_tx_ratio"), part(F.col("international")).alias("cross_border_ratio_30d"))
+    return with_ratios(trailing_sums(txn, "sender", ratio_measures()))
 
 
-def frame_sums(txn: DataFrame, key: str, value: str, width: int, measures: dict) -> DataFrame:
+def frame_sums(txn: DataFrame, key: str, value: str, width: int, measures: dict, split: int = SPLIT) -> DataFrame:
     """txn with, for each name and function f in measures, the sum of f(n) over the values in the row's trailing frame, n being how often each stands there; f(0) is 0. In place of f, (f, width) gives a measure another width.
 
-    A value changes its count when a row enters the frame or leaves it, width + 1
-    later. Both are known from windows by key and value; their running sums by
-    key give the measure. So no row holds a list of its frame. Nulls of value
-    count nothing.
+    A value's count changes when a row with it comes, and width + 1 later. Running
+    sums by key and value give the counts before and after each change, and f of them
+    what the change is worth; running sums of that by key give the measure. So no row
+    holds or counts its frame. f gives whole numbers or decimals, which leave nothing
+    behind. Nulls of value count nothing.
     """
     plan = {name: f if isinstance(f, tuple) else (f, width) for name, f in measures.items()}
     widths = sorted({w for _, w in plan.values()})
-    own, here = W.partitionBy(key, value).orderBy("us"), W.partitionBy(key, value, "us")
-    m, first = F.count("*").over(here), F.row_number().over(here.orderBy("tx_id")) == 1
-    counts = [F.count("*").over(own.rangeBetween(*frame)).alias(f"{name}{w}") for w in widths for name, frame in (("_in", (-w, 0)), ("_ahead", (1, w)))]
-    # Dealt by key once: that serves the windows by key and value as well.
-    moved = txn.repartition(F.col(key)).select("*", m.alias("_m"), *counts, (first & F.col(value).isNotNull()).alias("_first"))
-    step = lambda f, after, before: F.when(F.col("_first"), f(after) - f(before)).otherwise(F.lit(0.0))
-    enter = F.struct(F.col("us").alias("at"), F.lit(True).alias("row"), *[step(f, F.col(f"_in{w}"), F.col(f"_in{w}") - F.col("_m")).alias(f"d_{name}") for name, (f, w) in plan.items()])
-    left = lambda at: F.struct((F.col("us") + at + 1).alias("at"), F.lit(False).alias("row"), *[(step(f, F.col(f"_ahead{w}"), F.col(f"_ahead{w}") + F.col("_m")) if w == at else F.lit(0.0)).alias(f"d_{name}") for name, (f, w) in plan.items()])
-    turns = moved.select(*txn.columns, F.explode(F.when(F.col("_first"), F.array(enter, *map(left, widths))).otherwise(F.array(enter))).alias("_turn"))
-    turns = turns.select(*txn.columns, F.col("_turn.at").alias("_at"), F.col("_turn.row").alias("_row"), *[F.col(f"_turn.d_{name}").alias(f"_d_{name}") for name in measures])
-    upto = W.partitionBy(key).orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
-    return turns.select(*txn.columns, "_row", *[F.sum(f"_d_{name}").over(upto).alias(name) for name in measures]).where("_row").drop("_row")
+    moves = txn.where(F.col(value).isNotNull()).select(F.col(key), F.col(value).alias("_v"), F.col("us").alias("_us"))
+    moves = moves.select(key, "_v", "_us", F.explode(F.array(F.lit(-1).cast("long"), *[F.lit(w).cast("long") for w in widths])).alias("_w"))
+    change = lambda w: F.when(F.col("_w") == -1, 1).when(F.col("_w") == w, -1).otherwise(0)
+    moves = moves.select(key, "_v", (F.col("_us") + F.col("_w") + 1).alias("_at"), *[change(w).alias(f"_c{w}") for w in widths]).repartition(F.col(key), F.col("_v"))
+    moves = moves.groupBy(key, "_v", "_at").agg(*[F.sum(f"_c{w}").alias(f"_c{w}") for w in widths])
+    upto = W.partitionBy(key, "_v").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    counted = moves.select(key, "_at", *[F.col(f"_c{w}") for w in widths], *[F.sum(f"_c{w}").over(upto).alias(f"_n{w}") for w in widths])
+    steps = counted.groupBy(key, "_at").agg(*[F.sum(f(F.col(f"_n{w}")) - f(F.col(f"_n{w}") - F.col(f"_c{w}"))).alias(f"_d_{name}") for name, (f, w) in plan.items()])
+    row = F.struct(*txn.columns)
+    turns = steps.select(F.lit(None).cast(txn.select(row.alias("r")).schema["r"].dataType).alias("_row"), key, "_at", *[f"_d_{name}" for name in plan])
+    turns = turns.unionByName(txn.select(row.alias("_row"), key, F.col("us").alias("_at"), *[F.lit(0).cast("long").alias(f"_d_{name}") for name in plan]))
+    return running_sums(turns, key, list(plan), split).select("_row.*", *[F.coalesce(name, F.lit(0)).cast("double").alias(name) for name in plan])
 
 
 def distinct_count(n: Column) -> Column:
-    return (n > 0).cast("double")
+    return (n > 0).cast("long")
 
 
 def n_log_n(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
+    return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0)).cast("decimal(28,10)")
 
 
 def count_distinct(txn: DataFrame, key: str, value: str, width: int, name: str) -> DataFrame:
@@ -97,14 +179,19 @@ def travel(txn: DataFrame) -> DataFrame:
     return out.withColumn("impossible_travel_flag", S.impossible_travel(F.col("geo_distance_km"), F.col("tx_gap_seconds")))
 
 
-def switches(txn: DataFrame) -> DataFrame:
-    """Changes between neighbours inside the trailing week: running changes less those up to the frame's first row."""
-    out = txn
-    for c, name in (("country", "country_switch_count_7d"), ("device", "device_change_count_7d")):
-        changed = F.coalesce((F.lag(c).over(ordered()) != F.col(c)).cast("int"), F.lit(0))
-        out = out.withColumn("_changed", changed).withColumn("_upto", F.sum("_changed").over(ordered().rowsBetween(W.unboundedPreceding, 0)))
-        out = out.withColumn(name, F.col("_upto") - F.first("_upto").over(trailing("sender", WINDOWS["7d"]))).drop("_changed", "_upto")
-    return out
+def switches(txn: DataFrame, split: int = SPLIT) -> DataFrame:
+    """Changes between neighbours that both lie in the trailing week: running changes less those whose former row has left it."""
+    names = {"country": "country_switch_count_7d", "device": "device_change_count_7d"}
+    before = F.lag("us").over(ordered())
+    changed = lambda c: F.coalesce((F.lag(c).over(ordered()) != F.col(c)).cast("long"), F.lit(0).cast("long"))
+    marked = txn.select(F.struct(*txn.columns).alias("_row"), "sender", "us", "tx_id", before.alias("_before"), *[changed(c).alias(f"_c_{c}") for c in names])
+    upto = ordered().rowsBetween(W.unboundedPreceding, 0)
+    marked = marked.select("_row", "sender", "us", "_before", *[f"_c_{c}" for c in names], *[F.sum(f"_c_{c}").over(upto).alias(f"_u_{c}") for c in names])
+    both = marked.select(F.struct("_row", *[f"_u_{c}" for c in names]).alias("_row"), "sender", F.explode(F.array(F.struct(F.col("us").alias("at"), F.lit(0).alias("left")), F.struct((F.col("_before") + WINDOWS["7d"] + 1).alias("at"), F.lit(1).alias("left")))).alias("_t"), *[f"_c_{c}" for c in names])
+    left = F.col("_t.left") == 1
+    turns = both.where(F.col("_t.at").isNotNull()).select(F.when(~left, F.col("_row")).alias("_row"), "sender", F.col("_t.at").alias("_at"), *[F.when(left, F.col(f"_c_{c}")).otherwise(F.lit(0).cast("long")).alias(f"_d_{c}") for c in names])
+    met = running_sums(turns, "sender", list(names), split)
+    return met.select("_row._row.*", *[(F.col(f"_row._u_{c}") - F.col(c)).alias(name) for c, name in names.items()])
 
 
 def devices(txn: DataFrame) -> DataFrame:
@@ -121,13 +208,20 @@ def shared_devices_total(txn: DataFrame) -> DataFrame:
     return txn.join(totals, F.col("device") == F.col("d"), "left").withColumn("shared_device_count_total", F.greatest(F.lit(0), F.col("accounts") - 1)).drop("d", "accounts")
 
 
-def digits(txn: DataFrame) -> DataFrame:
+def digit_measures() -> dict:
+    digit = S.leading_digit(F.col("amount"))
+    return {f"_digit_{d}": ((F.coalesce(digit, F.lit(0)) == d).cast("long"), WINDOWS["30d"]) for d in range(1, 10)} | {"_digits_n": (F.lit(1).cast("long"), WINDOWS["30d"])}
+
+
+def with_digits(summed: DataFrame) -> DataFrame:
     """Trailing Benford distance and receiver entropy of 30 days."""
-    month = trailing("sender", WINDOWS["30d"])
-    counts = [F.sum((F.col("_digit") == d).cast("int")).over(month) for d in range(1, 10)]
-    out = txn.withColumn("_digit", S.leading_digit(F.col("amount"))).withColumn("benford_chi2_score", S.benford_chi2(counts)).withColumn("_n", F.count("*").over(month)).drop("_digit")
+    out = summed.withColumn("benford_chi2_score", S.benford_chi2([F.col(f"_digit_{d}") for d in range(1, 10)])).drop(*[f"_digit_{d}" for d in range(1, 10)])
     out = frame_sums(out, "sender", "receiver", WINDOWS["30d"], {"_nlogn": n_log_n})
-    return out.withColumn("receiver_entropy", F.greatest(F.lit(0.0), F.log2("_n") - F.col("_nlogn") / F.col("_n"))).drop("_n", "_nlogn")
+    return out.withColumn("receiver_entropy", F.greatest(F.lit(0.0), F.log2("_digits_n") - F.col("_nlogn") / F.col("_digits_n"))).drop("_digits_n", "_nlogn")
+
+
+def digits(txn: DataFrame) -> DataFrame:
+    return with_digits(trailing_sums(txn, "sender", digit_measures()))
 
 
 def buckets(txn: DataFrame, days: int = 30) -> DataFrame:
@@ -161,9 +255,9 @@ FEATURES = (
 
 
 def features(txn: DataFrame) -> DataFrame:
-    """txn with the 45 behavioural features."""
-    out = row_features(txn)
-    for block in (velocity, amounts, ratios, distincts, travel, switches, digits, devices):
+    """txn with the 45 behavioural features; all sums and counts of trailing frames are one pass."""
+    out = trailing_sums(row_features(txn), "sender", velocity_measures() | amount_measures() | ratio_measures() | digit_measures())
+    for block in (with_amounts, with_ratios, with_digits, distincts, travel, switches, devices):
         out = block(out)
     return out
 

@@ -7,11 +7,8 @@ a reread and plans stay short.
 
 from __future__ import annotations
 
-import heapq
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -204,12 +201,12 @@ def community_profiles(txn: DataFrame, members: DataFrame) -> DataFrame:
 
     Fans are means over all members of what they have in the whole graph. A
     community has a cycle if a member lies on one of two or three accounts. A
-    member is chain-like with at most one partner in and one out inside.
+    member is chain-like with at most one partner in and one out inside. Amounts are
+    an anomaly if those of the densest part or of the whole community are.
     """
     inner = induced(txn, members)
     size = members.groupBy("community").agg(F.count("*").alias("community_size")).where(F.col("community_size") > 1)
-    counts = [F.sum((S.leading_digit(F.col("amount")) == d).cast("int")) for d in range(1, 10)]
-    flow = inner.groupBy("community").agg(F.count("*").alias("edges"), F.sum("amount").alias("total_flow_value"), S.benford_chi2(counts).alias("benford_chi2"))
+    flow = inner.groupBy("community").agg(F.count("*").alias("edges"), F.sum("amount").alias("total_flow_value"))
     pairs = inner.select("community", F.col("sender").alias("u"), F.col("receiver").alias("v")).distinct()
     ends = pairs.select("community", F.col("u").alias("account"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(pairs.select("community", "v", F.lit(1), F.lit(0)))
     ends = ends.groupBy("account").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
@@ -220,13 +217,14 @@ def community_profiles(txn: DataFrame, members: DataFrame) -> DataFrame:
     none = lambda c: F.coalesce(c, F.lit(0))
     chain = ((none("i") <= 1) & (none("o") <= 1)).cast("double")
     fans = each.groupBy("community").agg(F.avg(F.coalesce("fan_in", F.lit(0.0))).alias("mean_fan_in"), F.avg(F.coalesce("fan_out", F.lit(0.0))).alias("mean_fan_out"), F.avg(chain).alias("chain_share"), F.max(F.coalesce("on_cycle", F.lit(False))).alias("has_cycle"))
-    out = size.join(flow, "community", "left").join(fans, "community", "left")
+    out = size.join(flow, "community", "left").join(fans, "community", "left").join(dense_benford(txn, members).select("community", "benford_anomaly"), "community", "left")
     n = F.col("community_size")
-    out = out.select("community", "community_size", (F.coalesce("edges", F.lit(0)) / (n * (n - 1))).alias("community_density"), F.coalesce("total_flow_value", F.lit(0.0)).alias("total_flow_value"), F.coalesce("mean_fan_in", F.lit(0.0)).alias("mean_fan_in"), F.coalesce("mean_fan_out", F.lit(0.0)).alias("mean_fan_out"), F.coalesce("chain_share", F.lit(0.0)).alias("chain_share"), F.coalesce("has_cycle", F.lit(False)).alias("has_cycle"), (F.coalesce("benford_chi2", F.lit(0.0)) > 3.84).alias("benford_anomaly"))
+    out = out.select("community", "community_size", (F.coalesce("edges", F.lit(0)) / (n * (n - 1))).alias("community_density"), F.coalesce("total_flow_value", F.lit(0.0)).alias("total_flow_value"), F.coalesce("mean_fan_in", F.lit(0.0)).alias("mean_fan_in"), F.coalesce("mean_fan_out", F.lit(0.0)).alias("mean_fan_out"), F.coalesce("chain_share", F.lit(0.0)).alias("chain_share"), F.coalesce("has_cycle", F.lit(False)).alias("has_cycle"), F.coalesce("benford_anomaly", F.lit(False)).alias("benford_anomaly"))
     pattern = F.when(F.col("has_cycle"), "circular").when(F.col("mean_fan_in") > 0.7, "fan_in").when(F.col("mean_fan_out") > 0.7, "fan_out").when(F.col("chain_share") > 0.5, "layering_chain").otherwise("mixed")
-    largest = F.max("community_size").over(W.partitionBy())  # one row a community
-    risk = 100 * (0.25 * S.clamp(F.col("community_density"), 0, 1) + 0.30 * F.col("has_cycle").cast("double") + 0.25 * F.col("benford_anomaly").cast("double") + 0.20 * F.log(n + 1) / F.log(largest + 1))
-    return out.select("*", pattern.alias("dominant_pattern"), S.clamp(risk, 0, 100).alias("community_risk_score"))
+    largest = size.agg(F.max("community_size").alias("_largest"))
+    risk = 100 * (0.25 * S.clamp(F.col("community_density"), 0, 1) + 0.30 * F.col("has_cycle").cast("double") + 0.25 * F.col("benford_anomaly").cast("double") + 0.20 * F.log(n + 1) / F.log(F.col("_largest") + 1))
+    out = out.join(F.broadcast(largest))  # largest is one row
+    return out.select(*[c for c in out.columns if c != "_largest"], pattern.alias("dominant_pattern"), S.clamp(risk, 0, 100).alias("community_risk_score"))
 
 
 def paths(edges: DataFrame, *, length: int = 3, cap: int = 50) -> DataFrame:
@@ -273,92 +271,109 @@ def neighbourhood_edges(edges: DataFrame, centre: int, hops: int = 2, cap: int =
     return edges.select("u", "v").distinct().join(near.withColumnRenamed("account", "u"), "u", "left_semi").join(near.withColumnRenamed("account", "v"), "v", "left_semi").select("u", "v")
 
 
-def betweenness(edges: DataFrame, *, sources: int = 30, max_edges: int = 5_000_000) -> DataFrame:
+def betweenness(edges: DataFrame, *, sources: int = 300) -> DataFrame:
     """account, betweenness: shortest-path dependencies from `sources` accounts (by hash), scaled to all and normalised.
 
-    Each task holds the adjacency, so the distinct edges must be within max_edges.
+    Breadth first from all sources at once, in rows (source, node, paths), one table
+    a depth; then back from the deepest: an account takes from each next one on a
+    shortest path its share of paths times one plus what that one has. Both ways are
+    joins with the edges; the least and the most that a task holds is an account's
+    edges. Accounts on no path have 0.
     """
-    adjacent = edges.select("u", "v").distinct()
-    if adjacent.count() > max_edges:
-        raise ValueError(f"betweenness holds the adjacency in memory: over {max_edges} edges")
-    rows = adjacent.orderBy("u", "v").toPandas()  # max_edges bounds it
-    ids = np.unique(rows[["u", "v"]].to_numpy())
-    heads, tails = np.searchsorted(ids, rows["u"]), np.searchsorted(ids, rows["v"])
-    starts = np.searchsorted(heads, np.arange(len(ids) + 1))
-    n = len(ids)
-
-    def run(batches):
-        total = np.zeros(n)
-        for batch in batches:
-            for s in np.searchsorted(ids, batch["account"].to_numpy()):
-                depth, ways = np.full(n, -1), np.zeros(n)
-                depth[s], ways[s] = 0, 1
-                levels, front = [], np.array([s])
-                while len(front):
-                    levels.append(front)
-                    take = np.concatenate([np.arange(starts[x], starts[x + 1]) for x in front])
-                    a, b = heads[take], tails[take]
-                    new = np.unique(b[depth[b] < 0])
-                    depth[new] = len(levels)
-                    on = depth[b] == len(levels)
-                    np.add.at(ways, b[on], ways[a[on]])
-                    front = new
-                part = np.zeros(n)
-                for front in reversed(levels[:-1]):
-                    take = np.concatenate([np.arange(starts[x], starts[x + 1]) for x in front])
-                    a, b = heads[take], tails[take]
-                    on = depth[b] == depth[a] + 1
-                    np.add.at(part, a[on], ways[a[on]] / ways[b[on]] * (1 + part[b[on]]))
-                part[s] = 0
-                total += part
-        yield pd.DataFrame({"account": ids, "part": total})
-
-    chosen = edges.select(F.col("u").alias("account")).union(edges.select("v")).distinct().orderBy(F.xxhash64("account"), "account").limit(sources)
+    steps = cut(edges.where(F.col("u") != F.col("v")).select("u", "v").distinct())
+    nodes = cut(edges.select(F.col("u").alias("account")).union(edges.select("v")).distinct())
+    n = nodes.count()
+    chosen = nodes.orderBy(F.xxhash64("account"), "account").limit(sources)
+    levels = [cut(chosen.select(F.col("account").alias("source"), F.col("account").alias("node"), F.lit(1.0).alias("paths")))]
+    seen = levels[0].select("source", "node")
+    while True:
+        reached = levels[-1].join(steps, F.col("node") == F.col("u")).groupBy("source", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
+        further = cut(reached.join(seen, ["source", "node"], "left_anti"))
+        if further.isEmpty():
+            break
+        levels.append(further)
+        seen = seen.union(further.select("source", "node"))
+        if len(levels) % 8 == 0:
+            seen = cut(seen)
+    met, behind = [], None
+    for level in reversed(levels[1:]):
+        part = level.withColumn("part", F.lit(0.0))
+        if behind is not None:
+            give = behind.select("source", F.col("node").alias("v"), ((1 + F.col("part")) / F.col("paths")).alias("give"))
+            given = give.join(steps, "v").groupBy("source", F.col("u").alias("node")).agg(F.sum("give").alias("give"))
+            part = cut(level.join(given, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("give", F.lit(0.0))).alias("part")))
+        met.append(part.select("node", "part"))
+        behind = part
     scale = n / max(1, min(sources, n)) / max(1, (n - 1) * (n - 2))
-    return chosen.repartition(8).mapInPandas(run, "account long, part double").groupBy("account").agg((F.sum("part") * scale).alias("betweenness"))
-
-
-def densest(inner: DataFrame, *, max_edges: int = 200_000) -> DataFrame:
-    """community, members, density: the densest subgraph met when accounts of least degree are peeled off in turn.
-
-    inner: community, u, v, one row a transfer; repeated transfers count each.
-    Density is transfers / (n * (n - 1)). Among equal degrees the least account
-    goes first, and among equal densities the larger subgraph holds. Peeling is
-    sequential (a heap, n log n); a community must be within max_edges pairs.
+    if not met:
+        return nodes.select("account", F.lit(0.0).alias("betweenness"))
+    parts = met[0]
+    for more in met[1:]:
+        parts = parts.union(more)
+    sums = parts.groupBy("node").agg((F.sum("part") * scale).alias("part"))
+    return nodes.join(sums, F.col("account") == F.col("node"), "left").select("account", F.coalesce("part", F.lit(0.0)).alias("betweenness"))
+
+
+def densest(inner: DataFrame, *, eps: float = 0.1, by: str = "pairs", rounds: int = 200) -> DataFrame:
+    """community, account, density: the members of the densest part of each community, found by peeling in batches.
+
+    inner: community, u, v, one row a transfer; repeated transfers count each. In a
+    round all accounts go that have at most 1 + eps times the mean number of
+    transfers; that is more than half of them or nearly so, and rounds grow with the
+    logarithm of the accounts. All communities are peeled at once, as joins; no task
+    holds a community. Density is transfers / (n * (n - 1)), or with by="accounts"
+    transfers / n, for which what is found is at least 1 / (2 + 2 * eps) of the
+    densest part there is. Among equal densities the larger part holds.
     """
-
-    def peel(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > max_edges:
-            raise ValueError(f"densest: a community of over {max_edges} pairs")
-        near: dict[int, dict[int, int]] = {}
-        for u, v, n in zip(frame["u"], frame["v"], frame["n"], strict=True):
-            for a, b in ((u, v), (v, u)):
-                near.setdefault(a, {})
-                near[a][b] = near[a].get(b, 0) + int(n)
-        degree = {a: sum(x.values()) for a, x in near.items()}
-        edges, order, heap = sum(degree.values()) / 2, [], [(d, a) for a, d in degree.items()]
-        heapq.heapify(heap)
-        best, kept = -1.0, 0
-        left = len(near)
-        while left > 1:
-            if edges / (left * (left - 1)) > best:
-                best, kept = edges / (left * (left - 1)), len(order)
-            d, out = heapq.heappop(heap)
-            if out not in degree or degree[out] != d:
-                continue
-            edges -= d
-            del degree[out]
-            order.append(out)
-            left -= 1
-            for other, n in near[out].items():
-                if other in degree:
-                    degree[other] -= n
-                    heapq.heappush(heap, (degree[other], other))
-        gone = set(order[:kept])
-        return pd.DataFrame({"community": [frame["community"].iloc[0]], "members": [sorted(a for a in near if a not in gone)], "density": [float(max(best, 0.0))]})
-
-    counted = inner.groupBy("community", "u", "v").agg(F.count("*").alias("n"))
-    return counted.groupBy("community").applyInPandas(peel, "community long, members array<long>, density double")
+    if by not in ("pairs", "accounts"):
+        raise ValueError(f"by must be pairs or accounts, not {by!r}")
+    left = cut(inner.where(F.col("u") != F.col("v")).groupBy("community", "u", "v").agg(F.count("*").alias("n")))
+    gone, sizes = [], []
+    for turn in range(rounds):
+        degree = left.select("community", "n", F.explode(F.array("u", "v")).alias("account")).groupBy("community", "account").agg(F.sum("n").alias("d"))
+        degree = cut(degree)
+        size = cut(degree.groupBy("community").agg(F.count("*").alias("accounts"), (F.sum("d") / 2).alias("transfers")).withColumn("turn", F.lit(turn)))
+        if size.isEmpty():
+            break
+        sizes.append(size)
+        mean = size.select("community", ((1 + eps) * 2 * F.col("transfers") / F.col("accounts")).alias("most"))
+        out = cut(degree.join(mean, "community").where(F.col("d") <= F.col("most")).select("community", "account", F.lit(turn).alias("turn")))
+        gone.append(out)
+        off = lambda c, out=out: out.select("community", F.col("account").alias(c))
+        after = left.join(off("u"), ["community", "u"], "left_anti").join(off("v"), ["community", "v"], "left_anti").select("community", "u", "v", "n")
+        # Accounts that lose all partners without being peeled leave with the next round's start: they have no transfers left.
+        kept = degree.join(out, ["community", "account"], "left_anti").select("community", "account")
+        left = cut(after)
+        alive = left.select("community", F.explode(F.array("u", "v")).alias("account")).distinct()
+        gone.append(cut(kept.join(alive, ["community", "account"], "left_anti").withColumn("turn", F.lit(turn))))
+    else:
+        raise RuntimeError("densest: accounts are left")
+    if not sizes:
+        return inner.select("community", F.col("u").alias("account"), F.lit(0.0).alias("density"))
+    union = lambda frames: frames[0] if len(frames) == 1 else union(frames[: len(frames) // 2]).union(union(frames[len(frames) // 2 :]))
+    n, m = F.col("accounts"), F.col("transfers")
+    density = m / (n * (n - 1)) if by == "pairs" else m / n
+    best = union(sizes).groupBy("community").agg(F.min(F.struct((-density).alias("less"), "turn")).alias("best"))
+    return union(gone).join(best, "community").where(F.col("turn") >= F.col("best.turn")).select("community", "account", (-F.col("best.less")).alias("density"))
+
+
+def dense_benford(txn: DataFrame, members: DataFrame, **peeling) -> DataFrame:
+    """community, densest_size, densest_density, benford_chi2_densest, benford_chi2_community, benford_anomaly of each community with transfers inside.
+
+    The anomaly is a distance over 3.84 among the transfers of the densest part (in
+    communities of over two members), or else among all of the community.
+    """
+    inner = cut(induced(txn, members).select("community", F.col("sender").alias("u"), F.col("receiver").alias("v"), "amount"))
+    part = cut(densest(inner, **peeling))
+    ends = lambda c: part.select("community", F.col("account").alias(c))
+    counts = [F.sum((S.leading_digit(F.col("amount")) == d).cast("int")) for d in range(1, 10)]
+    inside = inner.join(ends("u"), ["community", "u"], "left_semi").join(ends("v"), ["community", "v"], "left_semi")
+    inside = inside.groupBy("community").agg(S.benford_chi2(counts).alias("chi2"))
+    size = members.groupBy("community").agg(F.count("*").alias("members"))
+    out = inner.groupBy("community").agg(S.benford_chi2(counts).alias("benford_chi2_community")).join(inside, "community", "left").join(size, "community")
+    out = out.join(part.groupBy("community").agg(F.count("*").alias("densest_size"), F.max("density").alias("densest_density")), "community", "left")
+    chi2 = F.when(F.col("members") > 2, F.coalesce("chi2", F.lit(0.0))).otherwise(F.lit(0.0))
+    return out.select("community", "densest_size", "densest_density", chi2.alias("benford_chi2_densest"), "benford_chi2_community", ((chi2 > 3.84) | (F.col("benford_chi2_community") > 3.84)).alias("benford_anomaly"))
 
 
 #: The features of an account in their canonical order (fixed values), but for its id.

@@ -281,13 +281,8 @@ def agg_corridors(spark, d):
     return orders_txn(spark, d).groupBy("from_nation", "to_nation").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 0).alias("total"), F.countDistinct("sender").alias("senders"))
 
 
-@query("agg_cube", f"SELECT from_nation, to_nation, count(*) AS n FROM ({ORDERS_SQL}) WHERE from_nation < 5 AND to_nation < 5 GROUP BY CUBE (from_nation, to_nation)")
+@query("agg_cube", f"SELECT from_nation, to_nation, count(*) AS n FROM ({ORDERS_SQL}) GROUP BY CUBE (from_nation, to_nation)")
 def agg_cube(spark, d):
-    return orders_txn(spark, d).where("from_nation < 5 AND to_nation < 5").cube("from_nation", "to_nation").agg(F.count("*").alias("n"))
-
-
-@query("agg_cube_all", f"SELECT from_nation, to_nation, count(*) AS n FROM ({ORDERS_SQL}) GROUP BY CUBE (from_nation, to_nation)")
-def agg_cube_all(spark, d):
     return orders_txn(spark, d).cube("from_nation", "to_nation").agg(F.count("*").alias("n"))
 
 
@@ -348,112 +343,77 @@ def gr_pagerank(spark, d):
     return G.pagerank(G.condensed(txn(spark, d))).select("account", r("pagerank", 8).alias("pagerank"))
 
 
-def _labels_sql(rounds: int = 2) -> str:
+def _labels_sql(rounds: int = 5) -> str:
     steps = ["l0 AS (SELECT DISTINCT u AS account, u AS community FROM b)"]
     for i in range(rounds):
         steps.append(f"l{i + 1} AS MATERIALIZED (SELECT u AS account, community FROM (SELECT b.u, l.community, count(*) AS n FROM b JOIN l{i} l ON b.v = l.account GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY u ORDER BY n DESC, community) = 1)")
     return f"p AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM e), b AS (SELECT u, v FROM p UNION SELECT v, u FROM p UNION SELECT u, u FROM p UNION SELECT v, v FROM p), {', '.join(steps)}"
 
 
-#: The SQL of these queries holds transfers over four millions only; each has a form over all transfers, NAME_all, without SQL.
-_LARGE = "large AS (SELECT * FROM txn WHERE amount > 4000000), e AS (SELECT DISTINCT sender AS u, receiver AS v FROM large WHERE sender <> receiver)"
-
-
-def large(spark, d):
-    return txn(spark, d).where(F.col("amount") > 4_000_000)
-
-
-@query("gr_communities", f"WITH {TXN_SQL}, {_LARGE}, {_labels_sql()} SELECT account, community FROM l2")
+@query("gr_communities", f"WITH {TXN_SQL}, {_EDGES}, {_labels_sql()} SELECT account, community FROM l5")
 def gr_communities(spark, d):
-    return G.label_propagation(G.adjacency(large(spark, d)), rounds=2)
+    return G.label_propagation(G.adjacency(txn(spark, d)))
 
 
-@query("gr_communities_all")
-def gr_communities_all(spark, d):
-    return G.label_propagation(G.adjacency(txn(spark, d)))
+def _densest_sql(rounds: int = 12) -> str:
+    """CTEs part (community, account, density) and i (transfers inside of communities)."""
+    steps = ["i AS (SELECT a.community, sender AS u, receiver AS v, amount FROM txn JOIN l5 a ON sender = a.account JOIN l5 b ON receiver = b.account AND a.community = b.community WHERE sender <> receiver)", "t0 AS (SELECT community, u, v, count(*) AS n FROM i GROUP BY ALL)"]
+    for k in range(rounds):
+        steps += [
+            f"d{k} AS MATERIALIZED (SELECT community, account, sum(n) AS d FROM (SELECT community, u AS account, n FROM t{k} UNION ALL SELECT community, v, n FROM t{k}) GROUP BY ALL)",
+            f"s{k} AS (SELECT community, count(*) AS accounts, sum(d) / 2.0::DOUBLE AS transfers, {k} AS turn FROM d{k} GROUP BY community)",
+            f"o{k} AS MATERIALIZED (SELECT community, account FROM d{k} JOIN s{k} USING (community) WHERE d <= 2.2::DOUBLE * transfers / accounts)",
+            f"t{k + 1} AS MATERIALIZED (SELECT * FROM t{k} WHERE (community, u) NOT IN (SELECT community, account FROM o{k}) AND (community, v) NOT IN (SELECT community, account FROM o{k}))",
+        ]
+    sizes = " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(rounds))
+    alive = " UNION ALL ".join(f"SELECT community, account, {k} AS turn FROM d{k}" for k in range(rounds))
+    return ", ".join(steps) + f""", sizes AS ({sizes}), best AS (SELECT community, min((-(transfers / (accounts * (accounts - 1))), turn)) AS b FROM sizes GROUP BY community), alive AS ({alive}),
+  part AS (SELECT alive.community, account, -b[1] AS density FROM alive JOIN best ON best.community = alive.community AND turn = b[2])"""
 
 
 _COUNTS = [f"sum(({DIGIT} = {x})::INT)" for x in range(1, 10)]
 
 
-@query("gr_profiles", f"""WITH {TXN_SQL}, {_LARGE}, {_labels_sql()}, z AS (SELECT community, count(*) AS n FROM l2 GROUP BY community HAVING count(*) > 1),
-  i AS (SELECT x.*, a.community FROM large x JOIN l2 a ON x.sender = a.account JOIN l2 b ON x.receiver = b.account AND a.community = b.community WHERE x.sender <> x.receiver),
+@query("gr_profiles", f"""WITH {TXN_SQL}, {_EDGES}, {_labels_sql()}, {_densest_sql()}, z AS (SELECT community, count(*) AS n FROM l5 GROUP BY community HAVING count(*) > 1),
   f AS (SELECT community, count(*) AS edges, sum(amount) AS flow, {chi2_sql(_COUNTS)} AS chi2 FROM i GROUP BY community), q AS (SELECT DISTINCT community, sender AS u, receiver AS v FROM i),
   g AS (SELECT community, account, sum(i) AS i, sum(o) AS o FROM (SELECT community, u AS account, 0 AS i, 1 AS o FROM q UNION ALL SELECT community, v, 1, 0 FROM q) GROUP BY ALL),
   de AS (SELECT account, count(DISTINCT src) AS i, count(DISTINCT dst) AS o FROM (SELECT u AS account, v AS dst, NULL AS src FROM e UNION ALL SELECT v, NULL, u FROM e) GROUP BY account),
   cy AS (SELECT a.u AS account FROM e a JOIN e b ON a.u = b.v AND a.v = b.u UNION SELECT a.u FROM e a JOIN e b ON a.v = b.u JOIN e c ON b.v = c.u AND c.v = a.u),
+  dn AS (SELECT community, {chi2_sql(_COUNTS)} AS dense FROM i JOIN part p USING (community) JOIN part q USING (community) WHERE p.account = u AND q.account = v GROUP BY community),
   h AS (SELECT community, avg(coalesce(de.i / (de.i + de.o + 1e-9::DOUBLE), 0)) AS fi, avg(coalesce(de.o / (de.i + de.o + 1e-9::DOUBLE), 0)) AS fo, avg((coalesce(g.i, 0) <= 1 AND coalesce(g.o, 0) <= 1)::INT) AS ch, bool_or(cy.account IS NOT NULL) AS cyc
-    FROM l2 LEFT JOIN (SELECT account, i, o FROM g) g USING (account) LEFT JOIN de USING (account) LEFT JOIN cy USING (account) GROUP BY community),
-  m AS (SELECT z.community, z.n, coalesce(edges, 0) / (n * (n - 1))::DOUBLE AS density, coalesce(flow, 0) AS flow, coalesce(fi, 0) AS fi, coalesce(fo, 0) AS fo, coalesce(ch, 0) AS ch, cyc, coalesce(chi2, 0) > 3.84 AS ben FROM z LEFT JOIN f USING (community) LEFT JOIN h USING (community))
+    FROM l5 LEFT JOIN (SELECT account, i, o FROM g) g USING (account) LEFT JOIN de USING (account) LEFT JOIN cy USING (account) GROUP BY community),
+  m AS (SELECT z.community, z.n, coalesce(edges, 0) / (n * (n - 1))::DOUBLE AS density, coalesce(flow, 0) AS flow, coalesce(fi, 0) AS fi, coalesce(fo, 0) AS fo, coalesce(ch, 0) AS ch, cyc, coalesce(chi2, 0) > 3.84 OR (n > 2 AND coalesce(dense, 0) > 3.84) AS ben FROM z LEFT JOIN f USING (community) LEFT JOIN dn USING (community) LEFT JOIN h USING (community))
   SELECT community, n AS community_size, round(density, 6) AS community_density, round(flow, 2) AS total_flow_value, cyc AS has_cycle, ben AS benford_anomaly, CASE WHEN cyc THEN 'circular' WHEN fi > 0.7 THEN 'fan_in' WHEN fo > 0.7 THEN 'fan_out' WHEN ch > 0.5 THEN 'layering_chain' ELSE 'mixed' END AS dominant_pattern,
   round(greatest(0, least(100, 100 * (0.25 * least(1, density) + 0.30 * cyc::INT + 0.25 * ben::INT + 0.20 * ln(n + 1) / ln(max(n) OVER () + 1)))), 4) AS community_risk_score FROM m""")
 def gr_profiles(spark, d):
-    t = large(spark, d)
-    return _profiles(t, G.label_propagation(G.adjacency(t), rounds=2))
-
-
-@query("gr_profiles_all")
-def gr_profiles_all(spark, d):
     t = txn(spark, d)
-    return _profiles(t, G.label_propagation(G.adjacency(t)))
-
-
-def _profiles(t, members):
-    out = G.community_profiles(t, members)
+    out = G.community_profiles(t, G.cut(G.label_propagation(G.adjacency(t))))
     return out.select("community", "community_size", r("community_density", 6).alias("community_density"), r("total_flow_value", 2).alias("total_flow_value"), "has_cycle", "benford_anomaly", "dominant_pattern", r("community_risk_score").alias("community_risk_score"))
 
 
-@query("gr_components", f"""WITH RECURSIVE {TXN_SQL}, {_LARGE}, b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), w(node, seen) AS (SELECT u, v FROM b UNION SELECT w.node, b.v FROM w JOIN b ON w.seen = b.u) SELECT node AS account, least(node, min(seen)) AS component FROM w GROUP BY node""")
+@query("gr_components", f"""WITH RECURSIVE {TXN_SQL}, {_EDGES}, b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), w(node, seen) AS (SELECT u, v FROM b UNION SELECT w.node, b.v FROM w JOIN b ON w.seen = b.u) SELECT node AS account, least(node, min(seen)) AS component FROM w GROUP BY node""")
 def gr_components(spark, d):
-    return G.weak_components(G.adjacency(large(spark, d)))
-
-
-@query("gr_components_all")
-def gr_components_all(spark, d):
     return G.weak_components(G.adjacency(txn(spark, d)))
 
 
-@query("gr_paths", f"""WITH {TXN_SQL}, {_LARGE}, p AS (SELECT u AS start, [u, v] AS path FROM e),
+#: Prefixes are left out behind those that give 20 paths for sure: an account's edges out less the accounts on the way.
+@query("gr_paths", f"""WITH {TXN_SQL}, {_EDGES}, fan AS (SELECT u, count(*) AS n FROM e GROUP BY u), p AS (SELECT u AS start, [u, v] AS path FROM e),
   q AS (SELECT start, list_append(path, v) AS path FROM p JOIN e ON path[-1] = e.u WHERE NOT list_contains(path, e.v)),
-  x AS (SELECT start, list_append(path, v) AS path FROM q JOIN e ON path[-1] = e.u WHERE NOT list_contains(path, e.v) QUALIFY row_number() OVER (PARTITION BY start ORDER BY list_append(path, v)) <= 20),
-  s AS (SELECT sender AS u, receiver AS v, max(amount) AS amount FROM large GROUP BY ALL), k AS (SELECT path, unnest(range(1, len(path))) AS i FROM x)
-  SELECT path, round(sum(amount), 2) AS total_value FROM k JOIN s ON s.u = path[i] AND s.v = path[i + 1] GROUP BY path""")
+  k AS (SELECT start, path FROM q JOIN fan ON fan.u = path[-1] QUALIFY coalesce(sum(greatest(0, n - 2)) OVER (PARTITION BY start ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 20),
+  x AS (SELECT start, list_append(path, v) AS path FROM k JOIN e ON path[-1] = e.u WHERE NOT list_contains(path, e.v) QUALIFY row_number() OVER (PARTITION BY start ORDER BY list_append(path, v)) <= 20),
+  s AS (SELECT sender AS u, receiver AS v, max(amount) AS amount FROM txn GROUP BY ALL), j AS (SELECT path, unnest(range(1, len(path))) AS i FROM x)
+  SELECT path, round(sum(amount), 2) AS total_value FROM j JOIN s ON s.u = path[i] AND s.v = path[i + 1] GROUP BY path""")
 def gr_paths(spark, d):
-    return _paths(large(spark, d))
-
-
-@query("gr_paths_all")
-def gr_paths_all(spark, d):
-    return _paths(txn(spark, d))
-
-
-def _paths(t):
+    t = txn(spark, d)
     return G.path_values(G.paths(G.adjacency(t), length=3, cap=20), t).select("path", r("total_value", 2).alias("total_value"))
 
 
-@query("gr_neighbourhood", f"""WITH {TXN_SQL}, {_LARGE}, b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), h0 AS (SELECT 1 AS account, 0 AS hop), h1 AS (SELECT DISTINCT v AS account, 1 AS hop FROM b WHERE u = 1 AND v <> 1),
+@query("gr_neighbourhood", f"""WITH {TXN_SQL}, {_EDGES}, b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), h0 AS (SELECT 1 AS account, 0 AS hop), h1 AS (SELECT DISTINCT v AS account, 1 AS hop FROM b WHERE u = 1 AND v <> 1),
   h2 AS (SELECT DISTINCT b.v AS account, 2 AS hop FROM b JOIN h1 ON b.u = h1.account WHERE b.v <> 1 AND b.v NOT IN (SELECT account FROM h1)) SELECT account::BIGINT AS account, hop FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 ORDER BY hop, account LIMIT 80)""")
 def gr_neighbourhood(spark, d):
-    return G.neighbourhood(G.adjacency(large(spark, d)), 1, hops=2)
-
-
-@query("gr_neighbourhood_all")
-def gr_neighbourhood_all(spark, d):
     return G.neighbourhood(G.adjacency(txn(spark, d)), 1, hops=2)
 
 
-@query("gr_betweenness")
-def gr_betweenness(spark, d):
-    return G.betweenness(G.adjacency(txn(spark, d)))
-
-
-@query("gr_densest")
-def gr_densest(spark, d):
-    t = txn(spark, d)
-    inner = G.induced(t, G.label_propagation(G.adjacency(t))).select("community", F.col("sender").alias("u"), F.col("receiver").alias("v"))
-    return G.densest(inner)
-
-
 @query("gr_features")
 def gr_features(spark, d):
     return G.graph_features(txn(spark, d))

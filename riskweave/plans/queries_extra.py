@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from riskweave.operators import alerts as A
 from riskweave.operators import generator as N
 from riskweave.operators import graph as G
-from riskweave.plans.queries_core import _EDGES, _LARGE, TXN_SQL, D, _labels_sql, large, query, r
+from riskweave.plans.queries_core import _EDGES, TXN_SQL, D, _labels_sql, query, r
 from riskweave.plans.queries_risk import RULED_SQL, fused
 from riskweave.sources.tables import export_split, shared_folder, txn, write_joined
 
@@ -39,11 +39,11 @@ def jn_graph_features(spark, d):
     return G.with_graph_features(t, features, columns).select("tx_id", *[f"g_{c}" for c in columns])
 
 
-@query("jn_communities_topped_up", f"""WITH {TXN_SQL}, {_LARGE}, {_labels_sql()}, a AS (SELECT sender AS account FROM txn UNION SELECT receiver FROM txn) SELECT account, coalesce(community, account) AS community FROM a LEFT JOIN l2 USING (account)""")
+@query("jn_communities_topped_up", f"""WITH {TXN_SQL}, {_EDGES}, {_labels_sql()}, a AS (SELECT sender AS account FROM txn UNION SELECT receiver FROM txn) SELECT account, coalesce(community, account) AS community FROM a LEFT JOIN l5 USING (account)""")
 def jn_communities_topped_up(spark, d):
     t = txn(spark, d)
     accounts = t.select(F.col("sender").alias("account")).union(t.select("receiver"))
-    return G.topped_up(G.label_propagation(G.adjacency(large(spark, d)), rounds=2), accounts)
+    return G.topped_up(G.label_propagation(G.adjacency(t)), accounts)
 
 
 @query("gr_neighbourhood_edges", f"""WITH {TXN_SQL}, {_EDGES}, b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), n AS (SELECT 1 AS account, 0 AS hop UNION ALL SELECT DISTINCT v, 1 FROM b WHERE u = 1 AND v <> 1), k AS (SELECT account FROM n ORDER BY hop, account LIMIT 200)

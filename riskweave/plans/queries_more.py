@@ -10,25 +10,17 @@ from riskweave.operators import fusion as U
 from riskweave.operators import graph as G
 from riskweave.operators import models as M
 from riskweave.operators import rules as R
-from riskweave.plans.queries_core import _LARGE, TXN_SQL, _labels_sql, large, query, r
+from riskweave.plans.queries_core import _EDGES, TXN_SQL, _labels_sql, query, r
 from riskweave.plans.queries_risk import RULED_SQL, _streamed, fused, labelled, ruled
 from riskweave.sources.tables import table, txn
 from riskweave.streaming import stream as T
 
 
-@query("jn_communities", f"""WITH {TXN_SQL}, {_LARGE}, {_labels_sql()} SELECT tx_id, coalesce(a.community, -1) AS sender_community, coalesce(b.community, -1) AS receiver_community, coalesce(a.community = b.community, false) AS shared_community
-  FROM txn LEFT JOIN l2 a ON a.account = sender LEFT JOIN l2 b ON b.account = receiver""")
+@query("jn_communities", f"""WITH {TXN_SQL}, {_EDGES}, {_labels_sql()} SELECT tx_id, coalesce(a.community, -1) AS sender_community, coalesce(b.community, -1) AS receiver_community, coalesce(a.community = b.community, false) AS shared_community
+  FROM txn LEFT JOIN l5 a ON a.account = sender LEFT JOIN l5 b ON b.account = receiver""")
 def jn_communities(spark, d):
-    return _joined(txn(spark, d), G.label_propagation(G.adjacency(large(spark, d)), rounds=2))
-
-
-@query("jn_communities_all")
-def jn_communities_all(spark, d):
     t = txn(spark, d)
-    return _joined(t, G.label_propagation(G.adjacency(t)))
-
-
-def _joined(t, labels):
+    labels = G.label_propagation(G.adjacency(t))
     a, b = (labels.select(F.col("account").alias(f"{x}_account"), F.col("community").alias(x)) for x in "ab")
     out = t.join(a, F.col("sender") == F.col("a_account"), "left").join(b, F.col("receiver") == F.col("b_account"), "left")
     return out.select("tx_id", F.coalesce("a", F.lit(-1)).alias("sender_community"), F.coalesce("b", F.lit(-1)).alias("receiver_community"), F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("shared_community"))
@@ -40,17 +32,9 @@ def jn_scores_labels(spark, d):
     return table(spark, d, "documents").select("doc_id", "n_chars").join(labels, "doc_id", "left").select("doc_id", F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("sar_filed"), (F.col("n_chars") % 100).alias("score"))
 
 
-@query("agg_quiet_accounts", f"""WITH {TXN_SQL} SELECT account, sum(n)::BIGINT AS transfers FROM (SELECT sender AS account, count(*) AS n FROM txn WHERE amount > 4000000 GROUP BY sender UNION ALL SELECT receiver, count(*) FROM txn WHERE amount > 4000000 GROUP BY receiver) GROUP BY account HAVING sum(n) <= 4""")
+@query("agg_quiet_accounts", f"WITH {TXN_SQL} SELECT account, count(*) AS transfers FROM (SELECT sender AS account FROM txn UNION ALL SELECT receiver FROM txn) GROUP BY account HAVING count(*) <= 4")
 def agg_quiet_accounts(spark, d):
-    return _quiet(large(spark, d))
-
-
-@query("agg_quiet_accounts_all", f"WITH {TXN_SQL} SELECT account, count(*) AS transfers FROM (SELECT sender AS account FROM txn UNION ALL SELECT receiver FROM txn) GROUP BY account HAVING count(*) <= 4")
-def agg_quiet_accounts_all(spark, d):
-    return _quiet(txn(spark, d))
-
-
-def _quiet(t):
+    t = txn(spark, d)
     ends = t.select(F.col("sender").alias("account")).unionAll(t.select("receiver"))
     return ends.groupBy("account").agg(F.count("*").alias("transfers")).where("transfers <= 4")
 
@@ -72,33 +56,15 @@ def gr_undirected(spark, d):
     return pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-@query("gr_induced", f"""WITH {TXN_SQL}, {_LARGE}, {_labels_sql()} SELECT a.community, count(*) AS transfers, round(sum(amount), 2) AS flow FROM large JOIN l2 a ON a.account = sender JOIN l2 b ON b.account = receiver AND a.community = b.community WHERE sender <> receiver GROUP BY a.community""")
+@query("gr_induced", f"""WITH {TXN_SQL}, {_EDGES}, {_labels_sql()} SELECT a.community, count(*) AS transfers, round(sum(amount), 2) AS flow FROM txn JOIN l5 a ON a.account = sender JOIN l5 b ON b.account = receiver AND a.community = b.community WHERE sender <> receiver GROUP BY a.community""")
 def gr_induced(spark, d):
-    t = large(spark, d)
-    return _flows(t, G.label_propagation(G.adjacency(t), rounds=2))
-
-
-@query("gr_induced_all")
-def gr_induced_all(spark, d):
     t = txn(spark, d)
-    return _flows(t, G.label_propagation(G.adjacency(t)))
-
+    return G.induced(t, G.label_propagation(G.adjacency(t))).groupBy("community").agg(F.count("*").alias("transfers"), F.round(F.sum("amount"), 2).alias("flow"))
 
-def _flows(t, members):
-    return G.induced(t, members).groupBy("community").agg(F.count("*").alias("transfers"), F.round(F.sum("amount"), 2).alias("flow"))
 
-
-@query("set_roles", f"WITH {TXN_SQL}, {_LARGE}, s AS (SELECT DISTINCT sender AS a FROM large), t AS (SELECT DISTINCT receiver AS a FROM large) SELECT 'both' AS role, count(*) AS n FROM (SELECT a FROM s INTERSECT SELECT a FROM t) UNION ALL SELECT 'sends', count(*) FROM (SELECT a FROM s EXCEPT SELECT a FROM t) UNION ALL SELECT 'any', count(*) FROM (SELECT a FROM s UNION SELECT a FROM t)")
+@query("set_roles", f"WITH {TXN_SQL}, s AS (SELECT DISTINCT sender AS a FROM txn), t AS (SELECT DISTINCT receiver AS a FROM txn) SELECT 'both' AS role, count(*) AS n FROM (SELECT a FROM s INTERSECT SELECT a FROM t) UNION ALL SELECT 'sends', count(*) FROM (SELECT a FROM s EXCEPT SELECT a FROM t) UNION ALL SELECT 'any', count(*) FROM (SELECT a FROM s UNION SELECT a FROM t)")
 def set_roles(spark, d):
-    return _roles(large(spark, d))
-
-
-@query("set_roles_all", f"WITH {TXN_SQL}, s AS (SELECT DISTINCT sender AS a FROM txn), t AS (SELECT DISTINCT receiver AS a FROM txn) SELECT 'both' AS role, count(*) AS n FROM (SELECT a FROM s INTERSECT SELECT a FROM t) UNION ALL SELECT 'sends', count(*) FROM (SELECT a FROM s EXCEPT SELECT a FROM t) UNION ALL SELECT 'any', count(*) FROM (SELECT a FROM s UNION SELECT a FROM t)")
-def set_roles_all(spark, d):
-    return _roles(txn(spark, d))
-
-
-def _roles(t):
+    t = txn(spark, d)
     s, q = t.select(F.col("sender").alias("a")), t.select(F.col("receiver").alias("a"))
     counted = lambda df, role: df.agg(F.count("*").alias("n")).select(F.lit(role).alias("role"), "n")
     return counted(s.intersect(q), "both").unionAll(counted(s.subtract(q), "sends")).unionAll(counted(s.union(q).distinct(), "any"))
