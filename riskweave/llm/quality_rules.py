@@ -2,8 +2,9 @@
 
 Each text is measured. The measures of the texts that pass the base rules go into
 mergeable quantile sketches, by language and source: counts of logarithmic bins
-(relative error ERROR), which add up over partitions, and over groups where one
-is too small. No cutoff is fixed: a text is out where a measure lies beyond the
+(relative error ERROR), which add up over partitions, and over groups: to each
+group's sketch its language's is added with the weight of a fixed number of texts. No
+cutoff is fixed: a text is out where a measure lies beyond the
 upper quartile of its group by more than `reach` spreads (or, for word length,
 below the lower quartile by as much). The spread is the group's interquartile
 range, but not less than what chance does to a text of its size: a rate q over n
@@ -109,31 +110,53 @@ def sketch_measures(measured: DataFrame) -> DataFrame:
     return measured.select("lang", "source", pairs.alias("m")).groupBy("lang", "source", F.col("m.measure").alias("measure"), bins.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """by, measure, rows, q25 and q75, from sketches merged over all other columns."""
-    merged = sketches.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
-    group = W.partitionBy(*by, "measure")
-    upto = F.sum("n").over(group.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
-    ranked = merged.withColumn("upto", upto).withColumn("rows", F.sum("n").over(group))
-    value = F.coalesce(F.lit(2.0) * F.exp(F.col("bin") * F.lit(GAMMA)) / F.lit(math.exp(GAMMA) + 1), F.lit(0.0))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.col("rows") * q, value))
-    return ranked.groupBy(*by, "measure").agg(F.max("rows").alias("rows"), at(0.25).alias("q25"), at(0.75).alias("q75"))
+def _exact(*parts: Column | str) -> Column:
+    """Product of whole numbers that may be too large for a long."""
+    out = None
+    for part in parts:
+        value = (F.col(part) if isinstance(part, str) else part).cast("decimal(38,0)")
+        out = value if out is None else (out * value).cast("decimal(38,0)")
+    return out
+
 
+def blended(sketches: DataFrame, prior_rows: int) -> DataFrame:
+    """lang, source, measure, bin, weight: each group's sketch with that of its language, which counts as prior_rows rows however many it has, and has that of the whole corpus blended in likewise.
 
-def fences(sketches: DataFrame, *, min_rows: int = 100) -> DataFrame:
+    Weights are whole numbers, in units of their group.
+    """
+    prior, keys = F.lit(prior_rows), ["lang", "measure"]
+    group = sketches.groupBy("lang", "source", "measure", "bin").agg(F.sum("n").alias("n"))
+    lang = sketches.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    whole = sketches.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
+    of_whole = whole.groupBy("measure").agg(F.sum("n").alias("rows_w"))
+    of_lang = lang.groupBy(*keys).agg(F.sum("n").alias("rows_l")).join(of_whole, "measure")
+    # What a language weighs in all: (its rows + prior) times those of the corpus.
+    of_lang = of_lang.select(F.col("lang").alias("o_lang"), F.col("measure").alias("o_measure"), "rows_w", _exact(F.col("rows_l") + prior, "rows_w").alias("total"))
+    same = F.col("lang").eqNullSafe(F.col("o_lang")) & (F.col("measure") == F.col("o_measure"))
+    one = lang.join(of_lang, same).select("lang", "measure", "bin", _exact("n", "rows_w").alias("weight"))
+    two = of_lang.join(whole, F.col("measure") == F.col("o_measure")).select(F.col("o_lang").alias("lang"), "measure", "bin", _exact("n", prior).alias("weight"))
+    base = one.union(two).groupBy(*keys, "bin").agg(F.sum("weight").cast("decimal(38,0)").alias("weight"))
+    mine = group.join(of_lang, same).select("lang", "source", "measure", "bin", _exact("n", "total").alias("weight"))
+    groups = group.select("lang", "source", "measure").distinct()
+    shared = base.select(F.col("lang").alias("o_lang"), F.col("measure").alias("o_measure"), "bin", _exact("weight", prior).alias("weight"))
+    shared = groups.join(shared, same).select("lang", "source", "measure", "bin", "weight")
+    return mine.union(shared).groupBy("lang", "source", "measure", "bin").agg(F.sum("weight").cast("decimal(38,0)").alias("weight"))
+
+
+def fences(sketches: DataFrame, *, prior_rows: int = 100) -> DataFrame:
     """f_lang, f_source and, for each measure, the quartiles that its fences are set from.
 
-    A group of fewer than min_rows rows takes those of its language, and a
-    language of fewer those of the whole corpus.
+    They are those of the group's texts together with prior_rows texts spread as those
+    of its language are, so the fewer a group has, the more its language speaks for it,
+    without a size at which that turns.
     """
-    own = quartiles(sketches, ["lang", "source"])
-    by_lang = quartiles(sketches, ["lang"]).select(F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"), F.col("rows").alias("l_rows"), F.col("q25").alias("l25"), F.col("q75").alias("l75"))
-    whole = quartiles(sketches, []).select(F.col("measure").alias("w_measure"), F.col("q25").alias("w25"), F.col("q75").alias("w75"))
-    both = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))).join(whole, F.col("measure") == F.col("w_measure"))
-    pick = lambda a, b, c: F.when(F.col("rows") >= min_rows, F.col(a)).when(F.col("l_rows") >= min_rows, F.col(b)).otherwise(F.col(c))
-    both = both.select("lang", "source", "measure", pick("q25", "l25", "w25").alias("q25"), pick("q75", "l75", "w75").alias("q75"))
-    of = lambda name, q: F.max(F.when(F.col("measure") == name, F.col(q))).alias(f"{q}_{name}")
-    return both.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(*[of(name, q) for name in MEASURES for q in ("q25", "q75")])
+    by = W.partitionBy("lang", "source", "measure")
+    upto = F.sum("weight").over(by.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    ranked = blended(sketches, prior_rows).select("lang", "source", "measure", "bin", upto.alias("upto"), F.sum("weight").over(by).alias("all"))
+    value = F.coalesce(F.lit(2.0) * F.exp(F.col("bin") * F.lit(GAMMA)) / F.lit(math.exp(GAMMA) + 1), F.lit(0.0))
+    at = lambda name, k: F.min(F.when((F.col("measure") == name) & (_exact("upto", F.lit(4)) >= _exact("all", F.lit(k))), value))
+    quarters = [at(name, k).alias(f"{q}_{name}") for name in MEASURES for q, k in (("q25", 1), ("q75", 3))]
+    return ranked.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(*quarters)
 
 
 def within_fences(reach: float) -> Column:
@@ -147,12 +170,13 @@ def within_fences(reach: float) -> Column:
     return inside
 
 
-def judge_quality(docs: DataFrame, *, min_words: int = 50, reach: float = 4.0, min_rows: int = 100) -> DataFrame:
+def judge_quality(docs: DataFrame, *, min_words: int = 50, reach: float = 4.0, prior_rows: int = 100) -> DataFrame:
     """One row per input row: doc_id, counts, measures, base_failed, kept.
 
     base_failed: fewer than min_words words, or over half of them in repeated
     windows. kept: not base_failed and all measures within the fences of the
-    document's language and source, which those that pass the base rules set.
+    document's language and source, which those that pass the base rules set, together
+    with prior_rows texts spread as those of their language.
 
     Null and empty texts have no words and fail. Null languages and sources are
     groups of their own. Repeated rows count as often as they stand, and ties
@@ -160,7 +184,7 @@ def judge_quality(docs: DataFrame, *, min_words: int = 50, reach: float = 4.0, m
     gives an empty result; other columns are ignored, whatever their names.
     """
     measured = materialise(measure(docs), "measures")
-    limits = fences(materialise(sketch_measures(measured.where(~base_failure(min_words))), "quantile-sketches"), min_rows=min_rows)
+    limits = fences(materialise(sketch_measures(measured.where(~base_failure(min_words))), "quantile-sketches"), prior_rows=prior_rows)
     judged = measured.join(limits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     failed = base_failure(min_words)
     kept = ~failed & F.coalesce(within_fences(reach), F.lit(True))
@@ -175,12 +199,6 @@ def _sql() -> str:
     """The same result in DuckDB: the same bins, counted from measures taken word by word and line by line."""
     value = {"symbol_share": "n_symbols / nullif(word_chars, 0)", "dup_line_share": "n_dup_lines / nullif(n_lines, 0)", "repeat_share": "n_repeat_words / nullif(n_words, 0)", "word_length": "word_chars / nullif(n_words, 0)", "upper_share": "n_upper / nullif(word_chars, 0)"}
     pairs = " UNION ALL ".join(f"SELECT r, lang, source, '{name}' AS measure, coalesce({v}, 0)::DOUBLE AS value, greatest({MEASURES[name][0]}, 1)::DOUBLE AS n, {str(MEASURES[name][1]).lower()} AS lower FROM counted WHERE NOT base_failed" for name, v in value.items())
-    level = lambda name, by: f"""{name} AS (
-  SELECT {by}measure, max(total) AS rows, min(CASE WHEN upto >= total * 0.25::DOUBLE THEN v END) AS q25, min(CASE WHEN upto >= total * 0.75::DOUBLE THEN v END) AS q75 FROM (
-    SELECT *, sum(c) OVER (PARTITION BY {by}measure ORDER BY bin NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(c) OVER (PARTITION BY {by}measure) AS total,
-      coalesce(2.0::DOUBLE * exp(bin * {GAMMA!r}::DOUBLE) / {math.exp(GAMMA) + 1!r}::DOUBLE, 0) AS v
-    FROM (SELECT {by}measure, bin, count(*) AS c FROM binned GROUP BY ALL)) GROUP BY ALL
-)"""
     return rf"""
 WITH read AS (
   SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
@@ -200,10 +218,17 @@ WITH read AS (
     FROM read LEFT JOIN lines USING (r) LEFT JOIN repeated USING (r))
 ), pairs AS ({pairs}),
 binned AS (SELECT lang, source, measure, CASE WHEN value > 0 THEN ceil(ln(value) / {GAMMA!r}::DOUBLE) END AS bin FROM pairs),
-{level("own", "lang, source, ")}, {level("by_lang", "lang, ")}, {level("whole", "")},
+g AS (SELECT lang, source, measure, bin, count(*)::HUGEINT AS n FROM binned GROUP BY ALL), l AS (SELECT lang, measure, bin, count(*)::HUGEINT AS n FROM binned GROUP BY ALL), w AS (SELECT measure, bin, count(*)::HUGEINT AS n FROM binned GROUP BY ALL),
+tw AS (SELECT measure, sum(n)::HUGEINT AS n FROM w GROUP BY ALL), tl AS (SELECT lang, l.measure, max(tw.n) AS rows_w, (sum(l.n) + 100)::HUGEINT * max(tw.n) AS total FROM l JOIN tw USING (measure) GROUP BY ALL),
+base AS (SELECT lang, measure, bin, sum(weight)::HUGEINT AS weight FROM (
+  SELECT l.lang, l.measure, l.bin, l.n * tl.rows_w AS weight FROM l JOIN tl ON l.lang IS NOT DISTINCT FROM tl.lang AND l.measure = tl.measure UNION ALL SELECT tl.lang, w.measure, w.bin, w.n * 100 FROM tl JOIN w ON w.measure = tl.measure) GROUP BY ALL),
+mixed AS (SELECT lang, source, measure, bin, sum(weight)::HUGEINT AS weight FROM (
+  SELECT g.lang, g.source, g.measure, g.bin, g.n * tl.total AS weight FROM g JOIN tl ON g.lang IS NOT DISTINCT FROM tl.lang AND g.measure = tl.measure
+  UNION ALL SELECT k.lang, k.source, k.measure, base.bin, base.weight * 100 FROM (SELECT DISTINCT lang, source, measure FROM g) k JOIN base ON k.lang IS NOT DISTINCT FROM base.lang AND k.measure = base.measure) GROUP BY ALL),
 limits AS (
-  SELECT o.lang, o.source, o.measure, CASE WHEN o.rows >= 100 THEN o.q25 WHEN l.rows >= 100 THEN l.q25 ELSE w.q25 END AS q25, CASE WHEN o.rows >= 100 THEN o.q75 WHEN l.rows >= 100 THEN l.q75 ELSE w.q75 END AS q75
-  FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN whole w ON o.measure = w.measure
+  SELECT lang, source, measure, min(CASE WHEN upto * 4 >= total THEN v END) AS q25, min(CASE WHEN upto * 4 >= total * 3 THEN v END) AS q75 FROM (
+    SELECT *, (sum(weight) OVER (PARTITION BY lang, source, measure ORDER BY bin NULLS FIRST ROWS UNBOUNDED PRECEDING))::HUGEINT AS upto, (sum(weight) OVER (PARTITION BY lang, source, measure))::HUGEINT AS total,
+      coalesce(2.0::DOUBLE * exp(bin * {GAMMA!r}::DOUBLE) / {math.exp(GAMMA) + 1!r}::DOUBLE, 0) AS v FROM mixed) GROUP BY ALL
 ), outside AS (
   SELECT DISTINCT r FROM (
     SELECT r, value, lower, q25, q75, 4 * greatest(q75 - q25, sqrt((q75 + 1 / n) / n)) AS spread

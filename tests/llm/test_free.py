@@ -168,6 +168,16 @@ def test_fences_follow_their_group(spark):
     assert fences(sketch_measures(measure(docs).where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("few", [5, 99, 100, 101])
+def test_verdicts_do_not_turn_at_a_number_of_rows(spark, few):
+    """A second source with longer words is kept whether it has a few texts or a hundred; junk in it isn't."""
+    rng = random.Random(few)
+    rows = [(i, " ".join(f"{rng.randrange(10**4, 10**5)}" for _ in range(80)), "en", "short") for i in range(600)]
+    rows += [(1000 + i, " ".join(f"{rng.randrange(10**11, 10**12)}" for _ in range(80)), "en", "long") for i in range(few)] + [(5000, " ".join("x" * 90 + str(i) for i in range(80)), "en", "long")]
+    kept = {r.doc_id: r.kept for r in judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(kept[1000 + i] for i in range(few)) >= few - (few < 50) * few and sum(kept[i] for i in range(600)) >= 590 and not kept[5000]
+
+
 def labelled(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
