@@ -12,36 +12,39 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from riskweave.functions import scalars as S
+from riskweave.operators.graph import cut
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
 WINDOWS = {"1h": HOUR, "6h": 6 * HOUR, "24h": DAY, "7d": 7 * DAY, "30d": 30 * DAY}
-#: Length of the stretches in which the rows of one key are summed up.
-SPLIT = 30 * DAY
 
 
 def ordered(key: str = "sender") -> W:
     return W.partitionBy(key).orderBy("us", "tx_id")
 
 
-def running_sums(turns: DataFrame, key: str, names: list[str], split: int = SPLIT) -> DataFrame:
+def running_sums(turns: DataFrame, key: str, names: list[str], split: int | None = None) -> DataFrame:
     """The rows of turns that hold a _row, with running sums by key of _d_<name>, in order of _at (ties see each other), as <name>.
 
-    A key is summed up in stretches of `split` (in units of _at), to which the sums of
-    the stretches before are added: a key with very many rows is many tasks, and time
-    grows with the rows alone.
+    Time grows with the rows alone, and a key is one sort. With split, a key is summed
+    up in stretches of that length (in units of _at), to which the sums of the stretches
+    before are added, so that a key with a large share of all rows is many tasks; turns
+    are written out for that, as they are read twice.
     """
+    if split is None:
+        upto = W.partitionBy(key).orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
+        return turns.select("_row", *[F.sum(f"_d_{n}").over(upto).alias(n) for n in names]).where(F.col("_row").isNotNull())
     upto = W.partitionBy(key, "_stretch").orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
-    dealt = turns.withColumn("_stretch", F.floor(F.col("_at") / split))
+    dealt = cut(turns.withColumn("_stretch", F.floor(F.col("_at") / split)))
     totals = dealt.groupBy(F.col(key).alias("_k"), F.col("_stretch").alias("_s")).agg(*[F.sum(f"_d_{n}").alias(f"_t_{n}") for n in names])
     before = W.partitionBy("_k").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
     ahead = totals.select("_k", "_s", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in names])
     inner = dealt.select(key, "_stretch", "_row", *[F.sum(f"_d_{n}").over(upto).alias(f"_i_{n}") for n in names]).where(F.col("_row").isNotNull())
     met = inner.join(ahead, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_stretch") == F.col("_s")))
-    return met.select("_row", *[(F.col(f"_i_{n}") + F.col(f"_t_{n}")).alias(n) for n in names])
+    return met.select("_row", *[(F.col(f"_i_{n}") + F.coalesce(f"_t_{n}", F.lit(0))).alias(n) for n in names])
 
 
-def trailing_sums(txn: DataFrame, key: str, measures: dict[str, tuple[Column, int]], split: int = SPLIT) -> DataFrame:
+def trailing_sums(txn: DataFrame, key: str, measures: dict[str, tuple[Column, int]], split: int | None = None) -> DataFrame:
     """txn with, for each name, the sum of a whole-number column over the row's trailing frame [us - width, us] of its key.
 
     A row adds its number when it comes and takes it back width + 1 later; both are
@@ -125,7 +128,7 @@ def ratios(txn: DataFrame) -> DataFrame:
     return with_ratios(trailing_sums(txn, "sender", ratio_measures()))
 
 
-def frame_sums(txn: DataFrame, key: str, value: str, width: int, measures: dict, split: int = SPLIT) -> DataFrame:
+def frame_sums(txn: DataFrame, key: str, value: str, width: int, measures: dict, split: int | None = None) -> DataFrame:
     """txn with, for each name and function f in measures, the sum of f(n) over the values in the row's trailing frame, n being how often each stands there; f(0) is 0. In place of f, (f, width) gives a measure another width.
 
     A value's count changes when a row with it comes, and width + 1 later. Running
@@ -136,17 +139,17 @@ def frame_sums(txn: DataFrame, key: str, value: str, width: int, measures: dict,
     """
     plan = {name: f if isinstance(f, tuple) else (f, width) for name, f in measures.items()}
     widths = sorted({w for _, w in plan.values()})
-    moves = txn.where(F.col(value).isNotNull()).select(F.col(key), F.col(value).alias("_v"), F.col("us").alias("_us"))
-    moves = moves.select(key, "_v", "_us", F.explode(F.array(F.lit(-1).cast("long"), *[F.lit(w).cast("long") for w in widths])).alias("_w"))
-    change = lambda w: F.when(F.col("_w") == -1, 1).when(F.col("_w") == w, -1).otherwise(0)
-    moves = moves.select(key, "_v", (F.col("_us") + F.col("_w") + 1).alias("_at"), *[change(w).alias(f"_c{w}") for w in widths]).repartition(F.col(key), F.col("_v"))
-    moves = moves.groupBy(key, "_v", "_at").agg(*[F.sum(f"_c{w}").alias(f"_c{w}") for w in widths])
-    upto = W.partitionBy(key, "_v").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
-    counted = moves.select(key, "_at", *[F.col(f"_c{w}") for w in widths], *[F.sum(f"_c{w}").over(upto).alias(f"_n{w}") for w in widths])
-    steps = counted.groupBy(key, "_at").agg(*[F.sum(f(F.col(f"_n{w}")) - f(F.col(f"_n{w}") - F.col(f"_c{w}"))).alias(f"_d_{name}") for name, (f, w) in plan.items()])
-    row = F.struct(*txn.columns)
-    turns = steps.select(F.lit(None).cast(txn.select(row.alias("r")).schema["r"].dataType).alias("_row"), key, "_at", *[f"_d_{name}" for name in plan])
-    turns = turns.unionByName(txn.select(row.alias("_row"), key, F.col("us").alias("_at"), *[F.lit(0).cast("long").alias(f"_d_{name}") for name in plan]))
+    given = txn.select(F.struct(*txn.columns).alias("_row"), F.col(key), F.col(value).alias("_v"), F.col("us").alias("_us"))
+    moves = given.select("*", F.explode(F.array(F.lit(-1).cast("long"), *[F.lit(w).cast("long") for w in widths])).alias("_w")).where((F.col("_w") == -1) | F.col("_v").isNotNull())
+    change = lambda w: F.when(F.col("_v").isNull(), 0).when(F.col("_w") == -1, 1).when(F.col("_w") == w, -1).otherwise(0)
+    moves = moves.select(F.when(F.col("_w") == -1, F.col("_row")).alias("_row"), key, "_v", "_w", (F.col("_us") + F.col("_w") + 1).alias("_at"), *[change(w).alias(f"_c{w}") for w in widths])
+    # Dealt by key alone, one shuffle serves the windows by key and value as well.
+    moves = moves.repartition(F.col(key)) if split is None else moves.repartition(F.col(key), F.col("_v"))
+    here, upto = W.partitionBy(key, "_v", "_at"), W.partitionBy(key, "_v").orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
+    first = F.row_number().over(here.orderBy("_w")) == 1
+    counted = moves.select("_row", key, "_at", (first & F.col("_v").isNotNull()).alias("_first"), *[F.sum(f"_c{w}").over(here.orderBy("_w").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias(f"_c{w}") for w in widths], *[F.sum(f"_c{w}").over(upto).alias(f"_n{w}") for w in widths])
+    worth = lambda f, w: f(F.col(f"_n{w}")) - f(F.col(f"_n{w}") - F.col(f"_c{w}"))
+    turns = counted.select("_row", key, "_at", *[F.when(F.col("_first"), worth(f, w)).alias(f"_d_{name}") for name, (f, w) in plan.items()])
     return running_sums(turns, key, list(plan), split).select("_row.*", *[F.coalesce(name, F.lit(0)).cast("double").alias(name) for name in plan])
 
 
@@ -179,7 +182,7 @@ def travel(txn: DataFrame) -> DataFrame:
     return out.withColumn("impossible_travel_flag", S.impossible_travel(F.col("geo_distance_km"), F.col("tx_gap_seconds")))
 
 
-def switches(txn: DataFrame, split: int = SPLIT) -> DataFrame:
+def switches(txn: DataFrame, split: int | None = None) -> DataFrame:
     """Changes between neighbours that both lie in the trailing week: running changes less those whose former row has left it."""
     names = {"country": "country_switch_count_7d", "device": "device_change_count_7d"}
     before = F.lag("us").over(ordered())

