@@ -28,7 +28,7 @@ def plogp(x: Column) -> Column:
 def flows(weighted: DataFrame, *, damping: float = 0.85) -> DataFrame:
     """u, v, f: the walker's share of steps over each link (u <> v), summing up to 1. weighted: u, v, weight."""
     weighted = cut(weighted.where((F.col("u") != F.col("v")) & (F.col("weight") > 0)).groupBy("u", "v").agg(F.sum("weight").alias("weight")))
-    ranks = pagerank(weighted, damping=damping, rounds=60, tolerance=1e-7)
+    ranks = pagerank(weighted, damping=damping, rounds=60, tolerance=1e-6)
     out = weighted.groupBy(F.col("u").alias("o")).agg(F.sum("weight").alias("total"))
     steps = weighted.join(out, F.col("u") == F.col("o")).join(ranks, F.col("u") == F.col("account"))
     steps = cut(steps.select("u", "v", (F.col("pagerank") * F.col("weight") / F.col("total")).alias("f")))

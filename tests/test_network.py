@@ -296,17 +296,23 @@ def test_tree_attributions_equal_shapley_values(spark):
         rows = TS.tree_attributions(data.where("id < 6"), columns, model, top=6).orderBy("id").collect()
         trees, weights = model.trees, list(getattr(model, "treeWeights", [1.0] * 9))
 
-        def value(node, row, known):
+        def read(node):
             if node.getClass().getSimpleName() == "LeafNode":
-                return node.prediction()
-            split, left, right = node.split(), node.leftChild(), node.rightChild()
-            if split.featureIndex() in known:
-                return value(left if row[split.featureIndex()] <= split.threshold() else right, row, known)
-            n, m = left.impurityStats().count(), right.impurityStats().count()
-            return (n * value(left, row, known) + m * value(right, row, known)) / (n + m)
+                return (node.impurityStats().count(), node.prediction())
+            return (node.impurityStats().count(), node.split().featureIndex(), node.split().threshold(), read(node.leftChild()), read(node.rightChild()))
+
+        def value(node, row, known):
+            if len(node) == 2:
+                return node[1]
+            _, f, cut, left, right = node
+            if f in known:
+                return value(left if row[f] <= cut else right, row, known)
+            return (left[0] * value(left, row, known) + right[0] * value(right, row, known)) / (left[0] + right[0])
+
+        roots = [read(t._java_obj.rootNode()) for t in trees]
 
         for i, r in enumerate(rows):
-            game = lambda known, row=x[i]: sum(w * value(t._java_obj.rootNode(), row, known) for t, w in zip(trees, weights, strict=False))
+            game = lambda known, row=x[i]: sum(w * value(t, row, known) for t, w in zip(roots, weights, strict=False))
             got = {f.feature: f.value for f in r.top_features}
             assert [got[c] for c in columns] == pytest.approx(list(brute_shapley(game, 6)), abs=1e-9)
             assert r.margin == pytest.approx(game(set(range(6)))) and r.base_value == pytest.approx(game(set()))
