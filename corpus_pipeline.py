@@ -8,7 +8,7 @@ tables pass through all stages. Texts of any length are treated whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import blank_word_count, broadcast_if, materialise, table
@@ -65,14 +65,27 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: rows that it takes, with the number of copies and of words taken (columns of these names are replaced).
 
-    Texts without words aren't taken. Rows alike in doc_id, source and number of
-    words are interchangeable and carry the largest number of copies of them.
+    Texts without words aren't taken. Of rows alike in doc_id, source and number of
+    words (ties) the first by text get the larger numbers of copies, so that together
+    they take what the mix gives them.
     """
     docs = docs.drop("copies", "taken")
-    key = mix_to_targets(docs, keep=("source",)).where(F.col("copies") > 0)
-    taken = materialise(key.groupBy(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size")).agg(F.max("copies").alias("copies"), F.max("taken").alias("taken")), "taken")
-    same = docs["doc_id"].eqNullSafe(taken["t_id"]) & docs["source"].eqNullSafe(taken["t_source"]) & (blank_word_count(docs["text"]) == taken["t_size"])
-    return docs.join(broadcast_if(taken, taken.count(), BROADCAST_ROWS // 4), same).select(*[docs[c] for c in docs.columns], taken["copies"], taken["taken"])
+    key = materialise(mix_to_targets(docs, keep=("source",)).select(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size"), "copies"), "copies")
+    groups = key.groupBy("t_id", "t_source", "t_size").agg(F.min("copies").alias("least"), F.max("copies").alias("copies"))
+    groups = materialise(groups.where(F.col("copies") > 0), "taken")
+    same = docs["doc_id"].eqNullSafe(groups["t_id"]) & docs["source"].eqNullSafe(groups["t_source"]) & (blank_word_count(docs["text"]) == groups["t_size"])
+    met = docs.join(broadcast_if(groups, groups.count(), BROADCAST_ROWS // 4), same)
+    even = met.where(groups["least"] == groups["copies"]).select(*[docs[c] for c in docs.columns], groups["copies"], (groups["copies"] * groups["t_size"]).alias("taken"))
+    uneven = groups.where(F.col("least") < F.col("copies"))
+    if uneven.isEmpty():
+        return even
+    # Rows alike of which not all have as many copies are numbered, by copies there and by text here.
+    mine = key.join(uneven.select("t_id", "t_source", "t_size").toDF("u_id", "u_source", "u_size"), F.col("t_id").eqNullSafe(F.col("u_id")) & F.col("t_source").eqNullSafe(F.col("u_source")) & (F.col("t_size") == F.col("u_size")), "left_semi")
+    mine = mine.select(F.col("t_id").alias("n_id"), F.col("t_source").alias("n_source"), F.col("t_size").alias("n_size"), F.col("copies").alias("n_copies"), F.row_number().over(W.partitionBy("t_id", "t_source", "t_size").orderBy(F.desc("copies"))).alias("n_place"))
+    place = F.row_number().over(W.partitionBy(groups["t_id"], groups["t_source"], groups["t_size"]).orderBy(F.md5(docs["text"])))
+    rows = met.where(groups["least"] < groups["copies"]).select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), groups["t_id"], groups["t_source"], groups["t_size"], place.alias("place"))
+    given = rows.join(mine, rows["t_id"].eqNullSafe(mine["n_id"]) & rows["t_source"].eqNullSafe(mine["n_source"]) & (rows["t_size"] == mine["n_size"]) & (rows["place"] == mine["n_place"]))
+    return even.unionByName(given.where(F.col("n_copies") > 0).select("row.*", F.col("n_copies").alias("copies"), (F.col("n_copies") * F.col("n_size")).alias("taken")))
 
 
 STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix)]
