@@ -126,3 +126,20 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(columns) == sorted(df.columns)
     plain = lambda v: float(f"{v:.9g}") if isinstance(v, float) else v
     assert sorted(repr([plain(r[c]) for c in columns]) for r in got) == sorted(repr([plain(v) for v in r]) for r in cursor.fetchall())
+
+
+def test_alike_rows_take_what_the_mix_gives_them(spark):
+    """Rows alike in doc_id, source and size, of which not all have as many copies: together they keep to the budget."""
+    import corpus_pipeline as P
+    from riskweave.llm.fair_mix import mix_to_targets
+
+    rows = [(None if i % 2 else 7, f"same size {i} words " + "x " * 6, "s" if i % 3 else None) for i in range(300)] + [(9, "one other text", "s"), (9, "one other text", "s"), (10, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    given = mix_to_targets(docs, keep=("source",)).agg({"taken": "sum", "copies": "sum"}).first()
+    got = P.mix(spark, docs, WHERE)
+    assert got.columns == ["doc_id", "text", "source", "copies", "taken"]
+    sums = got.agg({"taken": "sum", "copies": "sum"}).first()
+    assert (sums["sum(taken)"], sums["sum(copies)"]) == (given["sum(taken)"], given["sum(copies)"])
+    assert got.count() <= len(rows) and got.where("copies > 2 or taken <> copies * size(split(trim(text), ' +'))").count() == 0
+    again = P.mix(spark, docs, WHERE)
+    assert again.exceptAll(got).count() == 0 and got.where("text = ''").count() == 0
