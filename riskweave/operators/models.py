@@ -35,6 +35,26 @@ def hash_split(df: DataFrame, key: str, label: str, shares: tuple[float, ...] =
     return df.withColumn("part", part if chain is None else chain.otherwise(part))
 
 
+def stratified_split(df: DataFrame, key: str, label: str, shares: tuple[float, ...] = (0.6, 0.2, 0.2)) -> DataFrame:
+    """df with part (0, 1, ..): of each label the same shares to the nearest row, in order of the key's md5; null is a label too.
+
+    Rows are counted in 4096 parts of a label, so that no task sorts all of it. Equal
+    keys may fall apart.
+    """
+    order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    dealt = df.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, 3))
+    inside = F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", key)) - 1
+    sizes = dealt.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
+    by = W.partitionBy("_l")
+    sizes = sizes.select("_l", "_c", (F.sum("_n").over(by.orderBy("_c")) - F.col("_n")).alias("_ahead"), F.sum("_n").over(by).alias("_all"))
+    met = dealt.withColumn("_i", inside).join(sizes, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_c"))).withColumn("_at", F.col("_i") + F.col("_ahead"))
+    part, upto = F.lit(0), 0.0
+    for share in shares[:-1]:
+        upto += share
+        part = part + (F.col("_at") >= F.floor(F.col("_all") * upto + 0.5)).cast("int")
+    return met.select(*df.columns, part.alias("part"))
+
+
 def class_weight(df: DataFrame, label: str = "label") -> DataFrame:
     """df with weight: positives weigh as much together as negatives."""
     sums = df.agg(F.sum((F.col(label) == 0).cast("long")).alias("_neg"), F.sum((F.col(label) == 1).cast("long")).alias("_pos"))
@@ -77,7 +97,7 @@ class SupervisedScorer:
 
 
 def attributions(df: DataFrame, importance: list[tuple[str, float]], top: int = 15) -> DataFrame:
-    """df (with z_<column>) with top_features: importance times standardised value, by size. A stand-in for tree path attributions."""
+    """df (with z_<column>) with top_features: importance times standardised value, by size. Cheaper than tree_shap's, and cruder."""
     parts = F.array(*[F.struct((-F.abs(F.col(f"z_{c}") * w)).alias("order"), F.lit(c).alias("feature"), (F.col(f"z_{c}") * w).alias("value")) for c, w in importance])
     return df.withColumn("top_features", F.transform(F.slice(F.array_sort(parts), 1, top), lambda x: F.struct(x["feature"], x["value"])))
 

@@ -10,9 +10,12 @@ from riskweave.operators import flow as FL
 from riskweave.operators import graph as G
 from riskweave.operators import live_graph as L
 from riskweave.operators import suspicious as X
+from riskweave.operators import behaviour as B
+from riskweave.operators import models as M
 from riskweave.operators import networks as NN
+from riskweave.operators import tree_shap as TS
 from riskweave.plans.queries_core import _COUNTS, _EDGES, TXN_SQL, D, _densest_sql, _labels_sql, chi2_sql, query, r
-from riskweave.plans.queries_risk import _streamed
+from riskweave.plans.queries_risk import COLUMNS, _streamed, modelled
 from riskweave.sources.tables import txn
 from riskweave.streaming import keyed as K
 
@@ -164,3 +167,27 @@ def ml_partner_embeddings(spark, d):
     edges = G.cut(G.adjacency(t))
     nodes = G.cut(NN.node_features(G.degrees(t), ["in_degree", "out_degree", "in_unique", "out_unique"]))
     return NN.PartnerEmbeddings(epochs=3).fit(nodes, edges).embed(nodes, edges)
+
+
+@query("ml_split", f"""WITH {TXN_SQL}, l AS (SELECT tx_id, (fmod(amount, 7) < 1)::INT AS label FROM txn), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(tx_id::VARCHAR), tx_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM l)
+  SELECT tx_id, label, (i >= floor(n * 0.6::DOUBLE + 0.5))::INT + (i >= floor(n * 0.8::DOUBLE + 0.5))::INT AS part FROM k""")
+def ml_split(spark, d):
+    labelled = txn(spark, d).select("tx_id", (F.col("amount") % 7 < 1).cast("int").alias("label"))
+    return M.stratified_split(labelled, "tx_id", "label")
+
+
+@query("ml_attributions")
+def ml_attributions(spark, d):
+    """Why a booster scores each transfer as it does."""
+    from pyspark.ml.classification import GBTClassifier
+
+    data = M.assemble(M.class_weight(G.cut(M.stratified_split(modelled(spark, d), "tx_id", "label"))), COLUMNS)
+    model = GBTClassifier(maxIter=5, maxDepth=4, stepSize=0.1, weightCol="weight", seed=42).fit(data.where("part = 0"))
+    return TS.tree_attributions(data, COLUMNS, model, top=5).select("tx_id", "base_value", "margin", "top_features")
+
+
+@query("ml_autoencoder")
+def ml_autoencoder(spark, d):
+    data = G.cut(B.standardise(modelled(spark, d).select("tx_id", *COLUMNS), COLUMNS))
+    z = [f"z_{c}" for c in COLUMNS]
+    return NN.Autoencoder(z, hidden=16, code=4, epochs=3).fit(data, "tx_id").score(data).select("tx_id", "mse", "drivers")

@@ -92,3 +92,11 @@ def test_drawn_partners_and_numbers(spark):
     assert {r.account: r["count"] for r in got.collect()} == {0: 8, **{i: 2 if i in (5, 6) else 1 for i in range(1, 300)}}
     ids = N.numbered(edges.select(F.col("u").alias("account")).union(edges.select("v")), 3).collect()
     assert sorted(r.i for r in ids) == list(range(len(ids))) and len(ids) == 300
+
+
+def test_stratified_split_is_exact(spark):
+    rows = [(i, i % 10 == 0 if i < 900 else None) for i in range(1000)]
+    got = M.stratified_split(spark.createDataFrame(rows, "id long, label boolean"), "id", "label").collect()
+    assert len(got) == 1000
+    counts = {(label, part): sum(r.label == label and r.part == part for r in got) for label in (True, False, None) for part in range(3)}
+    assert counts == {(True, 0): 54, (True, 1): 18, (True, 2): 18, (False, 0): 486, (False, 1): 162, (False, 2): 162, (None, 0): 60, (None, 1): 20, (None, 2): 20}
