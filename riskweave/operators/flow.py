@@ -46,7 +46,7 @@ def _nodes(links: DataFrame, own: DataFrame) -> DataFrame:
 def _modules(nodes: DataFrame, links: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """module, p, exit, enter; and the links between modules (mu, mv, f)."""
     at = lambda node, name: placed.select(F.col("node").alias(node), F.col("module").alias(name))
-    across = cut(links.join(at("u", "mu"), "u").join(at("v", "mv"), "v").where(F.col("mu") != F.col("mv")).groupBy("mu", "mv").agg(F.sum("f").alias("f")))
+    across = links.join(at("u", "mu"), "u").join(at("v", "mv"), "v").where(F.col("mu") != F.col("mv")).groupBy("mu", "mv").agg(F.sum("f").alias("f"))
     ends = across.select(F.col("mu").alias("module"), F.lit(0.0).alias("p"), F.col("f").alias("exit"), F.lit(0.0).alias("enter")).union(across.select("mv", F.lit(0.0), F.lit(0.0), "f"))
     ends = ends.union(nodes.join(placed, "node").select("module", "p", F.lit(0.0), F.lit(0.0)))
     return cut(ends.groupBy("module").agg(F.sum("p").alias("p"), F.sum("exit").alias("exit"), F.sum("enter").alias("enter"))), across
@@ -81,7 +81,7 @@ def _moves(nodes: DataFrame, links: DataFrame, placed: DataFrame, modules: DataF
     return cut(best.select("node", (-F.col("best.less")).alias("module")))
 
 
-def flow_communities(weighted: DataFrame, *, damping: float = 0.85, turns: int = 40, least_share: int = 16) -> tuple[DataFrame, list[float]]:
+def flow_communities(weighted: DataFrame, *, damping: float = 0.85, turns: int = 16, least_share: int = 8) -> tuple[DataFrame, list[float]]:
     """account, community (its least account); and the code length at the start and after each round that shortened it.
 
     weighted: u, v, weight (several rows of a pair add up; loops and weights of zero
@@ -121,7 +121,7 @@ def flow_communities(weighted: DataFrame, *, damping: float = 0.85, turns: int =
         if not moved:
             break
         tree = cut(tree.join(placed, F.col("community") == F.col("node")).select("account", F.col("module").alias("community")))
-        links = across.select(F.col("mu").alias("u"), F.col("mv").alias("v"), "f")
+        links = cut(across.select(F.col("mu").alias("u"), F.col("mv").alias("v"), "f"))
         nodes = _nodes(links, modules.select(F.col("module").alias("node"), "p"))
     names = tree.groupBy("community").agg(F.min("account").alias("least"))
     return tree.join(names, "community").select("account", F.col("least").alias("community")), lengths

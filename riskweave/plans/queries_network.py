@@ -113,7 +113,7 @@ def gr_longest_cycles_of_communities(spark, d):
 
 @query("gr_flow_communities")
 def gr_flow_communities(spark, d):
-    return FL.flow_communities(_main_flows(spark, d))[0]
+    return FL.flow_communities(_main_flows(spark, d), turns=6, least_share=4)[0]
 
 
 _FIELDS = ("sender_in_degree", "sender_out_degree", "sender_in_degree_unique", "sender_out_degree_unique", "sender_2hop_cycle_count", "sender_3hop_cycle_count", "receiver_in_degree", "receiver_out_degree")
