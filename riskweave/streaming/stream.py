@@ -13,9 +13,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
-def event_stream(spark: SparkSession, path: str, *, files: int = 1, watermark: str = "1 hour") -> DataFrame:
-    """Parquet files of events under path, in arrival order, with a watermark on ts."""
-    raw = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files).parquet(path)
+def event_stream(spark: SparkSession, path: str, *, files: int | None = 1, watermark: str = "1 hour") -> DataFrame:
+    """Parquet files of events under path, in arrival order, with a watermark on ts.
+
+    A stored table's files are in no order of time, and what comes behind the watermark
+    is dropped where state expires: with files=None all that is there is one batch.
+    """
+    reader = spark.readStream.schema(EVENT)
+    raw = (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
@@ -35,7 +40,8 @@ def velocity_state(stream: DataFrame, days: int = 30) -> DataFrame:
     """event_id, user_id, velocity_1h, gap_seconds of each event from keyed state.
 
     State: times of the last hour, which are pruned as time goes on, and the last
-    time seen, which outlives them and goes after `days` without events.
+    time seen, which outlives them and goes after `days` without events. An account's
+    events of a batch may come in several frames, and are put in order over all of them.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -44,12 +50,11 @@ def velocity_state(stream: DataFrame, days: int = 30) -> DataFrame:
             return
         recent, last = state.get if state.exists else ([], None)
         rows = []
-        for frame in frames:
-            for event, ts in sorted(zip(frame["event_id"], frame["ts"], strict=True), key=lambda x: (x[1], x[0])):
-                us = int(ts.value // 1000)
-                recent = [t for t in recent if t >= us - 3_600_000_000] + [us]
-                rows.append((event, key[0], len(recent), max(0.0, (us - last) / 1e6) if last is not None else 0.0))
-                last = us
+        for event, ts in sorted((x for frame in frames for x in zip(frame["event_id"], frame["ts"], strict=True)), key=lambda x: (x[1], x[0])):
+            us = int(ts.value // 1000)
+            recent = [t for t in recent if t >= us - 3_600_000_000] + [us]
+            rows.append((event, key[0], len(recent), max(0.0, (us - last) / 1e6) if last is not None else 0.0))
+            last = us
         state.update((recent, last))
         state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + days * 86_400_000)
         yield pd.DataFrame(rows, columns=["event_id", "user_id", "velocity_1h", "gap_seconds"])
