@@ -344,3 +344,39 @@ def test_profiles_and_paths(spark):
     ring = spark.createDataFrame([(1, a, b) for a in range(5) for b in range(5) if a != b], "community long, u long, v long")
     every = sorted((len(c), [*c, c[0]]) for k in (2, 3, 4, 5) for c in itertools.permutations(range(5), k) if c[0] == min(c))
     assert [(r.length, r.path) for r in X.short_cycles(ring, cap=30).orderBy("length", "path").collect()] == every[:30]
+
+
+def test_betweenness_in_blocks_and_chunks(spark, monkeypatch):
+    from riskweave.operators import shortest
+
+    monkeypatch.setattr(shortest, "CELL", 60)
+    monkeypatch.setattr(shortest, "ROOM", 8 * 40 * 15)
+    monkeypatch.setattr(shortest, "PIECE", 100)
+    rng = random.Random(2)
+    edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(200)}
+    edges = {(u, v) for u, v in edges if u != v}
+    got = {r.account: r.betweenness for r in G.betweenness(edge_frame(spark, edges)).collect()}
+    want = brute_betweenness(sorted({x for e in edges for x in e}), edges)
+    assert got.keys() == want.keys() and all(math.isclose(got[v], want[v], abs_tol=1e-12) for v in want)
+
+
+@pytest.mark.parametrize("cell", [20, 2_000_000])
+def test_openings_by_definition(spark, monkeypatch, cell):
+    """With loops, pairs both ways, a hub, and paths that return to where they were."""
+    from riskweave.operators import openings as O
+
+    monkeypatch.setattr(O, "CELL", cell)
+    rng = random.Random(4)
+    first = {(rng.randrange(14), rng.randrange(14)): rng.randrange(1000) for _ in range(60)} | {(0, i): rng.randrange(1000) for i in range(9)}
+    got = {(r.r, r.s): (r.at1, r.at2, r.at3) for r in O.openings(spark.createDataFrame([(u, v, at) for (u, v), at in first.items()], "u long, v long, at long")).collect()}
+    two, three = {}, {}
+    for (a, b), x in first.items():
+        for (c, e), y in first.items():
+            if b == c:
+                two[a, e] = min(two.get((a, e), 9999), max(x, y))
+    for (a, b), x in first.items():
+        for (c, e), y in two.items():
+            if b == c:
+                three[a, e] = min(three.get((a, e), 9999), max(x, y))
+    for s, r in first:
+        assert got.get((r, s), (None, None, None)) == (first.get((r, s)), two.get((r, s)), three.get((r, s)))
