@@ -380,3 +380,9 @@ def test_openings_by_definition(spark, monkeypatch, cell):
                 three[a, e] = min(three.get((a, e), 9999), max(x, y))
     for s, r in first:
         assert got.get((r, s), (None, None, None)) == (first.get((r, s)), two.get((r, s)), three.get((r, s)))
+
+
+def test_wedges_are_lists(spark):
+    """No step is joined with the steps beside it: of a plan over triangles, each row is one step with a list."""
+    plan = G.triangles(edge_frame(spark, {(1, 2), (2, 3), (3, 1), (1, 4)}))._jdf.queryExecution().analyzed().toString()
+    assert "array_intersect" in plan and "hb" not in plan
