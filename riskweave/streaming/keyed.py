@@ -56,11 +56,15 @@ class AccountFeatures(StatefulProcessor):
         recent = [r[0] for r in self.recent.get()] if self.recent.exists() else []
         n, first, last = self.total.get() if self.total.exists() else (0, None, None)
         ring = [tuple(r) for r in self.ring.get()] if self.ring.exists() else []
+        # Each type met is asked for and written once a call, not once a row: each is a trip to the store.
+        met = {}
+        for kind in {r.event_type for r in rows}:
+            met[kind] = self.types.getValue((kind,))[0] if self.types.containsKey((kind,)) else 0
         out = []
         for r in rows:
             us = int(pd.Timestamp(r.ts).value // 1000)
-            new = not self.types.containsKey((r.event_type,))
-            self.types.updateValue((r.event_type,), (1 if new else self.types.getValue((r.event_type,))[0] + 1,))
+            new = not met[r.event_type]
+            met[r.event_type] += 1
             recent = [t for t in recent if t >= us - HOUR] + [us]
             gap = max(0.0, (us - last) / 1e6) if last is not None else 0.0
             n, first, last = n + 1, us if first is None else min(first, us), us if last is None else max(last, us)
@@ -70,6 +74,8 @@ class AccountFeatures(StatefulProcessor):
             self.recent.put([(t,) for t in recent])
             self.total.update((n, first, last))
             self.ring.put(ring)
+            for kind, times in met.items():
+                self.types.updateValue((kind,), (times,))
         return out
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803

@@ -108,3 +108,38 @@ def test_velocity_of_files_in_no_order_of_time(spark, tmp_path):
         spark.createDataFrame(part, schema).repartition(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
     got = sorted((r.event_id, r.user_id, r.velocity_1h, r.gap_seconds) for r in QUERIES["str_velocity"](spark, str(tmp_path)).collect())
     assert got == [(event, user, recent, gap) for event, user, _, recent, gap, _, _ in replayed(rows)]
+
+
+def test_types_are_asked_for_once_a_call():
+    """A hundred events of two types cost as many trips to the store as two do."""
+
+    class Held:
+        def __init__(self):
+            self.values, self.trips = {}, 0
+
+        def exists(self):
+            return False
+
+        def put(self, value):
+            pass
+
+        update = put
+
+        def containsKey(self, key):  # noqa: N802
+            self.trips += 1
+            return key in self.values
+
+        def getValue(self, key):  # noqa: N802
+            self.trips += 1
+            return self.values[key]
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.trips += 1
+            self.values[key] = value
+
+    features = K.AccountFeatures()
+    features.recent, features.total, features.types, features.ring = (Held() for _ in range(4))
+    events = pd.DataFrame([(i, BASE + dt.timedelta(seconds=i), 1, "ab"[i % 2], 1.0, 1) for i in range(100)], columns=list(K.EVENT_COLUMNS))
+    out = features._taken(K._in_order(iter([events])))
+    assert [r[5] for r in out] == [True, True] + [False] * 98
+    assert features.types.values == {("a",): (50,), ("b",): (50,)} and features.types.trips == 4
