@@ -86,6 +86,42 @@ def test_embeddings_tell_held_out_links(spark):
     assert auc > 0.7 and model.losses[-1] < model.losses[0]
 
 
+def test_training_writes_no_row_a_pair_with_neighbourhoods(spark, monkeypatch):
+    """Gradients by cells and slices are those of whole rows, and what is written of neighbourhoods has a row an account at most."""
+    rng, n = np.random.default_rng(8), 60
+    pairs = [(a, b) for a in range(n) for b in range(a) if rng.random() < 0.4]
+    nodes = N.node_features(spark.createDataFrame([(i, float(i % 7)) for i in range(n)], "account long, degree double"), ["degree"], marks=3)
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    written, cut = [], N.cut
+
+    def watched(df):
+        out = cut(df)
+        written.append(out)
+        return out
+
+    monkeypatch.setattr(N, "cut", watched)
+    monkeypatch.setattr(N, "CELL", 60, raising=False)
+    monkeypatch.setattr(N, "SLICE", 7, raising=False)
+    model = N.PartnerEmbeddings(epochs=1, batches=2, hidden=5, size=4).fit(nodes, edges)
+    assert all(f.count() <= n for f in written if any(c.startswith(("own", "others")) for c in f.columns))
+
+    around = {r.account: r for r in N._neighbourhoods(nodes, N.sampled_partners(edges, partners=8, seed=42)).collect()}
+    place = {(r.b, r.i): r.account for f in written if f.columns == ["account", "b", "i"] for r in f.collect()}
+    cells = next(f for f in written if "ia" in f.columns)
+    slices = next(f for f in written if "counts" in f.columns)
+    assert cells.count() > 8 and slices.count() > 8
+    rows = []
+    for c in cells.collect():
+        for i, j, y in zip(np.frombuffer(c.ia, np.int32), np.frombuffer(c.ib, np.int32), np.frombuffer(c.y, np.int8), strict=True):
+            a, b = around[place[c.ba, i]], around[place[c.bb, j]]
+            rows.append({"y": float(y), "own_a": a.own, "others_a": a.others, "own_b": b.own, "others_b": b.others})
+    assert sum(r["y"] for r in rows) == len(pairs)
+    weights = N.drawn_weights([(8, 5), (5,), (10, 4), (4,)], 3)
+    want, got = N._link_gradient(weights, pd.DataFrame(rows)), N._link_gradients(slices, cells, weights)
+    assert got[0] == pytest.approx(want[0])
+    assert all(a == pytest.approx(b) for a, b in zip(got[1], want[1], strict=True))
+
+
 def test_drawn_partners_and_numbers(spark):
     edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(5, 6), (6, 5), (7, 7)], "u long, v long")
     got = N.sampled_partners(edges, partners=8, seed=1).groupBy("account").count()
