@@ -209,6 +209,26 @@ def test_paths_behind_dead_ends(spark):
     assert len([p for p in every if p[0] == 1]) == 25
 
 
+def test_few_prefixes_of_paths_are_followed(spark):
+    """Among 30 accounts that all lead to all, one or two prefixes give the first paths of each; with dead ends, hubs and ways back, paths are those of brute force."""
+    full = spark.createDataFrame([(a, b) for a in range(30) for b in range(30) if a != b], "u long, v long")
+    assert G.prefixes(full, length=3, cap=20).count() == 30
+    assert G.prefixes(full, length=4, cap=20).count() == 30
+    rng = random.Random(5)
+    rows = {(a, b) for a in range(14) for b in rng.sample(range(14), 3) if a != b} | {(0, b) for b in range(1, 40)} | {(b, 0) for b in range(20, 40)} | {(b, b + 20) for b in range(20, 30)}
+    near: dict[int, list[int]] = {}
+    for u, v in sorted(rows):
+        near.setdefault(u, []).append(v)
+    edges = spark.createDataFrame(sorted(rows), "u long, v long")
+    for length in (1, 3, 4):
+        every = [(a,) for a in near]
+        for _ in range(length):
+            every = [(*p, b) for p in every for b in near.get(p[-1], []) if b not in p]
+        for cap in (1, 4, 30):
+            want = {p for a in near for p in sorted(p for p in every if p[0] == a)[:cap]}
+            assert {tuple(r.path) for r in G.paths(edges, length=length, cap=cap).collect()} == want
+
+
 def test_queries_over_all_transfers(spark):
     from riskweave.plans.registry import QUERIES
     from riskweave.sources.tables import txn
