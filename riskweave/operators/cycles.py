@@ -8,6 +8,9 @@ family of sets of size p is representative against q other accounts with at most
 1 + q + ... + q^p sets, so there are at most 40 a pair of accounts, however many
 paths lead from one to the other. Halves meet where an inner account of neither is
 in the other.
+
+As a rule that isn't needed: a cycle of the greatest length is met by a few paths out
+of an account and a few into it. Communities where that finds one are done.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -23,6 +26,8 @@ from riskweave.operators.graph import cut
 
 BOUND = 8
 SALTS = 16
+#: A search follows so many edges of an account, keeps so many paths for the root of a community's accounts, and compares so many between two accounts.
+WAYS, PATHS, BETWEEN = 8, 8, 64
 
 
 def representatives(sets: list[frozenset], others: int) -> list[frozenset]:
@@ -89,35 +94,77 @@ def _lengths(edges: DataFrame, starts: DataFrame, bound: int, least: bool) -> Da
     return cut(out.groupBy("community").agg(F.max("length").alias("length")))
 
 
+def _few(rows: DataFrame, by: list[str], order: str, cap: int) -> DataFrame:
+    """At most cap rows for each of by, by hash of order."""
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.xxhash64(order), order))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_rank")
+
+
+def _sought(edges: DataFrame, degree: DataFrame, starts: DataFrame, bound: int) -> DataFrame:
+    """community: those in which a search finds a cycle of bound accounts through one of starts; others may have one all the same.
+
+    Its rows grow with the accounts at most, and in a large community with their root.
+    """
+    n = degree.groupBy("community").agg(F.count("*").alias("n"))
+    room = cut(n.select("community", F.least(F.col("n"), F.ceil(PATHS * F.sqrt("n"))).alias("room")))
+    halves = []
+    for a, b, size in (("u", "v", (bound + 1) // 2), ("v", "u", bound // 2)):
+        steps = cut(_few(edges.select("community", F.col(a).alias("a"), F.col(b).alias("b")), ["community", "a"], "b", WAYS))
+        walks = starts.select("community", F.array("account").alias("path"))
+        for _ in range(size):
+            longer = walks.withColumn("a", F.element_at("path", -1)).join(steps, ["community", "a"]).where(~F.array_contains("path", F.col("b")))
+            rank = F.row_number().over(W.partitionBy("community").orderBy(F.xxhash64("path"), "path"))
+            longer = longer.select("community", F.concat("path", F.array("b")).alias("path")).withColumn("_rank", rank)
+            walks = cut(longer.join(room, "community").where(F.col("_rank") <= F.col("room")).select("community", "path"))
+        ends = walks.select("community", F.element_at("path", 1).alias("start"), F.element_at("path", -1).alias("end"), F.slice("path", 2, size - 1).alias("inner"))
+        halves.append(_few(ends, ["community", "start", "end"], "inner", BETWEEN))
+    there, home = halves
+    met = there.join(home.withColumnRenamed("inner", "other"), ["community", "start", "end"]).where(~F.arrays_overlap("inner", "other"))
+    return cut(met.select("community").distinct())
+
+
 def _core(edges: DataFrame, rounds: int = 4) -> DataFrame:
-    """edges without those that lead into an account without edges out, or out of one without edges in; a few times over."""
+    """edges without those that lead into an account without edges out, or out of one without edges in; a few times over, or until none goes.
+
+    Each step is written out, as the next reads it twice.
+    """
+    edges = cut(edges.select("community", "u", "v"))
+    n = edges.count()
     for _ in range(rounds):
-        edges = edges.join(edges.select("community", F.col("v").alias("u")).distinct(), ["community", "u"], "left_semi")
-        edges = edges.join(edges.select("community", F.col("u").alias("v")).distinct(), ["community", "v"], "left_semi")
-    return cut(edges.select("community", "u", "v"))
+        for a, b in (("u", "v"), ("v", "u")):
+            edges = cut(edges.join(edges.select("community", F.col(b).alias(a)).distinct(), ["community", a], "left_semi").select("community", "u", "v"))
+        before, n = n, edges.count()
+        if n == before:
+            break
+    return edges
 
 
 def longest_cycles(edges: DataFrame, *, bound: int = BOUND, tries: int = 2) -> DataFrame:
     """community, max_cycle_length: the longest simple cycle of 2 to bound (at most 8) accounts; communities without one have no row.
 
     edges: community, u, v, inside of communities; loops and repetitions don't count.
-    Cycles through the `tries` accounts with most edges are sought first: communities
-    in which that finds a cycle of bound accounts are done. In the others every account
-    is tried as the least of a cycle.
+    Cycles through the `tries` accounts with most edges are sought first, along few
+    edges and then along all: communities in which that finds a cycle of bound accounts
+    are done. In the others every account is tried as the least of a cycle.
     """
     if not 2 <= bound <= BOUND:
         raise ValueError(f"bound must be from 2 to {BOUND}")
     core = _core(edges.where(F.col("u") != F.col("v")).select("community", "u", "v").distinct())
-    degree = core.select("community", F.explode(F.array("u", "v")).alias("account")).groupBy("community", "account").agg(F.count("*").alias("d"))
+    degree = cut(core.select("community", F.explode(F.array("u", "v")).alias("account")).groupBy("community", "account").agg(F.count("*").alias("d")))
     top = _most(degree, tries)
-    quick = _lengths(core, top, bound, least=False)
+    sought = _sought(core, degree, top, bound)
+    done = sought.select("community", F.lit(bound).alias("max_cycle_length"))
+    left = cut(core.join(sought, "community", "left_anti"))
+    if left.isEmpty():
+        return done
+    quick = _lengths(left, top, bound, least=False)
     full = quick.where(F.col("length") == bound)
-    rest = cut(core.join(full, "community", "left_anti"))
+    rest = cut(left.join(full, "community", "left_anti"))
     if rest.isEmpty():
-        return quick.select("community", F.col("length").alias("max_cycle_length"))
+        return done.union(quick)
     starts = rest.select("community", F.col("u").alias("account")).distinct()
     each = _lengths(rest, starts, bound, least=True)
-    return full.union(each).select("community", F.col("length").alias("max_cycle_length"))
+    return done.union(full).union(each)
 
 
 def _most(degree: DataFrame, tries: int) -> DataFrame:

@@ -409,3 +409,23 @@ def test_lists_of_openings_are_shorts(spark, monkeypatch):
         assert got[b, a] == (None, 2**52 + 3, 2**52 + 3) and got[c, b] == (None, 2**52 + 3, 2**52 + 3)
         assert got[a, c] == (70_007, 10, 10) and got[c, a] == (2**52 + 3, 2**52 + 3, 2**52 + 3) and got[c, c] == (1, 1, 1)
     assert widths == {2, 4}
+
+
+def test_dense_communities_need_no_families(spark, monkeypatch):
+    """A search along few edges finds the longest cycle of a dense community; only the others are done with all half-paths."""
+    rng = random.Random(7)
+    dense = {(0, u, v) for u in range(400) for v in rng.sample(range(400), 20) if u != v}
+    ring = {(1, 1000 + i, 1000 + (i + 1) % 5) for i in range(5)}
+    given, lengths = [], C._lengths
+    monkeypatch.setattr(C, "_lengths", lambda edges, *a, **k: given.append({r.community for r in edges.select("community").distinct().collect()}) or lengths(edges, *a, **k))
+    got = {r.community: r.max_cycle_length for r in C.longest_cycles(spark.createDataFrame(sorted(dense | ring), "community long, u long, v long")).collect()}
+    assert got == {0: 8, 1: 5} and given and all(x == {1} for x in given)
+
+
+def test_core_is_written_step_by_step(spark, monkeypatch):
+    """Each step reads the one before twice: in one plan, edges would be read as often as two to the number of steps."""
+    joins, cut = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df: joins.append(df._jdf.queryExecution().analyzed().toString().count("Join ")) or cut(df))
+    edges = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 1), (1, 3, 4), (1, 4, 5), (1, 9, 1)], "community long, u long, v long")
+    assert sorted(tuple(r) for r in C._core(edges).collect()) == [(1, 1, 2), (1, 2, 3), (1, 3, 1)]
+    assert max(joins) == 1
