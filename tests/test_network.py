@@ -51,6 +51,24 @@ def brute_betweenness(nodes, edges):
     return {v: x / ((n - 1) * (n - 2)) for v, x in total.items()}
 
 
+def test_degrees_of_pairs_and_graph_features_by_brute_force(spark):
+    """Loops, repeated transfers and pairs both ways, all told from pairs that are written once."""
+    rng = random.Random(7)
+    rows = [(rng.randrange(12), rng.randrange(12), float(rng.randrange(1, 900)), i) for i in range(90)] + [(20, 20, 5.0, 95)]
+    t = spark.createDataFrame(rows, "sender long, receiver long, amount double, us long")
+    names = ("in_degree", "out_degree", "in_unique", "out_unique")
+    assert {(r.account, *(r[c] for c in names)) for r in G.degrees_of(G.pairs(t)).collect()} == {(r.account, *(r[c] for c in names)) for r in G.degrees(t).collect()}
+    edges = {(u, v) for u, v, *_ in rows if u != v}
+    between = brute_betweenness(sorted({x for e in edges for x in e}), edges)
+    labels = {r.account: r.community for r in G.label_propagation(edge_frame(spark, edges)).collect()}
+    got = {r.account: r for r in G.graph_features(t).collect()}
+    assert got.keys() == {x for u, v, *_ in rows for x in (u, v)}
+    for a, r in got.items():
+        assert r.two_cycles == sum((a, x) in edges and (x, a) in edges for x in range(21))
+        assert r.three_cycles == sum((a, x) in edges and (x, y) in edges and (y, a) in edges for x in range(21) for y in range(21))
+        assert r.community == labels.get(a, a) and r.betweenness == pytest.approx(between.get(a, 0.0), abs=1e-12)
+
+
 def test_betweenness_of_200_accounts(spark):
     rng = random.Random(1)
     edges = {(rng.randrange(196), rng.randrange(196)) for _ in range(700)} | {(0, i) for i in range(1, 60)} | {(i, i + 1) for i in range(195, 199)} | {(199, 0)}
@@ -360,6 +378,28 @@ def test_betweenness_in_blocks_and_chunks(spark, monkeypatch):
     assert got.keys() == want.keys() and all(math.isclose(got[v], want[v], abs_tol=1e-12) for v in want)
 
 
+def test_only_what_is_there_is_sent_and_what_is_wanted_is_added(monkeypatch):
+    """Along nonzero numbers, along wanted places, or whole rows: the same sums; and a matrix with little in it travels as little."""
+    import numpy as np
+
+    from riskweave.operators import shortest
+
+    monkeypatch.setattr(shortest, "PIECE", 50)
+    rng = np.random.default_rng(3)
+    end, start = np.sort(rng.integers(0, 40, 300)).astype(np.int32), rng.integers(0, 30, 300).astype(np.int32)
+    for filled, asked in ((0.05, 1.0), (1.0, 0.05), (1.0, 1.0), (0.5, 0.6), (0.0, 1.0), (1.0, 0.0)):
+        send, wanted = np.where(rng.random((30, 8)) < filled, rng.integers(1, 9, (30, 8)), 0).astype(float), rng.random((40, 8)) < asked
+        wire = shortest._wired(send)
+        assert (shortest._unwired(*wire, 30, 8) == send).all() and sum(map(len, wire)) < send.nbytes / 2
+        want, got = np.zeros((40, 8)), np.zeros((40, 8))
+        np.add.at(want, end, send[start])
+        shortest._added(got, send, start, end, wanted)
+        assert (got[wanted] == want[wanted]).all()
+    shortest._added(got, send, start[:0], end[:0], wanted)
+    many = rng.random((300, 300))
+    assert (shortest._unwired(*shortest._wired(many), 300, 300) == many).all()
+
+
 @pytest.mark.parametrize("cell", [20, 2_000_000])
 def test_openings_by_definition(spark, monkeypatch, cell):
     """With loops, pairs both ways, a hub, and paths that return to where they were."""
