@@ -17,6 +17,7 @@ from riskweave.operators import graph as G
 from riskweave.operators import live_graph as L
 from riskweave.operators import models as M
 from riskweave.operators import tree_shap as TS
+from riskweave.plans.registry import QUERIES
 
 
 def edge_frame(spark, edges):
@@ -469,3 +470,55 @@ def test_core_is_written_step_by_step(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 1), (1, 3, 4), (1, 4, 5), (1, 9, 1)], "community long, u long, v long")
     assert sorted(tuple(r) for r in C._core(edges).collect()) == [(1, 1, 2), (1, 2, 3), (1, 3, 1)]
     assert max(joins) == 1
+
+
+def _many_edges():
+    """More accounts than 300, in a ring with chords, a branch that ends, and an account without a step out."""
+    rng = random.Random(11)
+    edges = {(i, (i + 1) % 330) for i in range(330)} | {(rng.randrange(330), rng.randrange(330)) for _ in range(500)} | {(5, 400), (400, 401), (500, 5)}
+    return {(u, v) for u, v in edges if u != v}
+
+
+def test_betweenness_query_goes_from_every_account(spark, tmp_path):
+    """With more accounts than graph features draw (300), the query still equals brute force."""
+    import datetime
+
+    rng = random.Random(3)
+    ids = rng.sample(range(5_000), 600)
+    rows = [(e, datetime.datetime(2024, 1, 1, 0, 0, e % 60), rng.randrange(400), "web", 1.0, '{"k": 3}') for e in ids]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    users = max(r[2] for r in rows) + 1
+    edges = {(u, (u + e * 7919 + 13) % users) for e, _, u, *_ in rows}
+    edges = {(u, v) for u, v in edges if u != v}
+    nodes = {x for e in edges for x in e}
+    assert len(nodes) > 300
+    got = {r.account: r.betweenness for r in QUERIES["gr_betweenness"](spark, str(tmp_path)).collect()}
+    want = brute_betweenness(sorted(nodes), edges)
+    assert got.keys() == want.keys() and all(math.isclose(got[v], want[v], abs_tol=1.1e-8) for v in want)
+
+
+def test_betweenness_in_tasks_and_in_turns(spark, monkeypatch):
+    """Slices, several tasks and turns give brute force; drawn sources give the same either way; a turn leaves nothing behind."""
+    import glob
+
+    from riskweave.operators import brandes, shortest
+    from riskweave.sources.tables import shared_folder
+
+    edges = _many_edges()
+    want = brute_betweenness(sorted({x for e in edges for x in e}), edges)
+    near = lambda got, want: got.keys() == want.keys() and all(math.isclose(got[v], want[v], abs_tol=1e-12) for v in want)
+    of = lambda **how: {r.account: r.betweenness for r in G.betweenness(edge_frame(spark, edges), **how).collect()}
+    monkeypatch.setattr(brandes, "SLICE", 100)
+    monkeypatch.setattr(brandes, "LEAST", 1_000)
+    assert near(of(sources=None), want)
+    few = of(sources=20)
+    monkeypatch.setattr(brandes, "WHOLE", 0)
+    monkeypatch.setattr(shortest, "CELL", 300)
+    monkeypatch.setattr(shortest, "ROOM", 8 * 330 * 50)
+    assert near(of(sources=20), few)
+    monkeypatch.setattr(shortest, "TURN", 18 * len(want) * 120)
+    before = set(glob.glob(f"{shared_folder(spark)}/graph-*"))
+    assert near(of(sources=None), want)
+    assert len(set(glob.glob(f"{shared_folder(spark)}/graph-*")) - before) <= 6
+    assert G.betweenness(spark.createDataFrame([(1, 1)], "u long, v long"), sources=None).collect()[0].betweenness == 0.0
+    assert not G.betweenness(spark.createDataFrame([], "u long, v long"), sources=None).collect()
