@@ -151,3 +151,41 @@ def test_models_see_rows_that_are_worked_out_once(spark):
     out = Q.ml_supervised(spark, where)
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r.tx_id for r in out.collect()} == {r.tx_id for r in M.hash_split(whole, "tx_id", "label").where("part = 2").collect()}
+
+
+def test_rows_go_down_trees_as_branches_tell(spark):
+    """Paths of all rows at once are those of going down branch by branch, where numbers stand on a cut or are missing as well."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.integers(0, 5, (200, 3)), rng.normal(size=(200, 3)), [[np.nan, np.inf, -np.inf]]]).astype(float)
+
+    def down(tree, row, depth=0):
+        return depth + M._mean_path(tree[0]) if len(tree) == 1 else down(tree[2 if row[tree[0]] < tree[1] else 3], row, depth + 1)
+
+    for depth in (1, 4, 8):
+        tree = M._isolation_tree(x[:-1], rng, depth)
+        assert M._depths(M._laid_out(tree), x, depth).tolist() == [down(tree, row) for row in x]
+    assert M._depths(M._laid_out((1,)), x, 3).tolist() == [0.0] * len(x)
+
+
+def test_known_graph_features_give_the_same_communities(spark):
+    from riskweave.operators import graph as G
+
+    rng = np.random.default_rng(6)
+    t = spark.createDataFrame([(int(u), int(v), float(a), i) for i, (u, v, a) in enumerate(zip(rng.integers(0, 25, 80), rng.integers(0, 25, 80), rng.integers(1, 900, 80), strict=True))], "sender long, receiver long, amount double, us long")
+    members = G.cut(G.label_propagation(G.adjacency(t)))
+    plain = sorted(map(tuple, G.community_profiles(t, members).collect()))
+    assert sorted(map(tuple, G.community_profiles(t, members, G.cut(G.graph_features(t, members))).collect())) == plain
+
+
+def test_layers_come_from_one_matrix_that_is_split_before_it_is_wide(spark, monkeypatch):
+    """fus_layers splits transfers, not the matrix, and finds triangles once."""
+    from riskweave.operators import graph as G
+    from riskweave.plans import queries_layers as Q
+
+    split, found = [], []
+    plain, met = M.stratified_split, G.triangles
+    monkeypatch.setattr(M, "stratified_split", lambda df, *a: split.append(len(df.columns)) or plain(df, *a))
+    monkeypatch.setattr(G, "triangles", lambda *a: found.append(1) or met(*a))
+    alerts = Q.fus_layers(spark, "/root/testdata/sf0.001")
+    assert len(split) == 1 and split[0] < 25 and len(found) == 1
+    assert alerts.where("transaction_risk_score is null or anomaly_score is null or supervised_score is null").count() == 0
